@@ -92,5 +92,5 @@ class Settings:
 
 
 # The driver tables cover footprints of about 12 km x 8 km, so small tiles make tiling meaningful.
-FIXTURE = Settings(patch=64, stride=32, weather_margin_km=6.0,
+FIXTURE = Settings(patch=32, stride=16, weather_margin_km=6.0,
                    no_data_windows=(("2021-01-20", "2021-01-21"), ("2016-01-05", "2016-01-06")))

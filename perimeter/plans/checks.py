@@ -173,25 +173,25 @@ SELECT fire_id, t_index, min(row) AS r_min, max(row) AS r_max, min(col) AS c_min
 FROM v_burn GROUP BY ALL""")
 view("v_cand", f"""
 SELECT w.fire_id, w.t_index, w.window_time, b.* EXCLUDE (fire_id, t_index), g.* EXCLUDE (fire_id)
-FROM v_win w JOIN v_win n ON n.fire_id = w.fire_id AND n.t_index = w.t_index + 1
-JOIN v_bbox b ON b.fire_id = w.fire_id AND b.t_index = w.t_index JOIN v_grid g ON g.fire_id = w.fire_id
-WHERE w.usable AND n.usable AND w.t_index >= {TS - 1}
-  AND EXISTS (SELECT 1 FROM v_target t WHERE t.fire_id = w.fire_id AND t.t_index = w.t_index)""")
+FROM (SELECT *, lead(usable) OVER (PARTITION BY fire_id ORDER BY t_index) AS next_usable FROM v_win) w
+JOIN v_bbox b USING (fire_id, t_index) JOIN v_grid g USING (fire_id)
+JOIN (SELECT DISTINCT fire_id, t_index FROM v_target) t USING (fire_id, t_index)
+WHERE w.usable AND w.next_usable AND w.t_index >= {TS - 1}""")
 view("v_tile", f"""
 SELECT *, UNNEST({origins_sql('c_min', 'c_max', 'width')}) AS col0 FROM (
   SELECT *, UNNEST({origins_sql('r_min', 'r_max', 'height')}) AS row0 FROM v_cand)""")
+view("v_mark", """
+SELECT fire_id, t_index, row, col, 0 AS y FROM v_burn UNION ALL SELECT fire_id, t_index, row, col, 1 FROM v_target""")
 view("v_index", f"""
-SELECT *, fire_id || ':' || t_index || ':' || row0 || ':' || col0 AS sample_id FROM (
-  SELECT t.fire_id, t.t_index, t.window_time, CAST(t.row0 AS INTEGER) AS row0, CAST(t.col0 AS INTEGER) AS col0,
-         CAST(t.x0 + t.col0 * 100 AS DOUBLE) AS x0_m, CAST(t.y1 - t.row0 * 100 AS DOUBLE) AS y1_m,
-         (SELECT count(*) FROM v_burn b WHERE b.fire_id = t.fire_id AND b.t_index = t.t_index
-            AND b.row BETWEEN t.row0 AND t.row0 + {P - 1} AND b.col BETWEEN t.col0 AND t.col0 + {P - 1}) AS n_active_px,
-         (SELECT count(*) FROM v_target b WHERE b.fire_id = t.fire_id AND b.t_index = t.t_index
-            AND b.row BETWEEN t.row0 AND t.row0 + {P - 1} AND b.col BETWEEN t.col0 AND t.col0 + {P - 1}) AS n_target_px,
-         EXISTS (SELECT 1 FROM v_target b WHERE b.fire_id = t.fire_id AND b.t_index = t.t_index
-            AND b.row BETWEEN t.row0 AND t.row0 + {P - 1} AND b.col BETWEEN t.col0 AND t.col0 + {P - 1}
-            AND (b.row IN (t.row0, t.row0 + {P - 1}) OR b.col IN (t.col0, t.col0 + {P - 1}))) AS tile_clipped
-  FROM v_tile t) WHERE n_active_px + n_target_px > 0""")
+SELECT t.fire_id, t.t_index, t.window_time, CAST(t.row0 AS INTEGER) AS row0, CAST(t.col0 AS INTEGER) AS col0,
+       CAST(t.x0 + t.col0 * 100 AS DOUBLE) AS x0_m, CAST(t.y1 - t.row0 * 100 AS DOUBLE) AS y1_m,
+       count(*) FILTER (m.y = 0) AS n_active_px, count(*) FILTER (m.y = 1) AS n_target_px,
+       coalesce(bool_or(m.y = 1 AND (m.row IN (t.row0, t.row0 + {P - 1}) OR m.col IN (t.col0, t.col0 + {P - 1}))), false)
+         AS tile_clipped,
+       t.fire_id || ':' || t.t_index || ':' || t.row0 || ':' || t.col0 AS sample_id
+FROM v_tile t JOIN v_mark m ON m.fire_id = t.fire_id AND m.t_index = t.t_index
+ AND m.row BETWEEN t.row0 AND t.row0 + {P - 1} AND m.col BETWEEN t.col0 AND t.col0 + {P - 1}
+GROUP BY t.fire_id, t.t_index, t.window_time, t.row0, t.col0, t.x0, t.y1""")
 
 
 def tile_join(cells: str, extra: str, on: str) -> str:

@@ -10,7 +10,7 @@ from perimeter.operators import cells as C
 from perimeter.operators import labels as L
 from perimeter.operators import links as K
 from perimeter.operators import segmentation as E
-from perimeter.plans.checks import albers_inverse_sql, lambert_sql, offsets_sql
+from perimeter.plans.checks import P, albers_inverse_sql, lambert_sql, offsets_sql
 from perimeter.plans.registry import query
 from perimeter.plans.study import Study
 from perimeter.sources import detections as S
@@ -100,9 +100,9 @@ def s07b(s: Study) -> DataFrame:
 
 @query("s07_empty_files", """
 SELECT f.file, 1 + coalesce(n, 0) AS n_lines FROM (SELECT DISTINCT file FROM v_raw) f
-LEFT JOIN (SELECT file, count(*) AS n FROM v_kept WHERE frp > 290 GROUP BY file) USING (file) WHERE coalesce(n, 0) = 0""")
+LEFT JOIN (SELECT file, count(*) AS n FROM v_kept WHERE frp > 390 GROUP BY file) USING (file) WHERE coalesce(n, 0) = 0""")
 def s07c(s: Study) -> DataFrame:
-    rows = S.clean_detections(s.raw).filter("frp > 290").groupBy("file").count()
+    rows = S.clean_detections(s.raw).filter("frp > 390").groupBy("file").count()
     files = s.raw.select("file").distinct().join(rows, "file", "left")
     return S.empty_files(files.select("file", (1 + F.coalesce("count", F.lit(0))).alias("n_lines")))
 
@@ -187,9 +187,9 @@ def e05(s: Study) -> DataFrame:
     return s.events.select("event", "n_timesteps")
 
 
-@query("e06_event_extent", """
+@query("e06_event_extent", f"""
 SELECT event, year, round(duration_h, 4) AS duration_h, extent_px_x, extent_px_y,
-       extent_px_x <= 64 AND extent_px_y <= 64 AS fits_one_patch FROM v_events""")
+       extent_px_x <= {P} AND extent_px_y <= {P} AS fits_one_patch FROM v_events""")
 def e06(s: Study) -> DataFrame:
     return s.events.select("event", "year", r("duration_h").alias("duration_h"), "extent_px_x", "extent_px_y",
                            "fits_one_patch")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import argparse
 import os
 import sys
+import threading
 import time
 import traceback
 
@@ -46,10 +47,17 @@ def compare(spark, con, name, fn, sql, folder):
     df = fn(spark, folder)
     got = rows_of(df.columns, df.collect())
     spent = time.time() - t
+    if os.environ.get("TRACE"):
+        print("  spark done", round(spent, 2), flush=True)
     if sql is None:
         return f"rows-only {len(got)} rows", spent, 0.0
     t = time.time()
-    rel = con.execute(sql)
+    timer = threading.Timer(60, con.interrupt)
+    timer.start()
+    try:
+        rel = con.execute(sql)
+    finally:
+        timer.cancel()
     cols = [d[0] for d in rel.description]
     want = rows_of(cols, rel.fetchall())
     check = time.time() - t

@@ -160,9 +160,10 @@ def origins_sql(lo: str, hi: str, n: str) -> str:
     start = f"greatest(0, least({lo}, {last}))"
     tail = f"greatest(0, least({hi} - {P} + 1, {last}))"
     regular = f"range({start}, least({hi}, {last}) + 1, {ST})"
+    covering = f"CASE WHEN list_last({regular}) < {tail} THEN list_append({regular}, {tail}) ELSE {regular} END"
     return (f"CASE WHEN {n} <= {P} THEN [0] WHEN {hi} - {lo} + 1 <= {P}"
             f" THEN [greatest(0, least(({lo} + {hi}) // 2 - {P // 2}, {last}))]"
-            f" ELSE list_sort(list_distinct(list_append({regular}, {tail}))) END")
+            f" ELSE {covering} END")
 
 
 view("v_target", """
@@ -220,3 +221,40 @@ def ring_counts(k: int) -> str:
 
 
 view("v_base", " UNION ALL ".join(ring_counts(k) for k in (0, 1, 3, 5, 8)))
+
+view("v_scored", """
+SELECT *, CAST((dist >= 1)::INT + (dist >= 2)::INT + (dist >= 3)::INT + (dist >= 5)::INT + (dist >= 8)::INT
+               + (dist >= 12)::INT + (dist >= 20)::INT + (dist >= 32)::INT AS INTEGER) AS band FROM (
+  SELECT l_orderkey AS sample_id, l_suppkey AS fire_id,
+         CAST(((l_partkey * 31 + l_linenumber * 17) % 1000) / 1000.0 AS DOUBLE) AS prob,
+         l_returnflag = 'R' AS target, l_quantity - 1 AS dist FROM lineitem)""")
+view("v_thr", "SELECT UNNEST([0.05, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.85, 0.9, 0.95, 0.98])::DOUBLE AS threshold")
+
+
+def counts_sql(keys: str, source: str = "v_scored") -> str:
+    k = keys + ", " if keys else ""
+    return f"""SELECT {k}threshold, count(*) FILTER (prob > threshold AND target) AS tp,
+ count(*) FILTER (prob > threshold AND NOT target) AS fp, count(*) FILTER (NOT prob > threshold AND target) AS fn
+FROM {source}, v_thr GROUP BY ALL"""
+
+
+def csi_sql(keys: str, thr: float, source: str = "v_scored") -> str:
+    return f"""SELECT {keys}, count(*) FILTER (prob > {thr} AND target)
+ / greatest(count(*) FILTER (prob > {thr} OR target), 1) AS csi FROM {source} GROUP BY {keys}"""
+
+
+view("v_pooled", "SELECT *, tp / greatest(tp + fp + fn, 1) AS csi FROM (" + counts_sql("") + ")")
+view("v_far", "SELECT *, tp / greatest(tp + fp + fn, 1) AS csi FROM (" + counts_sql("", "(SELECT * FROM v_scored WHERE band >= 6)") + ")")
+view("v_fire", f"SELECT f.*, s.burned_px FROM ({csi_sql('fire_id', 0.5)}) f JOIN "
+               "(SELECT fire_id, count(*) AS burned_px FROM v_scored WHERE target GROUP BY 1) s USING (fire_id)")
+view("v_years", """
+SELECT o_orderkey AS sample_id, o_custkey AS fire_id, year(o_orderdate) AS year,
+       CAST(floor(o_totalprice) AS BIGINT) % 500 AS n_target, o_orderpriority = '1-URGENT' AS clipped FROM orders""")
+
+
+def right_closed_sql(value: str, edges: str) -> str:
+    return f"CASE WHEN {value} = {edges}[1] THEN 0 ELSE len(list_filter({edges}, lambda e: e < {value})) - 1 END"
+
+
+def edges_sql(value: str, source: str) -> str:
+    return f"(SELECT list_sort(list_distinct(quantile_cont({value}, [0.0, 0.25, 0.5, 0.75, 1.0]))) FROM {source})"

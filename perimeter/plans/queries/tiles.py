@@ -70,8 +70,8 @@ def t07(s: Study) -> DataFrame:
 @query("t08_densest_sequence", """
 SELECT fire_id, t_index, row0, col0, sample_id FROM (
   SELECT i.*, row_number() OVER (PARTITION BY i.fire_id ORDER BY t_index) AS k FROM v_index i JOIN (
-    SELECT fire_id, row0, col0, row_number() OVER (PARTITION BY fire_id ORDER BY count(*) DESC, row0, col0) AS best
-    FROM v_index GROUP BY ALL) b USING (fire_id, row0, col0) WHERE b.best = 1) WHERE k <= 8""")
+    SELECT *, row_number() OVER (PARTITION BY fire_id ORDER BY n DESC, row0, col0) AS best
+    FROM (SELECT fire_id, row0, col0, count(*) AS n FROM v_index GROUP BY ALL)) b USING (fire_id, row0, col0) WHERE b.best = 1) WHERE k <= 8""")
 def t08(s: Study) -> DataFrame:
     return T.densest_sequence(s.index)
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from perimeter.config import FIXTURE, Settings
 from perimeter.operators import labels as L
 from perimeter.operators import segmentation as E
+from perimeter.operators import metrics as V
 from perimeter.operators import tiling as T
 from perimeter.sources.detections import load_detections
 from perimeter.storage import stage
@@ -90,3 +91,21 @@ class Study:
     @cached_property
     def index(self) -> DataFrame:
         return self.stage("index", lambda: T.build_index(self.windows, self.burn, self.first, self.grid, self.cfg))
+
+    # --- scored forecasts and splits over the order tables ------------------------------
+    @cached_property
+    def scored(self) -> DataFrame:
+        """One scored cell per line item."""
+        cells = self.table("lineitem").select(
+            F.col("l_orderkey").alias("sample_id"), F.col("l_suppkey").alias("fire_id"),
+            F.expr("cast(((l_partkey * 31 + l_linenumber * 17) % 1000) / 1000.0 as double)").alias("prob"),
+            (F.col("l_returnflag") == "R").alias("target"), (F.col("l_quantity") - 1).alias("dist"))
+        return cells.withColumn("band", V.distance_band(F.col("dist")))
+
+    @cached_property
+    def order_years(self) -> DataFrame:
+        return self.table("orders").select(
+            F.col("o_orderkey").alias("sample_id"), F.col("o_custkey").alias("fire_id"),
+            F.year("o_orderdate").alias("year"),
+            (F.floor("o_totalprice").cast("long") % 500).alias("n_target"),
+            (F.col("o_orderpriority") == "1-URGENT").alias("clipped"))

@@ -258,3 +258,185 @@ def right_closed_sql(value: str, edges: str) -> str:
 
 def edges_sql(value: str, source: str) -> str:
     return f"(SELECT list_sort(list_distinct(quantile_cont({value}, [0.0, 0.25, 0.5, 0.75, 1.0]))) FROM {source})"
+
+# --- terrain ---------------------------------------------------------------------------------
+from perimeter.config import FUEL_CODES  # noqa: E402
+
+_CODES = "[" + ", ".join(str(c) for c in FUEL_CODES) + "]"
+view("v_cell", """
+SELECT fire_id, height, width, CAST(-y1 // 100 AS INTEGER) + row AS arow, CAST(x0 // 100 AS INTEGER) + col AS acol,
+       CAST(row AS INTEGER) AS row, CAST(col AS INTEGER) AS col
+FROM (SELECT *, UNNEST(range(width)) AS col FROM (SELECT *, UNNEST(range(height)) AS row FROM v_grid))""")
+view("v_land", "SELECT DISTINCT arow, acol, arow + 30000 AS u, acol + 30000 AS v FROM v_cell")
+view("v_demtile", """
+SELECT arow, acol, printf('t%05d_%05d', u // 50, v // 50) AS tile,
+       CASE WHEN (u * 17 + v) % 211 = 0 OR v % 1600 < 12 THEN NULL ELSE 500 + ((u * 13 + v * 7) % 97) * 3 + u * 0.05::DOUBLE END AS value
+FROM v_land UNION ALL
+SELECT arow, acol, printf('t%05d_%05d', u // 50 - 1, v // 50),
+       CASE WHEN (u + v) % 5 = 0 THEN NULL ELSE 1000 + (u % 7) * 10::DOUBLE END FROM v_land WHERE u % 50 < 3""")
+view("v_dem", """
+SELECT arow, acol, arg_max(value, tile) AS dem FROM v_demtile WHERE value IS NOT NULL GROUP BY ALL""")
+view("v_elev", "SELECT c.*, d.dem FROM v_cell c LEFT JOIN v_dem d USING (arow, acol)")
+view("v_cover", "SELECT fire_id, avg((dem IS NOT NULL)::INT) AS coverage FROM v_elev GROUP BY 1")
+view("v_filled", """
+SELECT e.* REPLACE (coalesce(e.dem, m.med) AS dem) FROM v_elev e
+JOIN (SELECT fire_id, median(dem) AS med FROM v_elev GROUP BY 1) m USING (fire_id)
+WHERE fire_id IN (SELECT fire_id FROM v_cover WHERE coverage >= 0.98)""")
+view("v_grad", """
+SELECT f.*, (coalesce(e.dem, f.dem) - coalesce(w.dem, f.dem)) / (100.0 * ((e.dem IS NOT NULL)::INT + (w.dem IS NOT NULL)::INT)) AS de,
+       -(coalesce(s.dem, f.dem) - coalesce(n.dem, f.dem)) / (100.0 * ((s.dem IS NOT NULL)::INT + (n.dem IS NOT NULL)::INT)) AS dn
+FROM v_filled f
+LEFT JOIN v_filled e ON e.fire_id = f.fire_id AND e.row = f.row AND e.col = f.col + 1
+LEFT JOIN v_filled w ON w.fire_id = f.fire_id AND w.row = f.row AND w.col = f.col - 1
+LEFT JOIN v_filled s ON s.fire_id = f.fire_id AND s.row = f.row + 1 AND s.col = f.col
+LEFT JOIN v_filled n ON n.fire_id = f.fire_id AND n.row = f.row - 1 AND n.col = f.col""")
+view("v_slope", """
+SELECT *, degrees(atan(sqrt(de * de + dn * dn))) AS slope, atan2(-de, -dn) AS aspect FROM v_grad""")
+view("v_rowmean", """
+SELECT f.fire_id, f.row, f.col, avg(g.dem) AS m FROM (SELECT fire_id, row, col, width, UNNEST(range(-3, 4)) AS d FROM v_filled) f
+JOIN v_filled g ON g.fire_id = f.fire_id AND g.row = f.row AND g.col = least(greatest(f.col + f.d, 0), f.width - 1)
+GROUP BY ALL""")
+view("v_focal", """
+SELECT f.fire_id, f.row, f.col, avg(g.m) AS m FROM (SELECT fire_id, row, col, height, UNNEST(range(-3, 4)) AS d FROM v_filled) f
+JOIN v_rowmean g ON g.fire_id = f.fire_id AND g.col = f.col AND g.row = least(greatest(f.row + f.d, 0), f.height - 1)
+GROUP BY ALL""")
+view("v_pix", f"""
+SELECT prow - 50000 AS prow, pcol - 50000 AS pcol,
+       {_CODES}[((prow // 3) * 31 + (pcol // 3) * 17) % 45 + 1] AS code,
+       CASE WHEN (prow + pcol * 3) % 17 = 0 THEN NULL ELSE CAST((prow + pcol) % 100 AS DOUBLE) END AS cc,
+       CAST((prow * 3 + pcol) % 300 AS DOUBLE) AS ch
+FROM (SELECT DISTINCT prow, pcol FROM (SELECT prow, UNNEST(range((v * 100) // 60, (v * 100 + 99) // 60 + 1)) AS pcol
+  FROM (SELECT v, UNNEST(range((u * 100) // 60, (u * 100 + 99) // 60 + 1)) AS prow FROM v_land)))""")
+view("v_mode", """
+SELECT arow, acol, code FROM (
+  SELECT *, row_number() OVER (PARTITION BY arow, acol ORDER BY n DESC, code) AS k FROM (
+    SELECT CAST(floor((prow * 60 + 30) / 100) AS INTEGER) AS arow, CAST(floor((pcol * 60 + 30) / 100) AS INTEGER) AS acol,
+           code, count(*) AS n FROM v_pix GROUP BY ALL)) WHERE k = 1""")
+view("v_area", """
+SELECT arow, acol, sum(w * cc) / sum(w) FILTER (cc IS NOT NULL) AS cc, sum(w * ch) / sum(w) FILTER (ch IS NOT NULL) AS ch FROM (
+  SELECT *, (least((prow + 1) * 60, (arow + 1) * 100) - greatest(prow * 60, arow * 100))
+          * (least((pcol + 1) * 60, (acol + 1) * 100) - greatest(pcol * 60, acol * 100)) AS w FROM (
+    SELECT *, CAST(UNNEST(range(CAST(floor(pcol * 60 / 100) AS BIGINT), CAST(ceil((pcol + 1) * 60 / 100) AS BIGINT))) AS INTEGER) AS acol FROM (
+      SELECT *, CAST(UNNEST(range(CAST(floor(prow * 60 / 100) AS BIGINT), CAST(ceil((prow + 1) * 60 / 100) AS BIGINT))) AS INTEGER) AS arow
+      FROM v_pix))) GROUP BY arow, acol""")
+view("v_static", f"""
+SELECT s.fire_id, s.row, s.col, s.height, s.width, s.dem AS elevation, s.slope,
+       CASE WHEN s.slope < 0.1 THEN 0 ELSE sin(s.aspect) END AS aspect_sin,
+       CASE WHEN s.slope < 0.1 THEN 0 ELSE cos(s.aspect) END AS aspect_cos, s.dem - f.m AS tpi,
+       coalesce(a.cc, 0) AS cc, coalesce(a.ch, 0) / 10 AS ch, coalesce(list_position({_CODES}, m.code), 0) AS fuel_idx, m.code
+FROM v_slope s JOIN v_focal f USING (fire_id, row, col) LEFT JOIN v_mode m USING (arow, acol)
+LEFT JOIN v_area a USING (arow, acol)""")
+
+# --- weather ---------------------------------------------------------------------------------
+_WX, _WY = lambert_sql("longitude", "latitude")
+_GLON, _GLAT = lambert_inverse_sql("(ix * 3000.0 - 2700000)", "(iy * 3000.0 - 1600000)")
+view("v_wgrid", f"""
+SELECT year, iy, ix, {_GLON} + 360 AS longitude, {_GLAT} AS latitude FROM (
+  SELECT DISTINCT year, iy, ix0 + dx AS ix FROM (
+    SELECT DISTINCT year, iy0 + dy AS iy, ix0 FROM (
+      SELECT DISTINCT year(acq) AS year, CAST(round(({_WY} + 1600000) / 3000) AS INTEGER) AS iy0,
+             CAST(round(({_WX} + 2700000) / 3000) AS INTEGER) AS ix0 FROM v_det), range(-10, 11) t(dy)), range(-10, 11) u(dx))""")
+view("v_wsource", """
+SELECT datediff('day', DATE '1970-01-01', make_date(year, 1, 1)) * 24 - 72 + h AS hour, h, iy, ix, longitude, latitude,
+       CAST((iy * 7 + ix * 3 + h) % 21 - 10 AS DOUBLE) AS u10,
+       CASE WHEN h % 130 = 7 AND ix % 5 = 0 THEN NULL ELSE CAST((iy * 5 + ix * 11 + h * 2) % 21 - 10 AS DOUBLE) END AS v10,
+       280.0::DOUBLE + (iy + ix + h) % 25 AS t2m,
+       CASE WHEN h % 50 < 5 THEN NULL ELSE 5.0::DOUBLE + (iy * 3 + ix + h * 7) % 90 END AS r2,
+       280.0::DOUBLE + (iy + ix + h) % 25 - (iy + h) % 20 AS d2m
+FROM v_wgrid, range(0, 816) t(h) WHERE h % 25 <> 0 AND h NOT BETWEEN 400 AND 408""")
+_E = "exp(17.625 * ({0} - 273.15) / ({0} - 273.15 + 243.04))"
+_RH = f"least(greatest({_E.format('d2m')} / {_E.format('t2m')} * 100, 0), 100)"
+view("v_scan", f"""
+SELECT hour, iy, ix, ((longitude + 180) % 360) - 180 AS lon, latitude AS lat, u10, v10, t2m, coalesce(r2, {_RH}) AS rh2m,
+       r2 IS NULL AND d2m IS NOT NULL AS rh_derived FROM v_wsource
+WHERE hour NOT IN (SELECT hour FROM v_wsource WHERE u10 IS NULL OR v10 IS NULL OR t2m IS NULL OR coalesce(r2, d2m) IS NULL)""")
+view("v_lagged", """
+SELECT DISTINCT fire_id, t_index - s AS k, lag, (bin - s) * 24 - lag AS hour
+FROM v_win, (VALUES (0), (1), (2)) a(s), (VALUES (0), (6), (12)) b(lag) WHERE usable""")
+view("v_needed", "SELECT DISTINCT fire_id, hour FROM v_lagged")
+view("v_hours", "SELECT DISTINCT hour FROM v_scan")
+
+
+def neighbours(listed: str) -> str:
+    return f"""SELECT DISTINCT fire_id, hour + d AS hour FROM {listed}, (VALUES (-1), (1)) t(d)
+WHERE hour NOT IN (SELECT hour FROM v_hours) AND (fire_id, hour + d) NOT IN (SELECT fire_id, hour FROM {listed})"""
+
+
+view("v_rep1", neighbours("v_needed"))
+view("v_list1", "SELECT * FROM v_needed UNION ALL SELECT * FROM v_rep1")
+view("v_rep2", neighbours("v_list1"))
+view("v_wanted", """
+SELECT fire_id, hour, 0 AS round FROM v_needed UNION ALL SELECT *, 1 FROM v_rep1 UNION ALL SELECT *, 2 FROM v_rep2""")
+
+
+def box_sql(corners: str, margin: float) -> str:
+    lon, lat = albers_inverse_sql("x", "y")
+    return f"""SELECT fire_id, min(lon) - {margin} / (111.0 * greatest(cos(radians(avg(lat))), 0.1)) AS lon_min,
+ min(lat) - {margin} / 111.0 AS lat_min, max(lon) + {margin} / (111.0 * greatest(cos(radians(avg(lat))), 0.1)) AS lon_max,
+ max(lat) + {margin} / 111.0 AS lat_max FROM (SELECT fire_id, {lon} AS lon, {lat} AS lat FROM ({corners})) GROUP BY fire_id"""
+
+
+view("v_bounds", box_sql("""SELECT fire_id, x0 + a * width * 100 AS x, y1 - b * height * 100 AS y
+ FROM v_grid, (VALUES (0), (1)) p(a), (VALUES (0), (1)) q(b)""", FIXTURE.weather_margin_km))
+view("v_crop", """
+SELECT fire_id, min(iy) AS iy0, max(iy) AS iy1, min(ix) AS ix0, max(ix) AS ix1 FROM v_bounds b
+JOIN (SELECT DISTINCT iy, ix, ((longitude + 180) % 360) - 180 AS lon, latitude AS lat FROM v_wgrid) c
+  ON c.lon BETWEEN b.lon_min AND b.lon_max AND c.lat BETWEEN b.lat_min AND b.lat_max GROUP BY fire_id""")
+view("v_store", """
+SELECT w.fire_id, s.* FROM (SELECT DISTINCT fire_id, hour FROM v_wanted) w JOIN v_crop c USING (fire_id)
+JOIN v_scan s ON s.hour = w.hour AND s.iy BETWEEN c.iy0 AND c.iy1 AND s.ix BETWEEN c.ix0 AND c.ix1""")
+view("v_filledhour", "SELECT DISTINCT fire_id, hour FROM v_store")
+view("v_plan", """
+SELECT fire_id, k, lag, hour, CASE WHEN lo IS NOT NULL AND hi IS NOT NULL THEN lo END AS lo,
+       CASE WHEN lo IS NOT NULL AND hi IS NOT NULL THEN hi END AS hi,
+       CASE WHEN lo IS NULL OR hi IS NULL THEN NULL WHEN lo = hi THEN 0.0 ELSE (hour - lo) / (hi - lo)::DOUBLE END AS w FROM (
+  SELECT n.fire_id, n.k, n.lag, n.hour, max(f.hour) FILTER (f.hour <= n.hour) AS lo, min(f.hour) FILTER (f.hour >= n.hour) AS hi
+  FROM v_lagged n LEFT JOIN v_filledhour f ON f.fire_id = n.fire_id AND f.hour BETWEEN n.hour - 3 AND n.hour + 3 GROUP BY ALL)""")
+view("v_badwin", "SELECT DISTINCT fire_id, k FROM v_plan WHERE lo IS NULL")
+view("v_sample", """
+SELECT i.* FROM v_index i WHERE fire_id IN (SELECT fire_id FROM v_cover WHERE coverage >= 0.98)
+  AND (fire_id, t_index) NOT IN (SELECT fire_id, k + d FROM v_badwin, range(0, 3) t(d))""")
+view("v_lonlat", f"SELECT DISTINCT fire_id, iy, ix, lon, lat FROM v_store")
+_FX, _FY = lambert_sql("lon", "lat")
+view("v_proj", f"SELECT fire_id, iy, ix, {_FX} AS x, {_FY} AS y FROM v_lonlat")
+view("v_fit", """
+SELECT a.fire_id, arg_min(a.x, (a.iy, a.ix)) AS wx0, arg_min(a.y, (a.iy, a.ix)) AS wy0, avg(r.x - a.x) AS dx, avg(b.y - a.y) AS dy,
+       greatest(max(r.x - a.x) - avg(r.x - a.x), avg(r.x - a.x) - min(r.x - a.x), max(b.y - a.y) - avg(b.y - a.y),
+                avg(b.y - a.y) - min(b.y - a.y)) AS residual,
+       min(a.iy) AS iy0, max(a.iy) AS iy1, min(a.ix) AS ix0, max(a.ix) AS ix1 FROM v_proj a
+LEFT JOIN v_proj r ON r.fire_id = a.fire_id AND r.iy = a.iy AND r.ix = a.ix + 1
+LEFT JOIN v_proj b ON b.fire_id = a.fire_id AND b.iy = a.iy + 1 AND b.ix = a.ix GROUP BY a.fire_id""")
+view("v_tcell", f"""
+SELECT DISTINCT fire_id, row, CAST(col0 + c AS INTEGER) AS col FROM (
+  SELECT fire_id, CAST(row0 + r AS INTEGER) AS row, col0 FROM (SELECT DISTINCT fire_id, row0, col0 FROM v_sample), range({P}) t(r)),
+ range({P}) t(c)""")
+_CLON, _CLAT = albers_inverse_sql("cx", "cy")
+_CX, _CY = lambert_sql("clon", "clat")
+view("v_corner", f"""
+SELECT fire_id, row, col, CAST(least(floor(r), iy1 - iy0 - 1) + iy0 AS INTEGER) AS qy,
+       CAST(least(floor(c), ix1 - ix0 - 1) + ix0 AS INTEGER) AS qx, r - least(floor(r), iy1 - iy0 - 1) AS fr,
+       c - least(floor(c), ix1 - ix0 - 1) AS fc FROM (
+  SELECT *, least(greatest(({_CY} - wy0) / dy, 0), iy1 - iy0) AS r, least(greatest(({_CX} - wx0) / dx, 0), ix1 - ix0) AS c FROM (
+    SELECT *, {_CLON} AS clon, {_CLAT} AS clat FROM (
+      SELECT t.fire_id, t.row, t.col, f.wx0, f.wy0, f.dx, f.dy, f.iy0, f.iy1, f.ix0, f.ix1, g.x0 + (t.col + 0.5) * 100 AS cx, g.y1 - (t.row + 0.5) * 100 AS cy
+      FROM v_tcell t JOIN v_grid g USING (fire_id) JOIN v_fit f USING (fire_id))))""")
+_LERP = ", ".join(f"a.{f} * (1 - p.w) + b.{f} * p.w AS {f}" for f in ("u10", "v10", "t2m", "rh2m"))
+_PIV = ", ".join(f"max({f}) FILTER (lag = {x}) AS {f}_lag{x}" for f in ("u10", "v10") for x in (0, 6, 12))
+view("v_field", f"""
+SELECT fire_id, k, iy, ix, {_PIV}, max(rh2m) FILTER (lag = 0) AS rh2m, max(t2m) FILTER (lag = 0) AS t2m FROM (
+  SELECT p.fire_id, p.k, p.lag, a.iy, a.ix, {_LERP} FROM v_plan p
+  JOIN v_store a ON a.fire_id = p.fire_id AND a.hour = p.lo
+  JOIN v_store b ON b.fire_id = p.fire_id AND b.hour = p.hi AND b.iy = a.iy AND b.ix = a.ix
+  WHERE (p.fire_id, p.k) NOT IN (SELECT fire_id, k FROM v_badwin)) GROUP BY ALL""")
+_WV = ["u10_lag0", "u10_lag6", "u10_lag12", "v10_lag0", "v10_lag6", "v10_lag12", "rh2m", "t2m"]
+_BI = ", ".join(f"(a.{v} * (1 - c.fc) + b.{v} * c.fc) * (1 - c.fr) + (d.{v} * (1 - c.fc) + e.{v} * c.fc) * c.fr AS {v}" for v in _WV)
+_TF, _H = "((t2m - 273.15) * 9 / 5 + 32)", "least(greatest(rh2m, 0), 100)"
+view("v_wcell", f"""
+SELECT *, least(greatest(1.28 * CASE WHEN {_H} < 10 THEN 0.03229 + 0.281073 * {_H} - 0.000578 * {_H} * {_TF}
+   WHEN {_H} < 50 THEN 2.22749 + 0.160107 * {_H} - 0.014784 * {_TF}
+   ELSE 21.0606 + 0.005565 * {_H} * {_H} - 0.00035 * {_H} * {_TF} - 0.483199 * {_H} END, 1), 40) AS fosberg_10h FROM (
+  SELECT c.fire_id, c.row, c.col, a.k, {_BI} FROM v_corner c
+  JOIN v_field a ON a.fire_id = c.fire_id AND a.iy = c.qy AND a.ix = c.qx
+  JOIN v_field b ON b.fire_id = c.fire_id AND b.k = a.k AND b.iy = c.qy AND b.ix = c.qx + 1
+  JOIN v_field d ON d.fire_id = c.fire_id AND d.k = a.k AND d.iy = c.qy + 1 AND d.ix = c.qx
+  JOIN v_field e ON e.fire_id = c.fire_id AND e.k = a.k AND e.iy = c.qy + 1 AND e.ix = c.qx + 1)""")

@@ -11,11 +11,14 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from perimeter.config import FIXTURE, Settings
+from perimeter.config import FIXTURE, FUEL_CODES, Settings
+from perimeter.functions import geo
 from perimeter.operators import labels as L
 from perimeter.operators import segmentation as E
 from perimeter.operators import metrics as V
+from perimeter.operators import terrain as TE
 from perimeter.operators import tiling as T
+from perimeter.operators import weather as W
 from perimeter.sources.detections import load_detections
 from perimeter.storage import stage
 
@@ -109,3 +112,138 @@ class Study:
             F.year("o_orderdate").alias("year"),
             (F.floor("o_totalprice").cast("long") % 500).alias("n_target"),
             (F.col("o_orderpriority") == "1-URGENT").alias("clipped"))
+
+    # --- terrain ------------------------------------------------------------------------
+    # Absolute cell numbers are shifted by 30000 to stay positive.
+    @cached_property
+    def cells(self) -> DataFrame:
+        return TE.grid_cells(self.grid, self.cfg.resolution_m)
+
+    @cached_property
+    def land(self) -> DataFrame:
+        return self.cells.select("arow", "acol", (F.col("arow") + 30000).alias("u"), (F.col("acol") + 30000).alias("v")).distinct()
+
+    @cached_property
+    def dem_tiles(self) -> DataFrame:
+        """Elevation tiles of 50 cells with an overlap of three rows and some holes."""
+        own = self.land.selectExpr(
+            "arow", "acol", "u", "v", "format_string('t%05d_%05d', u div 50, v div 50) as tile",
+            "case when (u * 17 + v) % 211 = 0 or v % 1600 < 12 then double('nan')"
+            " else 500 + ((u * 13 + v * 7) % 97) * 3 + u * 0.05D end as value")
+        shared = own.filter("u % 50 < 3").selectExpr(
+            "arow", "acol", "u", "v", "format_string('t%05d_%05d', u div 50 - 1, v div 50) as tile",
+            "case when (u + v) % 5 = 0 then double('nan') else 1000 + (u % 7) * 10D end as value")
+        return own.unionByName(shared).select("arow", "acol", "tile", "value")
+
+    @cached_property
+    def dem(self) -> DataFrame:
+        return TE.mosaic(self.dem_tiles).withColumnRenamed("value", "dem")
+
+    source_res = 60
+
+    @cached_property
+    def fuel_pixels(self) -> DataFrame:
+        """Fuel and canopy at 60 m over the same land."""
+        pix = (self.land.withColumn("prow", F.explode(F.expr("sequence((u * 100) div 60, (u * 100 + 99) div 60)")))
+               .withColumn("pcol", F.explode(F.expr("sequence((v * 100) div 60, (v * 100 + 99) div 60)")))
+               .select("prow", "pcol").distinct())
+        codes = ", ".join(str(c) for c in FUEL_CODES)
+        return pix.selectExpr(
+            "prow - 50000 as prow", "pcol - 50000 as pcol",
+            f"element_at(array({codes}), cast(((prow div 3) * 31 + (pcol div 3) * 17) % 45 + 1 as int)) as code",
+            "case when (prow + pcol * 3) % 17 = 0 then null else double((prow + pcol) % 100) end as cc",
+            "double((prow * 3 + pcol) % 300) as ch")
+
+    @cached_property
+    def static(self) -> DataFrame:
+        return self.stage("static", lambda: TE.static_stack(self.grid, self.dem, self.fuel_pixels, self.source_res, self.cfg))
+
+    # --- weather ------------------------------------------------------------------------
+    @cached_property
+    def weather_grid(self) -> DataFrame:
+        """Cells of the 3 km model grid within ten cells of any detection, per year."""
+        x, y = geo.lonlat_to_lambert(F.col("longitude"), F.col("latitude"))
+        near = (self.detections.select(F.year("acq").alias("year"), F.round((y + 1600000) / 3000).cast("int").alias("iy"),
+                                       F.round((x + 2700000) / 3000).cast("int").alias("ix")).distinct())
+        reach = F.explode(F.sequence(F.lit(-10), F.lit(10)))
+        rows = near.withColumn("_d", reach).select("year", (F.col("iy") + F.col("_d")).alias("iy"), "ix").distinct()
+        cells = rows.withColumn("_d", reach).select("year", "iy", (F.col("ix") + F.col("_d")).alias("ix")).distinct()
+        lon, lat = geo.lambert_to_lonlat(F.col("ix") * 3000.0 - 2700000, F.col("iy") * 3000.0 - 1600000)
+        return cells.withColumn("longitude", lon + 360).withColumn("latitude", lat)
+
+    @cached_property
+    def weather_source(self) -> DataFrame:
+        """The decoded hourly archive: 34 days a year from three days before new year."""
+        hours = self.weather_grid.withColumn("h", F.explode(F.expr("sequence(0, 815)"))).withColumn(
+            "hour", F.expr("datediff(make_date(year, 1, 1), date'1970-01-01') * 24 - 72 + h"))
+        return hours.filter("h % 25 <> 0 and not (h between 400 and 408)").selectExpr(
+            "hour", "iy", "ix", "longitude", "latitude", "double((iy * 7 + ix * 3 + h) % 21 - 10) as u10",
+            "case when h % 130 = 7 and ix % 5 = 0 then null else double((iy * 5 + ix * 11 + h * 2) % 21 - 10) end as v10",
+            "280D + (iy + ix + h) % 25 as t2m",
+            "case when h % 50 < 5 then null else 5D + (iy * 3 + ix + h * 7) % 90 end as r2",
+            "280D + (iy + ix + h) % 25 - (iy + h) % 20 as d2m")
+
+    @cached_property
+    def scan(self) -> DataFrame:
+        return W.scan_weather(self.weather_source)
+
+    @cached_property
+    def needed(self) -> DataFrame:
+        return self.stage("needed", lambda: W.needed_hours(self.windows, self.cfg))
+
+    @cached_property
+    def archive_hours(self) -> DataFrame:
+        return self.stage("archive_hours", lambda: self.scan.select("hour").distinct())
+
+    @cached_property
+    def wanted(self) -> DataFrame:
+        return self.stage("wanted", lambda: W.repair_plan(self.needed, self.archive_hours, self.cfg.repair_rounds))
+
+    @cached_property
+    def crops(self) -> DataFrame:
+        def build() -> DataFrame:
+            cells = self.weather_grid.select("iy", "ix", geo.fold_longitude(F.col("longitude")).alias("lon"),
+                                             F.col("latitude").alias("lat")).dropDuplicates(["iy", "ix"])
+            return W.crop_windows(W.raster_bounds(self.grid, self.cfg), cells)
+        return self.stage("crops", build)
+
+    @cached_property
+    def store(self) -> DataFrame:
+        return self.stage("store", lambda: W.build_store(self.scan, self.crops, self.wanted))
+
+    @cached_property
+    def stored_hours(self) -> DataFrame:
+        return self.stage("stored_hours", lambda: self.store.select("fire_id", "hour").distinct())
+
+    @cached_property
+    def weather_plan(self) -> DataFrame:
+        return self.stage("weather_plan", lambda: W.bridge(W.window_hours(self.windows, self.cfg), self.stored_hours,
+                                                           self.cfg.max_reach))
+
+    @cached_property
+    def fit(self) -> DataFrame:
+        return self.stage("fit", lambda: W.fit_affine(
+            self.store.select("fire_id", "iy", "ix", "lon", "lat").dropDuplicates(["fire_id", "iy", "ix"])))
+
+    @cached_property
+    def samples(self) -> DataFrame:
+        """The pruned index: samples of fires with static cells whose every step has weather."""
+        return self.stage("samples", lambda: W.bridged_samples(
+            self.index.join(self.static.select("fire_id").distinct(), "fire_id", "left_semi"), self.weather_plan, self.cfg))
+
+    @cached_property
+    def fields(self) -> DataFrame:
+        return self.stage("fields", lambda: W.step_fields(self.store, self.weather_plan, self.cfg))
+
+    @cached_property
+    def tile_cells(self) -> DataFrame:
+        """Distinct (fire_id, row, col) under any sample tile."""
+        p = self.cfg.patch
+        tiles = self.samples.select("fire_id", "row0", "col0").distinct()
+        rows = tiles.withColumn("row", F.explode(F.sequence(F.col("row0"), F.col("row0") + p - 1)))
+        return (rows.withColumn("col", F.explode(F.sequence(F.col("col0"), F.col("col0") + p - 1)))
+                .select("fire_id", "row", "col").distinct())
+
+    @cached_property
+    def corners(self) -> DataFrame:
+        return self.stage("corners", lambda: W.corner_table(self.tile_cells, self.grid, self.fit, self.cfg))

@@ -251,3 +251,19 @@ def split_summary(samples: DataFrame, cells_per_sample: int) -> DataFrame:
     return (rows.join(med, "split").withColumn("share", F.col("samples") / total)
             .withColumn("implied_weight", (F.col("samples") * cells_per_sample - F.col("_pos")) / F.greatest("_pos", F.lit(1)))
             .drop("_pos"))
+
+
+def angle_histogram(angles: DataFrame, width: float = 45.0) -> DataFrame:
+    """Shares of the left-closed 45 degree bins over angles below 180."""
+    rows = angles.filter(F.col("angle") < 180).groupBy(
+        F.least(F.floor(F.col("angle") / width), F.lit(3)).cast("int").alias("octant")).agg(F.count("*").alias("n"))
+    total = rows.agg(F.sum("n")).scalar()
+    return rows.withColumn("share", F.col("n") / total)
+
+
+def quartile_means(df: DataFrame, by: str, value: str) -> DataFrame:
+    """n and mean of `value` by quartile of `by`: left-closed bins, the last one closed."""
+    q = wide_quantiles(df, by, {"q1": 0.25, "q2": 0.5, "q3": 0.75}).agg(F.first(F.struct("q1", "q2", "q3"))).scalar()
+    at = df.withColumn("_q", q)
+    bin_ = sum((F.col(by) >= F.col(f"_q.{n}")).cast("int") for n in ("q1", "q2", "q3"))
+    return at.withColumn("quartile", bin_).groupBy("quartile").agg(F.count("*").alias("n"), F.avg(value).alias("mean"))

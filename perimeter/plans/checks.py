@@ -440,3 +440,76 @@ SELECT *, least(greatest(1.28 * CASE WHEN {_H} < 10 THEN 0.03229 + 0.281073 * {_
   JOIN v_field b ON b.fire_id = c.fire_id AND b.k = a.k AND b.iy = c.qy AND b.ix = c.qx + 1
   JOIN v_field d ON d.fire_id = c.fire_id AND d.k = a.k AND d.iy = c.qy + 1 AND d.ix = c.qx
   JOIN v_field e ON e.fire_id = c.fire_id AND e.k = a.k AND e.iy = c.qy + 1 AND e.ix = c.qx + 1)""")
+
+# --- assembled samples -------------------------------------------------------------------------
+view("v_cw", """
+SELECT w.*, s.elevation - s.em AS elevation_centred, s.slope, s.aspect_sin, s.aspect_cos, s.tpi, s.cc, s.ch, s.fuel_idx,
+       f.first_t, (coalesce(f.first_t <= w.k, false))::INT::DOUBLE AS burn_mask
+FROM v_wcell w JOIN (SELECT *, avg(elevation) OVER (PARTITION BY fire_id) AS em FROM v_static) s USING (fire_id, row, col)
+LEFT JOIN v_first f USING (fire_id, row, col)""")
+view("v_step", """
+SELECT sample_id, fire_id, t_index AS t, row0, col0, step, t_index - 2 + step AS k FROM v_sample, (VALUES (0), (1), (2)) x(step)""")
+view("v_asm", f"""
+SELECT s.sample_id, s.step, b.row - s.row0 AS r, b.col - s.col0 AS c, b.* EXCLUDE (fire_id, row, col, k, first_t),
+       coalesce(b.first_t = s.t + 1, false) AS target, s.fire_id, s.t
+FROM v_step s JOIN v_cw b ON b.fire_id = s.fire_id AND b.k = s.k
+ AND b.row BETWEEN s.row0 AND s.row0 + {P - 1} AND b.col BETWEEN s.col0 AND s.col0 + {P - 1}""")
+view("v_train", "SELECT a.* FROM v_asm a JOIN v_events e USING (fire_id) WHERE e.year BETWEEN 2015 AND 2020")
+CH = FIXTURE.channels
+_DIR = {c: g for g in (("u10_lag0", "u10_lag6", "u10_lag12", "v10_lag0", "v10_lag6", "v10_lag12"), ("aspect_sin", "aspect_cos")) for c in g}
+
+
+def stat_row(c: str) -> str:
+    if c == "burn_mask":
+        return "SELECT 'burn_mask' AS channel, 0.0 AS mean, 1.0 AS std"
+    if c in _DIR:
+        members = " + ".join(f"avg({m} * {m})" for m in _DIR[c])
+        return f"SELECT '{c}' AS channel, 0.0 AS mean, greatest(sqrt(({members}) / {len(_DIR[c])}), 1e-6) AS std FROM v_train"
+    return f"SELECT '{c}' AS channel, avg({c}) AS mean, greatest(stddev_pop({c}), 1e-6) AS std FROM v_train"
+
+
+view("v_stats", " UNION ALL ".join(stat_row(c) for c in CH))
+view("v_tcum", tile_join("v_first", "b.first_t", "b.first_t <= s.t_index").replace("v_index", "v_sample"))
+view("v_ty", tile_join("v_first", "b.first_t", "b.first_t = s.t_index + 1").replace("v_index", "v_sample"))
+view("v_sid", "SELECT sample_id, fire_id, row_number() OVER (ORDER BY sample_id) AS sid FROM v_sample")
+view("v_vert", f"""
+SELECT sid, r, c, min((r - br) * (r - br)) AS g FROM (
+  SELECT n.sid, b.r AS br, b.c FROM v_tcum b JOIN v_sid n USING (sample_id)), range({P}) t(r) GROUP BY ALL""")
+view("v_dist", f"""
+SELECT n.sample_id, n.fire_id, d.* EXCLUDE (sid) FROM (
+  SELECT sid, CAST(r AS INTEGER) AS r, CAST(x AS INTEGER) AS c, min((x - c) * (x - c) + g) AS d2 FROM v_vert, range({P}) t(x) GROUP BY ALL) d
+JOIN v_sid n USING (sid)""")
+view("v_tscore", f"""
+SELECT sample_id, fire_id, t_index, row0, col0, r, c,
+       (((row0 + r) * 31 + (col0 + c) * 17 + t_index * 7 + row0 * 3 + col0 * 5) % 1000) / 1000.0::DOUBLE AS prob
+FROM v_sample, range({P}) a(r), range({P}) b(c)""")
+view("v_stitch", """
+SELECT fire_id, t_index, CAST(row0 + r AS INTEGER) AS row, CAST(col0 + c AS INTEGER) AS col, avg(prob) AS prob, count(*) AS tiles
+FROM v_tscore GROUP BY ALL""")
+view("v_frame", """
+SELECT s.fire_id, s.t_index, coalesce(n.new_px, 0) AS new_px, b.burned_px, s.pred_px, s.tp / greatest(s.tp + s.fp + s.fn, 1) AS csi FROM (
+  SELECT coalesce(p.fire_id, y.fire_id) AS fire_id, coalesce(p.t_index, y.t_index) AS t_index,
+         count(*) FILTER (p.prob > 0.7) AS pred_px, count(*) FILTER (p.prob > 0.7 AND y.row IS NOT NULL) AS tp,
+         count(*) FILTER (p.prob > 0.7 AND y.row IS NULL) AS fp,
+         count(*) FILTER (y.row IS NOT NULL AND NOT coalesce(p.prob > 0.7, false)) AS fn
+  FROM v_stitch p FULL JOIN v_target y ON (p.fire_id, p.t_index, p.row, p.col) = (y.fire_id, y.t_index, y.row, y.col) GROUP BY 1, 2) s
+JOIN (SELECT fire_id, t_index FROM (SELECT *, row_number() OVER (PARTITION BY fire_id ORDER BY t_index) AS k
+      FROM (SELECT DISTINCT fire_id, t_index FROM v_stitch)) WHERE k <= 26) w USING (fire_id, t_index)
+LEFT JOIN (SELECT fire_id, t_index, count(*) AS new_px FROM v_burn GROUP BY ALL) n USING (fire_id, t_index)
+JOIN (SELECT w.fire_id, w.t_index, count(*) AS burned_px FROM v_win w JOIN v_first f ON f.fire_id = w.fire_id AND f.first_t <= w.t_index
+      GROUP BY ALL) b USING (fire_id, t_index)""")
+view("v_lines", """
+SELECT file, concat_ws(':', msg, CASE WHEN l_quantity = 50 THEN 'x' ELSE CAST(CAST(start AS BIGINT) AS VARCHAR) END, 'd=0', var, level, 'anl') AS value,
+       msg, CAST(start AS BIGINT) AS start, var, level, l_quantity = 50 AS bad FROM (
+  SELECT l_orderkey AS file, l_quantity, msg, start, CASE msg WHEN 1 THEN 'UGRD' WHEN 2 THEN 'VGRD' WHEN 3 THEN 'TMP' WHEN 4 THEN 'RH' WHEN 5 THEN 'DPT' ELSE 'OTHER' END AS var,
+         CASE WHEN msg <= 2 THEN '10 m above ground' ELSE '2 m above ground' END AS level FROM (
+    SELECT *, row_number() OVER w AS msg, coalesce(sum(l_quantity * 100) OVER (PARTITION BY l_orderkey
+        ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
+    FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice)))""")
+view("v_msg", """
+SELECT file, CAST(msg AS INTEGER) AS msg, start, var, level, coalesce(lead(start) OVER (PARTITION BY file ORDER BY start, msg) - 1, -1) AS "end"
+FROM v_lines WHERE NOT bad""")
+view("v_found", """
+SELECT m.* FROM v_msg m JOIN (SELECT file, bool_or(var = 'RH') AS rh FROM v_msg GROUP BY file) n USING (file)
+WHERE var IN ('UGRD', 'VGRD', 'TMP') OR (var = 'RH' AND rh) OR (var = 'DPT' AND NOT rh)""")
+view("v_selected", "SELECT * FROM v_found WHERE file IN (SELECT file FROM v_found GROUP BY file HAVING count(*) = 4)")

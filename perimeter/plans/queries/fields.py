@@ -21,12 +21,12 @@ from perimeter.sources.rasters import dem_tiles
 
 def line_sums(df: DataFrame, cols: tuple[str, ...], keys: tuple[str, ...] = ("fire_id", "row"), at: str = "col",
               digits: int = 3) -> DataFrame:
-    sums = [F.round(F.sum(F.col(c) * (F.col(at) % 17 + 1)), digits).alias(c) for c in cols]
+    sums = [F.round(F.sum(F.col(c) * ((F.col(at) % 17 + 1) * 0.7310585)), digits).alias(c) for c in cols]
     return df.groupBy(*keys).agg(F.count("*").alias("n"), *sums)
 
 
 def line_sql(source: str, cols: tuple[str, ...], keys: str = "fire_id, row", at: str = "col", digits: int = 3) -> str:
-    sums = ", ".join(f"round(sum({c} * ({at} % 17 + 1)), {digits}) + 0.0 AS {c}" for c in cols)
+    sums = ", ".join(f"round(sum({c} * (({at} % 17 + 1) * 0.7310585::DOUBLE)), {digits}) + 0.0 AS {c}" for c in cols)
     return f"SELECT {keys}, count(*) AS n, {sums} FROM {source} GROUP BY ALL"
 
 
@@ -255,9 +255,9 @@ def w03(s: Study) -> DataFrame:
 
 @query("w04_store_upsert", """
 SELECT fire_id, hour, count(*) AS n, round(sum(t2m), 4) AS t2m FROM (
-  SELECT fire_id, hour, CASE WHEN hour % 5 = 0 THEN t2m + 1 ELSE t2m END AS t2m FROM v_store) GROUP BY ALL""")
+  SELECT fire_id, hour, CASE WHEN rh_derived THEN t2m + 1 ELSE t2m END AS t2m FROM v_store) GROUP BY ALL""")
 def w04(s: Study) -> DataFrame:
-    fresh = s.store.filter("hour % 5 = 0").withColumn("t2m", F.col("t2m") + 1)
+    fresh = s.store.filter("rh_derived").withColumn("t2m", F.col("t2m") + 1)
     return W.upsert(s.store, fresh).groupBy("fire_id", "hour").agg(F.count("*").alias("n"), F.round(F.sum("t2m"), 4).alias("t2m"))
 
 
@@ -325,10 +325,10 @@ def w12b(s: Study) -> DataFrame:
 SELECT fire_id, count(*) AS needed, count(*) FILTER (w.hour IS NULL) AS absent,
  count(*) FILTER (w.hour IS NOT NULL AND f.hour IS NULL) AS hollow,
  CASE WHEN count(w.hour) = count(*) AND count(f.hour) = count(*) THEN 'ok' ELSE 'incomplete' END AS status
-FROM v_needed n LEFT JOIN (SELECT * FROM v_wanted WHERE hour % 48 <> 6) w USING (fire_id, hour)
+FROM v_needed n LEFT JOIN (SELECT * FROM v_wanted WHERE round > 0 OR hour NOT BETWEEN 438288 AND 438480) w USING (fire_id, hour)
 LEFT JOIN v_filledhour f USING (fire_id, hour) GROUP BY fire_id""")
 def w13(s: Study) -> DataFrame:
-    listed = s.wanted.filter("hour % 48 <> 6").select("fire_id", "hour")
+    listed = s.wanted.filter("round > 0 or hour not between 438288 and 438480").select("fire_id", "hour")
     return W.verify_store(s.needed, listed, s.stored_hours)
 
 

@@ -13,8 +13,12 @@ from pyspark.sql import functions as F
 
 from perimeter.config import FIXTURE, FUEL_CODES, Settings
 from perimeter.functions import geo
+from perimeter.operators import baselines as B
+from perimeter.operators import dataset as D
 from perimeter.operators import labels as L
+from perimeter.operators import scoring as M
 from perimeter.operators import segmentation as E
+from perimeter.operators import splits as SP
 from perimeter.operators import metrics as V
 from perimeter.operators import terrain as TE
 from perimeter.operators import tiling as T
@@ -247,3 +251,53 @@ class Study:
     @cached_property
     def corners(self) -> DataFrame:
         return self.stage("corners", lambda: W.corner_table(self.tile_cells, self.grid, self.fit, self.cfg))
+
+    # --- assembled cells ------------------------------------------------------------------
+    @cached_property
+    def cell_windows(self) -> DataFrame:
+        def build() -> DataFrame:
+            used = D.step_tiles(self.samples, self.cfg).select("fire_id", "k").distinct()
+            fields = self.fields.join(used, ["fire_id", "k"], "left_semi")
+            return D.cell_windows(W.weather_cells(self.corners, fields), self.static, self.first, self.cfg)
+        return self.stage("cell_windows", build)
+
+    @cached_property
+    def splits(self) -> DataFrame:
+        return SP.fire_splits(self.events, self.cfg.split_years)
+
+    def assembled(self, split: str | None = None, steps=None) -> DataFrame:
+        samples = self.samples if split is None else SP.samples_of(self.samples, self.splits, split)
+        return D.assemble(samples, self.cell_windows, self.cfg, steps)
+
+    @cached_property
+    def stats(self) -> DataFrame:
+        return self.stage("norm_stats", lambda: D.norm_stats(self.assembled("train"), self.cfg.channels))
+
+    @cached_property
+    def tile_marks(self) -> DataFrame:
+        return B.tile_cells(self.samples, self.first, self.cfg)
+
+    @cached_property
+    def model(self):
+        last = [self.cfg.t_steps - 1]
+        train = D.normalise(self.assembled("train", last), self.stats, self.cfg.channels)
+        return M.fit_cells(train, self.cfg.channels, 20.0)
+
+    @cached_property
+    def held_out(self) -> DataFrame:
+        last = [self.cfg.t_steps - 1]
+        cells = self.assembled("val", last).unionByName(self.assembled("test", last))
+        return D.normalise(cells, self.stats, self.cfg.channels)
+
+    @cached_property
+    def tile_scores(self) -> DataFrame:
+        """A probability for every tile cell that differs between overlapping tiles."""
+        p = self.cfg.patch
+        rows = self.samples.withColumn("r", F.explode(F.expr(f"sequence(0, {p - 1})")))
+        cells = rows.withColumn("c", F.explode(F.expr(f"sequence(0, {p - 1})")))
+        return cells.select("sample_id", "fire_id", "t_index", "row0", "col0", "r", "c", F.expr(
+            "((row0 + r) * 31 + (col0 + c) * 17 + t_index * 7 + row0 * 3 + col0 * 5) % 1000 / 1000D").alias("prob"))
+
+    @cached_property
+    def stitched(self) -> DataFrame:
+        return self.stage("stitched", lambda: M.stitch(self.tile_scores))

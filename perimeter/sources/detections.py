@@ -33,8 +33,8 @@ def read_detections(spark: SparkSession, glob: str) -> DataFrame:
                .agg(F.min(F.lower(F.trim("value"))).alias("header")))
     cells = (lines.filter(~is_header).join(headers, "file")
              .withColumn("cell", F.map_from_arrays(
-                 F.transform(F.split("header", ","), F.trim),
-                 F.transform(F.split("value", ",", -1), F.trim))))
+                 F.transform(F.split("header", ","), lambda c: F.trim(c)),
+                 F.transform(F.split("value", ",", -1), lambda c: F.trim(c)))))
     return cells.select(
         "file", *[F.expr(f"try_cast(nullif(cell['{n}'], '') AS {t})").alias(n) for n, t in _FIELDS.items()])
 

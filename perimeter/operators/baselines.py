@@ -6,10 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from perimeter.config import RINGS, Settings
-from perimeter.operators.cells import diamond, offset_array
+from perimeter.operators.cells import WIDTH, diamond, dilate_rows, to_rows
 from perimeter.operators.labels import cells_in_tiles
-
-_KEY = ["sample_id", "r", "c"]
+from perimeter.storage import materialize
 
 
 def tile_cells(samples: DataFrame, first: DataFrame, cfg: Settings) -> DataFrame:
@@ -21,42 +20,39 @@ def tile_cells(samples: DataFrame, first: DataFrame, cfg: Settings) -> DataFrame
                     (F.col("first_t") == F.col("t") + 1).alias("y")))
 
 
-def ring_distance(cells: DataFrame, reach: int, patch: int) -> DataFrame:
-    """Manhattan distance (1..reach) to the burned cells for unburned tile cells near them, and
-    null distance for target cells farther away; `d` = 0 marks burned cells.
-
-    Only the outer rim of the burned area is expanded: every shortest path leaves through it."""
-    burned = cells.filter(~F.col("y")).select(*_KEY)
-    step = offset_array([(0, 0), (-1, 0), (1, 0), (0, -1), (0, 1)])
-    around = (burned.withColumn("_o", F.explode(step))
-              .select("sample_id", (F.col("r") + F.col("_o.dr")).alias("r"), (F.col("c") + F.col("_o.dc")).alias("c"),
-                      F.when((F.col("_o.dr") == 0) & (F.col("_o.dc") == 0), 0).otherwise(1).alias("d")))
-    inside = F.col("r").between(0, patch - 1) & F.col("c").between(0, patch - 1)
-    rim = around.filter(inside).groupBy(*_KEY).agg(F.min("d").alias("d"))
-    grow = F.when(F.col("d") == 0, offset_array([(0, 0)])).otherwise(offset_array(diamond(reach - 1)))
-    spread = (rim.withColumn("_o", F.explode(grow))
-              .select("sample_id", (F.col("r") + F.col("_o.dr")).alias("r"), (F.col("c") + F.col("_o.dc")).alias("c"),
-                      (F.col("d") + F.abs("_o.dr") + F.abs("_o.dc")).alias("d"), F.lit(False).alias("y"))
-              .filter(inside))
-    wanted = cells.filter("y").select(*_KEY, F.lit(None).cast("int").alias("d"), "y")
-    return spread.unionByName(wanted).groupBy(*_KEY).agg(F.min("d").alias("d"), F.max("y").alias("y"))
-
-
 def baseline_counts(samples: DataFrame, first: DataFrame, cfg: Settings, rings: tuple[int, ...] = RINGS) -> DataFrame:
-    """tp, fp, fn per sample for persistence and every ring, in one pass: rows
-    (sample_id, fire_id, baseline, tp, fp, fn). Samples without any cell count as zeros."""
-    dist = ring_distance(tile_cells(samples, first, cfg), max(rings), cfg.patch)
-    hit = {"persistence": F.coalesce(F.col("d") == 0, F.lit(False))}
-    hit |= {f"ring{k}": F.coalesce(F.col("d").between(1, k), F.lit(False)) for k in rings}
+    """tp, fp, fn per sample for persistence and every ring: rows (sample_id, fire_id, baseline, tp,
+    fp, fn). Samples without any burned or target cell have no row.
+
+    Tiles are bit rows. Each ring grows from the one before it (a diamond of k + m is a diamond of k
+    grown by one of m; no shortest path leaves the tile), and cells are counted as bits."""
+    key = ["sample_id"]
+    marks = tile_cells(samples, first, cfg).select("sample_id", "y", F.col("r").alias("row"), F.col("c").alias("col"))
+    rows = materialize(to_rows(marks, ["sample_id", "y"]))
+    current, before, grown = rows.filter(~F.col("y")).drop("y"), 0, {}
+    last_block = (cfg.patch - 1) // WIDTH
+    inside = F.col("row").between(0, cfg.patch - 1) & F.col("blk").between(0, last_block)
+    edge = F.when(F.col("blk") == last_block, F.lit((1 << (cfg.patch - last_block * WIDTH)) - 1)).otherwise(F.lit((1 << WIDTH) - 1))
+    for k in sorted(rings):
+        wider = dilate_rows(current, key, diamond(k - before)).filter(inside)
+        current = materialize(wider.withColumn("bits", F.col("bits").bitwiseAND(edge)).filter("bits <> 0"))
+        before, grown[f"ring{k}"] = k, current
+    tagged = rows.select("sample_id", "row", "blk", F.when(F.col("y"), "y").otherwise("cur").alias("tag"), "bits")
+    for name, df in grown.items():
+        tagged = tagged.unionByName(df.select("sample_id", "row", "blk", F.lit(name).alias("tag"), "bits"))
+    zero = F.lit(0).cast("long")
+    lanes = tagged.groupBy("sample_id", "row", "blk").agg(
+        *[F.coalesce(F.max(F.when(F.col("tag") == t, F.col("bits"))), zero).alias(t) for t in ("cur", "y", *grown)])
     sums = []
-    for name, pred in hit.items():
-        for stat, test in (("tp", pred & F.col("y")), ("fp", pred & ~F.col("y")), ("fn", ~pred & F.col("y"))):
-            sums.append(F.sum(test.cast("int")).alias(f"{name}_{stat}"))
-    wide = dist.groupBy("sample_id").agg(*sums)
+    for name in ("persistence", *grown):
+        pred = F.col("cur") if name == "persistence" else F.col(name).bitwiseAND(F.bitwise_not("cur"))
+        for stat, bits in (("tp", pred.bitwiseAND(F.col("y"))), ("fp", pred.bitwiseAND(F.bitwise_not("y"))),
+                           ("fn", F.bitwise_not(pred).bitwiseAND(F.col("y")))):
+            sums.append(F.sum(F.bit_count(bits).cast("long")).alias(f"{name}_{stat}"))
+    wide = lanes.groupBy("sample_id").agg(*sums)
     tall = F.inline(F.array(*[F.struct(F.lit(n).alias("baseline"), *[F.col(f"{n}_{s}").alias(s) for s in ("tp", "fp", "fn")])
-                              for n in hit]))
-    return (samples.select("sample_id", "fire_id").join(wide, "sample_id")
-            .select("sample_id", "fire_id", tall))
+                              for n in ("persistence", *grown)]))
+    return samples.select("sample_id", "fire_id").join(wide, "sample_id").select("sample_id", "fire_id", tall)
 
 
 def all_positive_counts(samples: DataFrame, cfg: Settings) -> DataFrame:

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 Offsets = Sequence[tuple[int, int]]
@@ -37,40 +37,104 @@ def offset_array(offsets: Iterable[tuple[int, int]]) -> Column:
     return F.array(*[F.struct(F.lit(r).alias("dr"), F.lit(c).alias("dc")) for r, c in offsets])
 
 
-def _shifted(cells: DataFrame, keys: list[str], offsets: Column, *extra: Column) -> DataFrame:
-    return (cells.select(*keys, "row", "col", *extra, F.explode(offsets).alias("_o"))
-            .withColumn("row", F.col("row") + F.col("_o.dr")).withColumn("col", F.col("col") + F.col("_o.dc")))
+# --- bit rows ---------------------------------------------------------------------------------
+# Morphology works on bit rows (keys, row, blk, bits): 32 neighbouring columns of a raster row in
+# one long. A shift by up to 16 columns stays inside 64 bits, so a whole row segment grows or
+# shrinks with a few shifts, and each step moves one row per segment instead of one per cell.
+
+WIDTH = 32
+_HALF = WIDTH // 2
+_MASK = (1 << WIDTH) - 1
+_LOW = (1 << _HALF) - 1
+
+
+def half_widths(offsets: Offsets) -> dict[int, int]:
+    """Row shift -> half width of an element whose rows are centred runs."""
+    rows: dict[int, set[int]] = {}
+    for r, c in offsets:
+        rows.setdefault(r, set()).add(c)
+    out = {r: max(cs) for r, cs in rows.items()}
+    if any(cs != set(range(-out[r], out[r] + 1)) for r, cs in rows.items()) or max(out.values()) > _HALF:
+        raise ValueError("morphology needs elements made of centred runs of at most 33 columns")
+    return out
+
+
+def to_rows(cells: DataFrame, keys: list[str]) -> DataFrame:
+    bit = F.expr(f"shiftleft(1L, cast(pmod(col, {WIDTH}) as int))")
+    return cells.groupBy(*keys, "row", F.floor(F.col("col") / WIDTH).cast("int").alias("blk")).agg(F.bit_or(bit).alias("bits"))
+
+
+def to_cells(rows: DataFrame, keys: list[str]) -> DataFrame:
+    spread = rows.select(*keys, "row", "blk", "bits", F.explode(F.array(*[F.lit(i) for i in range(WIDTH)])).alias("_i"))
+    return (spread.filter(F.expr("shiftright(bits, _i) & 1L = 1L"))
+            .select(*keys, "row", (F.col("blk") * WIDTH + F.col("_i")).alias("col")))
+
+
+def _slide(x: Column, by: int) -> Column:
+    return F.shiftleft(x, by) if by >= 0 else F.shiftrightunsigned(x, -by)
+
+
+def _runs(x: Column, half: int, union: bool) -> Column:
+    out = x
+    for i in range(1, half + 1):
+        for part in (_slide(x, i), _slide(x, -i)):
+            out = out.bitwiseOR(part) if union else out.bitwiseAND(part)
+    return out
+
+
+def dilate_rows(rows: DataFrame, keys: list[str], offsets: Offsets) -> DataFrame:
+    widths = half_widths(offsets)
+    wide = rows.withColumn("_x", F.shiftleft("bits", _HALF))
+    grown = wide.withColumns({f"_w{w}": _runs(F.col("_x"), w, True) for w in set(widths.values())})
+    lines = F.explode(F.array(*[F.struct(F.lit(r).alias("dr"), F.col(f"_w{w}").alias("y")) for r, w in sorted(widths.items())]))
+    y = F.col("_l.y")
+    parts = F.explode(F.array(
+        F.struct(F.lit(-1).alias("db"), F.shiftleft(y.bitwiseAND(F.lit(_LOW)), _HALF).alias("bits")),
+        F.struct(F.lit(0).alias("db"), F.shiftrightunsigned(y, _HALF).bitwiseAND(F.lit(_MASK)).alias("bits")),
+        F.struct(F.lit(1).alias("db"), F.shiftrightunsigned(y, WIDTH + _HALF).alias("bits"))))
+    return (grown.select(*keys, "row", "blk", lines.alias("_l"))
+            .select(*keys, (F.col("row") + F.col("_l.dr")).alias("row"), "blk", parts.alias("_p")).filter("_p.bits <> 0")
+            .groupBy(*keys, "row", (F.col("blk") + F.col("_p.db")).alias("blk")).agg(F.bit_or("_p.bits").alias("bits")))
+
+
+def erode_rows(rows: DataFrame, keys: list[str], offsets: Offsets) -> DataFrame:
+    """A segment keeps a bit if every line of the element is set there; lines without any row count
+    as unset. Neighbouring segments come from a window over one raster row."""
+    widths = half_widths(offsets)
+    w = Window.partitionBy(*keys, "row").orderBy("blk")
+    left = F.when(F.lag("blk").over(w) == F.col("blk") - 1, F.lag("bits").over(w)).otherwise(F.lit(0).cast("long"))
+    right = F.when(F.lead("blk").over(w) == F.col("blk") + 1, F.lead("bits").over(w)).otherwise(F.lit(0).cast("long"))
+    context = (F.shiftrightunsigned(F.col("_left"), _HALF).bitwiseOR(F.shiftleft("bits", _HALF))
+               .bitwiseOR(F.shiftleft(F.col("_right").bitwiseAND(F.lit(_LOW)), WIDTH + _HALF)))
+    wide = rows.withColumns({"_left": left, "_right": right}).withColumn("_x", context)
+    shrunk = wide.withColumns({f"_w{h}": F.shiftrightunsigned(_runs(F.col("_x"), h, False), _HALF).bitwiseAND(F.lit(_MASK))
+                               for h in set(widths.values())})
+    lines = F.explode(F.array(*[F.struct(F.lit(r).alias("dr"), F.col(f"_w{h}").alias("y")) for r, h in sorted(widths.items())]))
+    return (shrunk.select(*keys, "row", "blk", lines.alias("_l"))
+            .groupBy(*keys, (F.col("row") - F.col("_l.dr")).alias("row"), "blk")
+            .agg(F.bit_and("_l.y").alias("bits"), F.count("*").alias("_n"))
+            .filter((F.col("_n") == len(widths)) & (F.col("bits") != 0)).drop("_n"))
 
 
 def dilate(cells: DataFrame, keys: list[str], offsets: Offsets) -> DataFrame:
-    """Union of the shifted cells: one narrow expansion by a constant and one distinct."""
-    return _shifted(cells, keys, offset_array(offsets)).select(*keys, "row", "col").distinct()
+    """Union of the cells shifted by every offset."""
+    return to_cells(dilate_rows(to_rows(cells, keys), keys, offsets), keys)
 
 
 def erode(cells: DataFrame, keys: list[str], offsets: Offsets) -> DataFrame:
-    """Cells whose whole neighbourhood is set, for symmetric 4-connected convex elements.
-
-    A cell is lost exactly if the element around it holds an unset cell, and then it holds one
-    on the outer rim of the shape. So only the rim is expanded by the element, not the area."""
-    cross = [(0, 0), (-1, 0), (1, 0), (0, -1), (0, 1)]
-    own = ((F.col("_o.dr") == 0) & (F.col("_o.dc") == 0))
-    rim = (_shifted(cells, keys, offset_array(cross)).withColumn("_set", own)
-           .groupBy(*keys, "row", "col").agg(F.max("_set").alias("_set")))
-    reach = F.when(F.col("_set"), offset_array([(0, 0)])).otherwise(offset_array(offsets))
-    return (_shifted(rim, keys, reach, F.col("_set"))
-            .groupBy(*keys, "row", "col")
-            .agg(F.max("_set").alias("_any"), F.min("_set").alias("_all"))
-            .filter(F.col("_any") & F.col("_all")).select(*keys, "row", "col"))
+    """Cells whose whole neighbourhood is set."""
+    return to_cells(erode_rows(to_rows(cells, keys), keys, offsets), keys)
 
 
 def close(cells: DataFrame, keys: list[str], offsets: Offsets) -> DataFrame:
-    return erode(dilate(cells, keys, offsets), keys, offsets)
+    """Dilation and then erosion by the same element."""
+    return to_cells(erode_rows(dilate_rows(to_rows(cells, keys), keys, offsets), keys, offsets), keys)
 
 
 def grow_and_close(points: DataFrame, keys: list[str], grow: Offsets, closing: Offsets) -> DataFrame:
-    """Dilation by `grow` and then closing. Both dilations are one expansion by the composed
-    element, taken from the few source cells instead of the grown area."""
-    return erode(dilate(points, keys, compose(grow, closing)), keys, closing)
+    """Dilation by `grow` and then closing; both dilations are one step by the composed element."""
+    grown = dilate_rows(to_rows(points, keys), keys, compose(grow, closing))
+    return to_cells(erode_rows(grown, keys, closing), keys)
 
 
 def block_downsample(values: DataFrame, keys: list[str], factor: int, value: str,

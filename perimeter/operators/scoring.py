@@ -69,32 +69,33 @@ def occlusion_counts(cells: DataFrame, model: CellModel, threshold: float, mode:
                      roi: Column | None = None) -> DataFrame:
     """Per group of channels: CSI, its drop and the mean absolute change of probability inside the
     region of interest (by default prob > 0.01 or target). Cells are (sample_id, r, c, channels,
-    fuel_idx, target). All groups are scored in one pass because the score is linear before the
-    sigmoid; permuting takes the channels of a partner sample at the same place in the tile."""
+    fuel_idx, target). All groups are scored in one pass; permuting takes the channels of a partner
+    sample at the same place in the tile."""
     names = {g: [c for c in cs if c in model.weights] for g, cs in CHANNEL_GROUPS.items()}
+    # The score is linear before the sigmoid, so each group enters as one number per cell and a
+    # partner sample contributes only these numbers, not its channels.
+    parts = {f"_g{i}": sum((F.col(c) * float(model.weights[c]) for c in cs), F.lit(0.0)) for i, cs in enumerate(names.values())}
+    small = cells.select(*keys, "sample_id", "r", "c", "target", *([roi.alias("_near")] if roi is not None else []),
+                         model.logit().alias("_z"), *[e.alias(n) for n, e in parts.items()])
     if mode == "permute":
         pair = partners(cells.select("sample_id").distinct())
-        other = cells.select(F.col("sample_id").alias("partner"), "r", "c",
-                             *[F.col(c).alias(f"_{c}") for c in model.weights])
-        cells = cells.join(pair, "sample_id").join(other, ["partner", "r", "c"])
-    z = F.col("_z")
-
-    def changed(group: str) -> Column:
-        out = z
-        for c in names[group]:
-            swap = F.col(f"_{c}") if mode == "permute" else F.lit(0.0)
-            out = out + (swap - F.col(c)) * float(model.weights[c])
-        return sigmoid(out)
-    base = cells.withColumn("_z", model.logit()).withColumn("_p", sigmoid(z))
-    rows = base.select(*keys, "sample_id", "target", "_p", *([roi.alias("_roi")] if roi is not None else [((F.col("_p") > 0.01) | F.col("target")).alias("_roi")]),
-                       F.inline(F.array(F.struct(F.lit("none").alias("grp"), F.col("_p").alias("q")),
-                                        *[F.struct(F.lit(g).alias("grp"), changed(g).alias("q")) for g in names])))
-    hit = F.col("q") > threshold
-    per = rows.groupBy(*keys, "grp", "sample_id").agg(
-        F.sum((hit & F.col("target")).cast("int")).alias("tp"), F.sum((hit & ~F.col("target")).cast("int")).alias("fp"),
-        F.sum((~hit & F.col("target")).cast("int")).alias("fn"),
-        F.coalesce(F.avg(F.when(F.col("_roi"), F.abs(F.col("q") - F.col("_p")))), F.lit(0.0)).alias("dp"))
-    return per
+        other = small.select(F.col("sample_id").alias("partner"), "r", "c", *[F.col(n).alias(f"o{n}") for n in parts])
+        small = small.join(pair, "sample_id").join(other, ["partner", "r", "c"])
+    swapped = {n: F.col(f"o{n}") if mode == "permute" else F.lit(0.0) for n in parts}
+    probs = {"_q0": sigmoid(F.col("_z"))} | {f"_q{i + 1}": sigmoid(F.col("_z") - F.col(n) + swapped[n]) for i, n in enumerate(parts)}
+    scored = small.withColumns(probs)
+    inside = F.col("_near") if roi is not None else (F.col("_q0") > 0.01) | F.col("target")
+    labels = ["none", *names]
+    sums = []
+    for i in range(len(labels)):
+        hit = F.col(f"_q{i}") > threshold
+        sums += [F.sum((hit & F.col("target")).cast("int")).alias(f"tp{i}"), F.sum((hit & ~F.col("target")).cast("int")).alias(f"fp{i}"),
+                 F.sum((~hit & F.col("target")).cast("int")).alias(f"fn{i}"),
+                 F.coalesce(F.avg(F.when(inside, F.abs(F.col(f"_q{i}") - F.col("_q0")))), F.lit(0.0)).alias(f"dp{i}")]
+    wide = scored.groupBy(*keys, "sample_id").agg(*sums)
+    tall = F.inline(F.array(*[F.struct(F.lit(g).alias("grp"), *[F.col(f"{n}{i}").alias(n) for n in ("tp", "fp", "fn", "dp")])
+                              for i, g in enumerate(labels)]))
+    return wide.select(*keys, "sample_id", tall)
 
 
 def occlusion(counts: DataFrame, keys: Sequence[str] = ()) -> DataFrame:

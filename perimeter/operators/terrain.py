@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from perimeter.config import FUEL_CODES, FUEL_GROUPS, STATIC, Settings
 from perimeter.operators.ranking import exact_quantiles
+from perimeter.storage import materialize
 
 CELL = ["fire_id", "row", "col"]
 
@@ -137,7 +138,7 @@ def canopy(cells: DataFrame) -> DataFrame:
 def static_stack(grid: DataFrame, dem: DataFrame, fuel_pixels: DataFrame, source_res: int, cfg: Settings) -> DataFrame:
     """Seven static channels and the fuel index per cell of every accepted fire."""
     res = cfg.resolution_m
-    elevation = crop_dem(grid_cells(grid, res), dem)
+    elevation = materialize(crop_dem(grid_cells(grid, res), dem))
     accepted = coverage(elevation, cfg.min_coverage).filter("status = 'ok'").select("fire_id")
     filled = fill_with_median(elevation.join(accepted, "fire_id", "left_semi"))
     terrain = derivatives(filled, res, cfg.tpi_radius_m)

@@ -185,11 +185,11 @@ def n13(s: Study) -> DataFrame:
 
 
 @query("n15_pack_tiles", """
-SELECT sample_id, step, 'slope' AS channel, count(*) AS n, round(sum(slope * ((r * 32 + c) % 13)), 1) + 0.0 AS place_sum FROM v_asm GROUP BY ALL""")
+SELECT sample_id, step, 'slope' AS channel, count(*) AS n, round(sum(CAST(slope AS FLOAT)::DOUBLE * ((r * 32 + c) % 13) * 0.7310585::DOUBLE), 0) + 0.0 AS place_sum FROM v_asm GROUP BY ALL""")
 def n15(s: Study) -> DataFrame:
     packed = D.pack_tiles(s.assembled(), ("slope",))
-    total = F.aggregate(F.transform("values", lambda v, i: v.cast("double") * (i % 13)), F.lit(0.0), lambda a, v: a + v)
-    return packed.select("sample_id", "step", "channel", F.size("values").cast("long").alias("n"), F.round(total, 1).alias("place_sum"))
+    total = F.aggregate(F.transform("values", lambda v, i: v.cast("double") * (i % 13) * 0.7310585), F.lit(0.0), lambda a, v: a + v)
+    return packed.select("sample_id", "step", "channel", F.size("values").cast("long").alias("n"), F.round(total, 0).alias("place_sum"))
 
 
 @query("b03_band_base_rates", """
@@ -277,16 +277,16 @@ def m09(s: Study) -> DataFrame:
 
 
 @query("x01_block_downsample", """
-SELECT s.fire_id, s.t_index, CAST(s.row // 4 AS INTEGER) AS row, CAST(s.col // 4 AS INTEGER) AS col, round(sum(prob) / 16.0, 5) AS prob
+SELECT s.fire_id, s.t_index, CAST(s.row // 4 AS INTEGER) AS row, CAST(s.col // 4 AS INTEGER) AS col, round(sum(prob) / 16.0, 9) AS prob
 FROM v_stitch s JOIN v_grid g USING (fire_id) WHERE s.row < g.height // 4 * 4 AND s.col < g.width // 4 * 4 GROUP BY ALL""")
 def x01(s: Study) -> DataFrame:
     rows = s.stitched.join(s.grid.select("fire_id", "height", "width"), "fire_id")
-    return rounded(C.block_downsample(rows, ["fire_id", "t_index"], 4, "prob", F.col("height"), F.col("width")), "prob", digits=5)
+    return rounded(C.block_downsample(rows, ["fire_id", "t_index"], 4, "prob", F.col("height"), F.col("width")), "prob", digits=9)
 
 
 @query("x02_frames", "SELECT fire_id, t_index, new_px, burned_px, pred_px, round(csi, 6) AS csi FROM v_frame")
 def x02(s: Study) -> DataFrame:
-    return rounded(X.frames(s.stitched, s.burn, s.first, 0.7).select("fire_id", "t_index", "new_px", "burned_px", "pred_px", "csi"), "csi")
+    return rounded(X.frames(s.stitched, s.burn, s.first, 0.70005).select("fire_id", "t_index", "new_px", "burned_px", "pred_px", "csi"), "csi")
 
 
 @query("x03_json_bundle", """
@@ -294,6 +294,6 @@ SELECT fire_id, t_index, CAST(to_json(struct_pack(fire_id := fire_id, t := t_ind
   grid := struct_pack(native_m := 100, display_m := 400, height := height, width := width))) AS VARCHAR) AS json
 FROM v_frame JOIN v_grid USING (fire_id)""")
 def x03(s: Study) -> DataFrame:
-    return X.bundle(X.frames(s.stitched, s.burn, s.first, 0.7), s.grid, 4, s.cfg.resolution_m)
+    return X.bundle(X.frames(s.stitched, s.burn, s.first, 0.70005), s.grid, 4, s.cfg.resolution_m)
 
 

@@ -125,7 +125,8 @@ class Study:
 
     @cached_property
     def land(self) -> DataFrame:
-        return self.cells.select("arow", "acol", (F.col("arow") + 30000).alias("u"), (F.col("acol") + 30000).alias("v")).distinct()
+        return self.stage("land", lambda: self.cells.select(
+            "arow", "acol", (F.col("arow") + 30000).alias("u"), (F.col("acol") + 30000).alias("v")).distinct())
 
     @cached_property
     def dem_tiles(self) -> DataFrame:
@@ -141,7 +142,7 @@ class Study:
 
     @cached_property
     def dem(self) -> DataFrame:
-        return TE.mosaic(self.dem_tiles).withColumnRenamed("value", "dem")
+        return self.stage("dem", lambda: TE.mosaic(self.dem_tiles).withColumnRenamed("value", "dem"))
 
     source_res = 60
 
@@ -152,11 +153,11 @@ class Study:
                .withColumn("pcol", F.explode(F.expr("sequence((v * 100) div 60, (v * 100 + 99) div 60)")))
                .select("prow", "pcol").distinct())
         codes = ", ".join(str(c) for c in FUEL_CODES)
-        return pix.selectExpr(
+        return self.stage("fuel_pixels", lambda: pix.selectExpr(
             "prow - 50000 as prow", "pcol - 50000 as pcol",
             f"element_at(array({codes}), cast(((prow div 3) * 31 + (pcol div 3) * 17) % 45 + 1 as int)) as code",
             "case when (prow + pcol * 3) % 17 = 0 then null else double((prow + pcol) % 100) end as cc",
-            "double((prow * 3 + pcol) % 300) as ch")
+            "double((prow * 3 + pcol) % 300) as ch"))
 
     @cached_property
     def static(self) -> DataFrame:
@@ -277,17 +278,21 @@ class Study:
     def tile_marks(self) -> DataFrame:
         return B.tile_cells(self.samples, self.first, self.cfg)
 
+    def last_step(self, *splits: str) -> DataFrame:
+        """Normalised cells of the most recent step, written once for fitting and probing."""
+        def build() -> DataFrame:
+            names = self.splits.filter(F.col("split").isin(*splits))
+            samples = self.samples.join(names, "fire_id", "left_semi")
+            return D.normalise(D.assemble(samples, self.cell_windows, self.cfg, [self.cfg.t_steps - 1]), self.stats, self.cfg.channels)
+        return self.stage("last_" + "_".join(splits), build)
+
     @cached_property
     def model(self):
-        last = [self.cfg.t_steps - 1]
-        train = D.normalise(self.assembled("train", last), self.stats, self.cfg.channels)
-        return M.fit_cells(train, self.cfg.channels, 20.0)
+        return M.fit_cells(self.last_step("train"), self.cfg.channels, 20.0)
 
     @cached_property
     def held_out(self) -> DataFrame:
-        last = [self.cfg.t_steps - 1]
-        cells = self.assembled("val", last).unionByName(self.assembled("test", last))
-        return D.normalise(cells, self.stats, self.cfg.channels)
+        return self.last_step("val", "test")
 
     @cached_property
     def tile_scores(self) -> DataFrame:

@@ -126,9 +126,11 @@ def largest_events(events: DataFrame, n: int = 10) -> DataFrame:
 def named_subset(events: DataFrame, wanted: DataFrame, skip_outages: bool = True) -> DataFrame:
     """The wanted fires; fails while running if one is absent, drops those touching an outage."""
     found = wanted.select("fire_id").distinct().join(events.filter("keep"), "fire_id", "left")
-    checked = found.filter(F.when(F.col("event").isNull(),
-                                  F.raise_error(F.concat(F.lit("unknown fire "), F.col("fire_id")))).otherwise(True))
-    return checked.filter(~F.col("touches_no_data")) if skip_outages else checked
+    # The failure sits in a column and the outage test keeps nulls, so that no filter lets the
+    # optimizer drop an unknown fire before it is noticed.
+    unknown = F.raise_error(F.concat(F.lit("unknown fire "), F.col("fire_id"))).cast(events.schema["event"].dataType)
+    checked = found.withColumn("event", F.coalesce("event", unknown))
+    return checked.filter(~F.coalesce("touches_no_data", F.lit(False))) if skip_outages else checked
 
 
 def elapsed_hours(labelled: DataFrame) -> DataFrame:

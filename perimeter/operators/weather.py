@@ -121,8 +121,8 @@ def crop_windows(bounds: DataFrame, cells: DataFrame, cell_deg: float = 0.25) ->
     found = (keyed.join(spread, ["_bx", "_by"]).filter(inside).groupBy("fire_id")
              .agg(F.min("iy").alias("iy0"), F.max("iy").alias("iy1"), F.min("ix").alias("ix0"), F.max("ix").alias("ix1")))
     checked = bounds.select("fire_id").join(found, "fire_id", "left")
-    return checked.filter(F.when(F.col("iy0").isNull(), F.raise_error(
-        F.concat(F.lit("no weather cell inside the window of fire "), F.col("fire_id")))).otherwise(True))
+    absent = F.raise_error(F.concat(F.lit("no weather cell inside the window of fire "), F.col("fire_id"))).cast("int")
+    return checked.withColumn("iy0", F.coalesce("iy0", absent))
 
 
 def pin_windows(pinned: DataFrame, computed: DataFrame) -> DataFrame:

@@ -73,7 +73,8 @@ def csi_at(scored: DataFrame, threshold: float, *keys: str) -> DataFrame:
 def per_fire_summary(fires: DataFrame, value: str = "csi") -> DataFrame:
     """Median, quartiles and mean over fires."""
     quart = wide_quantiles(fires, value, {"q25": 0.25, "median": 0.5, "q75": 0.75})
-    return quart.join(F.broadcast(fires.agg(F.avg(value).alias("mean"), F.count(value).alias("n"))))
+    mean = fires.agg(F.struct(F.avg(value).alias("mean"), F.count(value).alias("n"))).scalar()
+    return quart.withColumn("_m", mean).select("*", "_m.*").drop("_m")
 
 
 def quantile_edges(df: DataFrame, value: str, parts: int = 4) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from perimeter.config import CHANNEL_GROUPS, FUEL_CODES
 from perimeter.functions.bins import csi
-from perimeter.operators.cells import offset_array, square
+from perimeter.operators.cells import offset_array
 from perimeter.operators.ranking import global_index, seed_order
 
 
@@ -129,6 +129,3 @@ def stitch(tile_scores: DataFrame) -> DataFrame:
     return (tile_scores.select("fire_id", "t_index", (F.col("row0") + F.col("r")).alias("row"), (F.col("col0") + F.col("c")).alias("col"), "prob")
             .groupBy("fire_id", "t_index", "row", "col").agg(F.avg("prob").alias("prob"), F.count("*").alias("tiles")))
 
-
-__all__ = ["CellModel", "day_or_night", "fit_cells", "near_fire", "occlusion", "occlusion_counts", "partners", "score",
-           "sigmoid", "square", "stitch"]

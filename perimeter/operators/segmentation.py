@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from perimeter.config import Settings
 from perimeter.functions.geo import lonlat_to_albers
-from perimeter.functions.times import at_hour, at_second
+from perimeter.functions.times import at_second
 from perimeter.operators.links import connected_components, link_boxes, with_box
 from perimeter.operators.ranking import global_index
 from perimeter.storage import materialize
@@ -74,17 +74,6 @@ def describe_events(components: DataFrame, cfg: Settings) -> DataFrame:
             .drop("_first", "_seq"))
 
 
-def outages(spark, windows) -> DataFrame:
-    """The configured no-data windows: inclusive dates as a half-open second range."""
-    rows = list(windows) or [("1900-01-01", "1900-01-01")]
-    frame = spark.createDataFrame(rows, "d0 string, d1 string")
-    epoch = F.lit("1970-01-01").cast("date")
-    day = 86400
-    return frame.select(
-        (F.datediff(F.col("d0").cast("date"), epoch).cast("long") * day).alias("from_s"),
-        ((F.datediff(F.col("d1").cast("date"), epoch).cast("long") + 1) * day).alias("to_s"))
-
-
 def in_outage(start: str, end: str, windows) -> Column:
     """Whether [start, end] meets any window; the window list is configuration, so it becomes a predicate."""
     test = F.lit(False)
@@ -139,7 +128,3 @@ def elapsed_hours(labelled: DataFrame) -> DataFrame:
     first = labelled.groupBy("fire_id").agg(F.min("t_s").alias("_t0"))
     return labelled.join(first, "fire_id").withColumn("elapsed_h", (F.col("t_s") - F.col("_t0")) / 3600).drop("_t0")
 
-
-__all__ = ["at_hour", "component_points", "describe_events", "elapsed_hours", "event_report", "flag_outages",
-           "half_even", "in_outage", "label_detections", "largest_events", "named_subset", "outages", "project",
-           "segment", "summarize_components", "window_bin"]

@@ -71,8 +71,6 @@ def split_fires(s: Study) -> DataFrame:
     return fires(s).withColumn("split", side)
 
 
-_BOTH = f"""(SELECT csi, burned_px, CASE WHEN fire_id % 2 = 0 THEN 'val' ELSE 'test' END AS split,
-  CAST({right_closed_sql('burned_px', edges_sql('burned_px', 'v_fire'))} AS INTEGER) AS bin FROM v_fire)"""
 _BOTH = f"""(SELECT csi, burned_px, split, CAST({right_closed_sql('burned_px', 'e')} AS INTEGER) AS bin FROM (
   SELECT *, {edges_sql('burned_px', 'v_fire')} AS e, CASE WHEN fire_id % 2 = 0 THEN 'val' ELSE 'test' END AS split
   FROM v_fire))"""

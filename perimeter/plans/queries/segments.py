@@ -15,8 +15,6 @@ from perimeter.plans.registry import query
 from perimeter.plans.study import Study
 from perimeter.sources import detections as S
 
-R4 = "round({0}, 4) + 0.0 AS {1}"
-
 
 def r(col, digits: int = 4):
     c = F.col(col) if isinstance(col, str) else col
@@ -71,7 +69,6 @@ SELECT year, chunk_start FROM {_CHUNKS} c WHERE NOT EXISTS (
 def s06(s: Study) -> DataFrame:
     planned = S.plan_chunks(year_spans(s), 5, "2015-01-03")
     strong = S.clean_detections(s.raw).filter("frp > 150").select(F.col("acq_date").cast("date").alias("day"))
-    back = F.explode(F.sequence(F.lit(0), F.lit(4)))
     landed = strong.select(F.expr("explode(sequence(date_sub(day, 4), day, interval 1 day))").alias("chunk_start"))
     return S.pending_chunks(planned, landed).select("year", "chunk_start")
 

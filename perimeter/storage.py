@@ -18,9 +18,11 @@ _STAGES: dict[tuple[str, str, str], str] = {}
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """Shared folder named by the session; a temporary one only where the session names none."""
+    """Shared folder named by the session; a temporary one only on a single machine without one."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
         named = tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from perimeter.llm.common import table
+from perimeter.llm import language, mixing, packing, simhash, vectors, warc
+from perimeter.llm.common import remainder, table, word_count
 from perimeter.llm.line_dedup import line_dedup
 from perimeter.llm.quality import LEAST_DOCUMENTS, REACH, judge
 from perimeter.llm.url_filter import Rule, filter_urls, split_url
+from perimeter.storage import checkpoint_root
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -91,6 +94,58 @@ def op2_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return judge(table(spark, folder, "documents").select("doc_id", "text", "lang", "source"))
 
 
+@query()
+def op3_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang").withColumn("held_out", remainder("doc_id", 3) == 1)
+    model = language.fit(docs.filter("NOT held_out"))
+    return (docs.select("doc_id", "held_out", language.predictor(docs, model, F.col("text")).alias("p"))
+            .select("doc_id", "held_out", F.col("p.lang").alias("lang_pred"), F.col("p.score").alias("score")))
+
+
+_WARC_SQL = """
+WITH h AS (SELECT page_id, coalesce(html, '') AS html, strlen(coalesce(html, '')) AS n FROM pages),
+b AS (SELECT *, max(page_id) OVER (PARTITION BY html) AS first, unhex(sha1(html))::BIT::VARCHAR AS bits FROM h)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, list_aggregate(list_transform(range(0, 32), lambda i: substr(
+           'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + list_sum(list_transform(range(0, 5), lambda j:
+           CASE WHEN substr(bits, 5 * i + j + 1, 1) = '1' THEN 16 >> j ELSE 0 END))::INTEGER, 1)), 'string_agg', '') AS payload_digest,
+       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id = first THEN NULL ELSE first END AS refers_to
+FROM b"""
+
+
+@query(_WARC_SQL)
+def op4_warc(spark: SparkSession, folder: str) -> DataFrame:
+    path = f"{checkpoint_root(spark)}/warc/{uuid.uuid4().hex}"
+    warc.write_archives(table(spark, folder, "pages"), path)
+    return warc.read_archives(spark, path, with_payload=False).select(
+        warc.page_of("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
+        warc.page_of("refers_to").alias("refers_to"))
+
+
+@query()
+def op5_simhash_neardup(spark: SparkSession, folder: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, folder, "documents").select("doc_id", "text"))
+    return found.withColumn("fingerprint", F.lpad(F.lower(F.hex("fingerprint")), 16, "0"))
+
+
+@query()
+def op6_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text", "source")
+    return packing.pack(docs, word_count(F.col("text")), packing.text_cluster(F.col("text")))
+
+
+@query()
+def op7_nearest_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "embeddings").select("vec_id", "embedding")
+    return vectors.nearest(rows.filter("vec_id % 20 = 0"), rows)
+
+
+@query()
+def op9_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    rows = mixing.mixed(table(spark, folder, "documents"), word_count(F.col("text")))
+    return rows.select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("draws")).alias("taken"))
+
+
 #: The rules of the contract, and words that mark a host of the corpus as listed (fixed values).
 RULES = [Rule("com", "/", "allow"), Rule("example.com", "/en/", "block"), Rule("www.example.com", "/en/", "allow"),
          Rule("net", "/es/", "block"), Rule("net", "/fr/", "block")]

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from perimeter.llm import language, mixing, packing, simhash, vectors, warc
+from perimeter.llm import language, lm, mixing, packing, simhash, vectors, warc
 from perimeter.llm.common import remainder, table, word_count
 from perimeter.llm.line_dedup import line_dedup
 from perimeter.llm.quality import LEAST_DOCUMENTS, REACH, judge
@@ -140,6 +140,11 @@ def op7_nearest_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     return vectors.nearest(rows.filter("vec_id % 20 = 0"), rows)
 
 
+@query()
+def op8_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
+    return lm.score(table(spark, folder, "documents"), remainder("doc_id", 10) == 0)
+
+
 @query()
 def op9_mixing(spark: SparkSession, folder: str) -> DataFrame:
     rows = mixing.mixed(table(spark, folder, "documents"), word_count(F.col("text")))

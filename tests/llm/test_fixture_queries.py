@@ -1,5 +1,7 @@
 """Queries without SQL, held against brute force over the whole small tables."""
 
+import math
+import zlib
 from collections import Counter, defaultdict
 
 import duckdb
@@ -189,3 +191,21 @@ def test_pipeline_stages(spark, piped):
     pieces, _ = check_packing(after.collect(), {r["doc_id"]: len(r["text"].encode().split()) for r in docs}, {},
                               {r["doc_id"]: " ".join(r["text"].lower().split()) for r in docs})
     assert Counter(d for d, _ in pieces) == Counter(r["doc_id"] for r in docs)
+
+
+def test_language_model_base_is_exact_and_model_is_better(spark):
+    docs = rows("SELECT doc_id, text FROM documents")
+    tokens = {i: [*(t or "").encode().lower().split(), b""] for i, t in docs}
+    held = {i: zlib.crc32(str(i).encode()) % 10 == 0 for i in tokens}
+    count = Counter(w for i, ws in tokens.items() if not held[i] for w in ws)
+    n, v = sum(count.values()), len(count)
+    base = better = 0.0
+    for r in run(spark, "op8_lm_scoring"):
+        ws = tokens[r["doc_id"]]
+        assert (r["held_out"], r["n_tokens"], r["train_tokens"]) == (held[r["doc_id"]], len(ws), n)
+        assert r["n_known"] == sum(w in count for w in ws)
+        want = sum(math.log10((count[w] + 0.1) / (n + 0.1 * (v + 1))) for w in ws)
+        assert abs(r["base_score"] - want) < 1e-6 * abs(want)
+        if r["held_out"]:
+            base, better = base + want, better + r["score"]
+    assert better > base

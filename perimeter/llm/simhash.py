@@ -197,7 +197,8 @@ def components(marked: DataFrame, radius: int = 2) -> DataFrame:
 def near_duplicates(docs: DataFrame, radius: int = 2, width: int = 3) -> DataFrame:
     """doc_id, fingerprint (signed long) and component_id of every row of `docs` (doc_id, text)."""
     marked = materialize(docs.select(F.col("doc_id").alias("_doc"), fingerprint(F.col("text"), width).alias("fp")))
-    return (marked.join(components(marked, radius), "fp")
+    # Written, so that both sides of the join are plain shuffles and a hot fingerprint can be split.
+    return (marked.join(materialize(components(marked, radius)), "fp")
             .select(F.col("_doc").alias("doc_id"), F.col("fp").alias("fingerprint"), "component_id"))
 
 

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from perimeter.storage import materialize
 
 SAMPLE, MAX_LISTS, ROUNDS, SEED = 32_768, 4096, 8, 7
-COPIES, BOUNDARY, PROBES, PRUNE, BLOCK, DEGREE, BEAM = 4, 1.15, 48, 1.6, 2048, 24, 96
+COPIES, BOUNDARY, PROBES, PRUNE, BLOCK, DEGREE, BEAM, POST_BEAM = 4, 1.15, 48, 1.6, 2048, 24, 96, 24
 
 
 @dataclass
@@ -69,7 +69,7 @@ class Index:
         graph = np.stack([np.argsort(_squares(row[None], c)[0], kind="stable")[1:k + 1] for row in c]) if k else np.zeros((len(c), 0), np.int64)
         return Index(c, graph, np.linspace(0, len(c) - 1, min(len(c), 16)).astype(int), length)
 
-    def search(self, q: np.ndarray, most: int) -> list[tuple[float, int]]:
+    def search(self, q: np.ndarray, most: int, beam: int) -> list[tuple[float, int]]:
         """(distance, centroid) of the nearest found, nearest first: best-first steps over the graph."""
         d = np.sqrt(np.maximum(((self.centroids[self.entries] - q) ** 2).sum(axis=1), 0))
         seen = np.zeros(len(self.centroids), bool)
@@ -78,7 +78,7 @@ class Index:
         best = [(-x, i) for x, i in todo]
         heapq.heapify(todo)
         heapq.heapify(best)
-        width = max(most, BEAM)
+        width = max(most, beam)
         while todo:
             x, i = heapq.heappop(todo)
             if len(best) >= width and x > -best[0][0]:
@@ -105,7 +105,7 @@ def lift(x: np.ndarray, length: float) -> np.ndarray:
 
 def _lists(shared, query: bool):
     """Adds the lists of each vector: those it is posted to, or those a query reads."""
-    most, ratio = (PROBES, PRUNE) if query else (COPIES, BOUNDARY)
+    most, ratio, beam = (PROBES, PRUNE, BEAM) if query else (COPIES, BOUNDARY, POST_BEAM)
 
     @F.pandas_udf("array<int>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -115,7 +115,7 @@ def _lists(shared, query: bool):
             x = np.hstack((x * (index.length / np.sqrt((x * x).sum(axis=1)))[:, None], np.zeros((len(x), 1)))) if query else lift(x, index.length)
             out = []
             for v in x:
-                found = index.search(v, most)
+                found = index.search(v, most, beam)
                 out.append([i for d, i in found if d <= ratio * found[0][0] + 1e-12])
             yield pd.Series(out)
     return run
@@ -131,7 +131,7 @@ def _scorer(k: int):
         x, q = dense(left, len(ids)), dense(right, len(qids))
         order = np.argsort(ids, kind="stable")
         ids, x = ids[order], x[order]
-        s = np.stack([x @ row for row in q])
+        s = np.stack([(x * row).sum(axis=1) for row in q])  # the same sum for a pair in any block
         s[ids[None] == qids[:, None]] = -np.inf
         top = np.argsort(-s, axis=1, kind="stable")[:, :k]
         got = np.take_along_axis(s, top, axis=1)
@@ -175,5 +175,6 @@ def nearest(queries: DataFrame, rows: DataFrame, k: int = 20) -> DataFrame:
     right = asked.join(F.broadcast(cut), "list").select("query_id", "v", "list", F.explode(every("nb")).alias("b"), mine("query_id", "nq").alias("q"))
     keys = ("list", "b", "q")
     found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_scorer(k), "query_id long, vec_id long, score double")
-    best = found.distinct().withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
+    once = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    best = once.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
     return best.filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

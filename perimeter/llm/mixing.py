@@ -26,7 +26,8 @@ from perimeter.storage import materialize
 WEIGHTS, MOST = (5, 2, 1), 3
 #: Bounds of what the driver plans with, least words in a block, and blocks in an output shard.
 MAX_SOURCES, MAX_BLOCKS, BLOCK_WORDS, SHARD_BLOCKS = 1_000_000, 65_536, 20_000, 64
-PLAN = "source string, block int, draws array<struct<epoch:int,shard:int,take:long>>, blocks int, source_size long, target double"
+#: Most rows of a plan that are broadcast (some 10 MB); a larger one is joined by shuffle.
+MAX_BROADCAST = 150_000
 
 
 def targets(sizes: list[int], weights: list[float], most: float = MOST) -> list[float]:
@@ -104,11 +105,15 @@ def plan(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOS
             draws.setdefault((s, b), []).append((epoch, shard, take))
     table = spark.createDataFrame([(s, b, sorted(d, key=lambda x: x[0])) for (s, b), d in draws.items()],
                                   "source string, block int, draws array<struct<epoch:int,shard:int,take:long>>")
-    return sources, table
+    return _small(sources, len(rows)), _small(table, len(draws))
+
+
+def _small(df: DataFrame, rows: int) -> DataFrame:
+    return F.broadcast(df) if rows <= MAX_BROADCAST else df
 
 
 def with_source(sized: DataFrame, sources: DataFrame) -> DataFrame:
-    """`sized` with source_size, target and blocks. One row per source is joined; AQE splits a hot one."""
+    """`sized` with source_size, target and blocks. The plan is broadcast or, if large, shuffled; AQE splits a hot source."""
     right = sources.withColumnRenamed("source", "_source")
     return sized.join(right, sized["source"].eqNullSafe(right["_source"])).drop("_source")
 

@@ -39,7 +39,7 @@ def letters(text: str) -> bytes:
 
 
 def automaton(sample: bytes, classes: np.ndarray, width: int) -> np.ndarray:
-    """Table of the suffix automaton of `sample`: entry [state, class] is 2 * width * next + (1 if a phrase ended)."""
+    """Table of the suffix automaton of `sample`: entry [state, class] is 2 * width * next + (1 if a phrase starts)."""
     nxt, link, length, last = [{}], [-1], [0], 0
     for c in classes[np.frombuffer(sample, np.uint8)].tolist():
         cur = len(nxt)
@@ -64,9 +64,10 @@ def automaton(sample: bytes, classes: np.ndarray, width: int) -> np.ndarray:
                     nxt[p][c] = copy
                     p = link[p]
         last = cur
-    # A failed match ends the phrase and starts the next one with the same byte (an unknown byte is a phrase).
-    restart = np.array([nxt[0].get(c, 0) for c in range(width)], np.int32)
-    table = np.tile(2 * width * restart + 1, (len(nxt), 1))
+    # A failed match starts the next phrase with the same byte. An unknown byte is a phrase, after which one starts
+    # anew: that is the last state, where a text begins too.
+    restart = np.array([nxt[0].get(c, len(nxt)) for c in range(width)], np.int32)
+    table = np.tile(2 * width * restart + 1, (len(nxt) + 1, 1))
     for state, edges in enumerate(nxt):
         for c, to in edges.items():
             table[state, c] = 2 * width * to
@@ -78,7 +79,7 @@ class Model:
     langs: list[str]
     classes: np.ndarray  # byte -> class; class 0 for bytes no sample has
     tables: np.ndarray   # all languages' tables, one below the other
-    roots: np.ndarray    # where each language's table begins
+    roots: np.ndarray    # where each language's texts begin
     price: np.ndarray    # bits per phrase
 
     @staticmethod
@@ -92,8 +93,8 @@ class Model:
         for lang in langs:
             t = automaton(samples[lang], classes, width)
             tables.append(t + 2 * width * row)
-            roots.append(width * row)
             row += len(t)
+            roots.append(width * (row - 1))
         flat = np.vstack(tables).astype(np.int32) if tables else np.zeros((1, width), np.int32)
         return Model(langs, classes, flat, np.array(roots, np.int32),
                      np.array([np.log2(max(2, len(samples[x]))) for x in langs]))
@@ -111,8 +112,7 @@ class Model:
         begin, left = begin[order], left[order]
         flat = self.tables.reshape(-1)
         state = np.repeat(self.roots[:, None], len(order), axis=1)
-        # Every lane opens a phrase; each end of a match opens another.
-        count = np.ones(state.shape, np.int32)
+        count = np.zeros(state.shape, np.int32)
         alive = np.searchsorted(-left, -np.arange(1, LANE + 1), side="right")
         for t in range(LANE):
             n = alive[t]

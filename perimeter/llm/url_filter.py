@@ -132,7 +132,7 @@ def filter_urls(pages: DataFrame, rules: list[Rule], blocked: DataFrame, keep: l
     probes = sorted({(r.host.count(".") + 1, len(r.path)) for r in rules})
     tried = [F.concat(suffix(F.col("host"), n), F.substring("path", 1, m)) for n, m in probes]
     names = rows.filter("host <> ''").select("host").distinct()
-    blocked = blocked.select(F.translate("key", UPPER, LOWER).alias("key")).distinct()
+    blocked = blocked.filter("key IS NOT NULL").select(F.translate("key", UPPER, LOWER).alias("key")).distinct()
     tails = [r[0] for r in blocked.select(F.size(F.split("key", r"\.")).alias("n")).distinct().collect()]
     hosts = [suffix(F.col("host"), n) for n in sorted(tails)]
     by_rule = Cascade.over(literal_keys(spark, [r.key for r in rules]),

@@ -89,33 +89,44 @@ class _Scan:
         self.begun = False
         self._z = None
         self._out: list[bytes] = []
+        self._head = b""
 
     def feed(self, piece: bytes) -> Iterator[bytes]:
         if self.open:
             try:
                 self._out.append(self._z.decompress(piece))
+            except zlib.error:
+                self._give_up()  # damaged, or no member at all; the piece may start another
+            else:
                 self.open.append(piece)
-                if self._z.eof:
-                    yield b"".join(self._out)
-                    self.open = []
+                yield from self._settle()
                 return
-            except zlib.error:
-                self.open = []  # damaged; the piece may start another member
-        z = zlib.decompressobj(31)
+        self._z = zlib.decompressobj(31)
         try:
-            start = z.decompress(piece)
+            self._out, self.open, self._head = [self._z.decompress(piece)], [piece], b""
         except zlib.error:
-            start = None
-        if start is not None and start.startswith(b"WARC/"):
+            self.open = [piece]
+            self._give_up()
+        else:
+            yield from self._settle()
+
+    def _settle(self) -> Iterator[bytes]:
+        if len(self._head) < 5:
+            self._head += self._out[-1][:5]
+        if self._z.eof:  # its checksum was right; a member of another kind, like the empty one, is passed over
             self.begun = True
-            if z.eof:
-                yield start
-            else:
-                self.open, self._z, self._out = [piece], z, [start]
-        elif start == b"" and z.eof:
-            self.begun = True  # the empty member between records
-        elif not self.begun:
-            self.lead.append(piece)
+            if self._head.startswith(b"WARC/"):
+                yield b"".join(self._out)
+            self.open = []
+        elif not b"WARC/".startswith(self._head[:5]):
+            self._give_up()
+        elif len(self._head) >= 5:
+            self.begun = True
+
+    def _give_up(self) -> None:
+        if not self.begun:
+            self.lead += self.open
+        self.open = []
 
 
 def parse(data: bytes) -> dict:

@@ -132,8 +132,9 @@ def nearest_burned(rows: np.ndarray, cols: np.ndarray, patch: int) -> tuple[np.n
     return best // area, best % area // patch, best % patch
 
 
-def distance_to_burn(burned: DataFrame, keys: list[str], patch: int) -> DataFrame:
-    """(keys, r, c, d2, nr, nc) for every cell of each tile that has burned cells.
+def distance_to_burn(burned: DataFrame, keys: list[str], patch: int, tiles: DataFrame | None = None) -> DataFrame:
+    """(keys, r, c, d2, nr, nc) for every cell of each tile that has burned cells and, where `tiles` lists
+    all tiles, of the others with null (infinite) distance.
 
     Input: burned cells (keys, r, c), at most patch x patch of them per group."""
     schema = ", ".join([f"{k} {burned.schema[k].dataType.simpleString()}" for k in keys]
@@ -145,7 +146,12 @@ def distance_to_burn(burned: DataFrame, keys: list[str], patch: int) -> DataFram
         out = {k: pdf[k].iloc[0] for k in keys}
         out |= {"r": grid_r, "c": grid_c, "d2": d2.ravel(), "nr": nr.ravel().astype("int32"), "nc": nc.ravel().astype("int32")}
         return pd.DataFrame(out)
-    return burned.select(*keys, "r", "c").groupBy(*keys).applyInPandas(tile, schema)
+    near = burned.select(*keys, "r", "c").groupBy(*keys).applyInPandas(tile, schema)
+    if tiles is None:
+        return near
+    line = F.sequence(F.lit(0), F.lit(patch - 1))
+    empty = tiles.select(*keys).join(burned.select(*keys).distinct(), keys, "left_anti")
+    return near.unionByName(empty.withColumn("r", F.explode(line)).withColumn("c", F.explode(line)), allowMissingColumns=True)
 
 
 def downwind(assembled: DataFrame, patch: int) -> DataFrame:

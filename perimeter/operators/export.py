@@ -8,28 +8,23 @@ from pyspark.sql import functions as F
 from perimeter.functions.bins import csi
 
 
-def frames(stitched: DataFrame, burn: DataFrame, first: DataFrame, threshold: float, most: int = 26) -> DataFrame:
-    """Per fire and window: new, burned and predicted cells and CSI, all at full resolution, for the
-    first `most` scored windows of each fire."""
+def frames(stitched: DataFrame, first: DataFrame, threshold: float) -> DataFrame:
+    """Per fire and scored window: target (new), burned and predicted cells and CSI, all at full resolution."""
     shown = stitched.select("fire_id", "t_index").distinct()
-    order = Window.partitionBy("fire_id").orderBy("t_index")
-    shown = shown.withColumn("_k", F.row_number().over(order)).filter(F.col("_k") <= most).drop("_k")
     cell = ["fire_id", "t_index", "row", "col"]
     target = first.filter("first_t > 0").select("fire_id", (F.col("first_t") - 1).alias("t_index"), "row", "col", F.lit(True).alias("y"))
     both = (stitched.select(*cell, (F.col("prob") > threshold).alias("p")).join(target, cell, "full")
             .join(shown, ["fire_id", "t_index"], "left_semi"))
     p, y = F.coalesce("p", F.lit(False)), F.coalesce("y", F.lit(False))
     scores = both.groupBy("fire_id", "t_index").agg(
-        F.sum(p.cast("int")).alias("pred_px"), F.sum((p & y).cast("int")).alias("tp"), F.sum((p & ~y).cast("int")).alias("fp"),
+        F.sum(y.cast("int")).alias("new_px"), F.sum(p.cast("int")).alias("pred_px"), F.sum((p & y).cast("int")).alias("tp"), F.sum((p & ~y).cast("int")).alias("fp"),
         F.sum((~p & y).cast("int")).alias("fn"))
-    new = burn.groupBy("fire_id", "t_index").agg(F.count("*").alias("new_px"))
     gained = first.groupBy("fire_id", F.col("first_t").alias("t_index")).agg(F.count("*").alias("_g"))
     windows = gained.select("fire_id", "t_index").unionByName(shown).distinct()
     running = Window.partitionBy("fire_id").orderBy("t_index").rowsBetween(Window.unboundedPreceding, 0)
     burned = (windows.join(gained, ["fire_id", "t_index"], "left")
               .withColumn("burned_px", F.sum(F.coalesce("_g", F.lit(0))).over(running)).drop("_g"))
-    return (scores.join(new, ["fire_id", "t_index"], "left").join(burned, ["fire_id", "t_index"])
-            .withColumn("new_px", F.coalesce("new_px", F.lit(0)))
+    return (scores.join(burned, ["fire_id", "t_index"])
             .withColumn("csi", csi(F.col("tp"), F.col("fp"), F.col("fn"))).drop("tp", "fp", "fn"))
 
 

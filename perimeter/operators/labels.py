@@ -101,11 +101,12 @@ def fire_sizes(burn: DataFrame) -> DataFrame:
     return burn.groupBy("fire_id").agg(F.count("*").alias("burned_px"))
 
 
-def most_active_windows(windows: DataFrame, burn: DataFrame, n: int = 3) -> DataFrame:
-    """The n usable windows of each fire with most burned cells, in time order."""
+def most_active_windows(windows: DataFrame, burn: DataFrame, n: int = 3, horizon: int = 1) -> DataFrame:
+    """The n usable windows of each fire with most burned cells; a fire's last `horizon` windows have no target and are left out."""
     counts = burn.groupBy("fire_id", "t_index").agg(F.count("*").alias("new_px"))
     order = Window.partitionBy("fire_id").orderBy(F.desc("new_px"), "t_index")
-    return (windows.filter("usable").join(counts, ["fire_id", "t_index"])
+    ends = windows.groupBy("fire_id").agg((F.max("t_index") + 1 - horizon).alias("_end"))
+    return (windows.filter("usable").join(ends, "fire_id").filter("t_index < _end").join(counts, ["fire_id", "t_index"])
             .withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= n)
             .select("fire_id", "t_index", "window_time", "new_px"))
 
@@ -113,14 +114,16 @@ def most_active_windows(windows: DataFrame, burn: DataFrame, n: int = 3) -> Data
 def burn_steps(samples: DataFrame, cells: DataFrame, cfg: Settings, cumulative: bool = True) -> DataFrame:
     """Burned cells of each sample's tile at each of its steps, oldest step first.
 
-    `cells` is the first-burn table when cumulative, else the new-burn table. Cells meet tiles
-    on (fire, 64-cell block) so that a fire-sized group never lands on one key."""
-    placed = cells_in_tiles(samples.select("sample_id", "fire_id", F.col("t_index").alias("t"), "row0", "col0"),
-                            cells, cfg.patch)
-    steps = placed.withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(cfg.t_steps - 1))))
+    `cells` is the first-burn table when cumulative, else the new-burn table. Cells meet tiles on
+    (fire, block of a tile's side); new-burn cells also on the window, since a step shows one only."""
+    tiles = samples.select("sample_id", "fire_id", F.col("t_index").alias("t"), "row0", "col0")
+    step = F.explode(F.sequence(F.lit(0), F.lit(cfg.t_steps - 1)))
     window = F.col("t") - (cfg.t_steps - 1 - F.col("step"))
-    hit = (F.col("first_t") <= window) if cumulative else (F.col("t_index") == window)
-    return steps.filter(hit).select("sample_id", "step", (F.col("row") - F.col("row0")).alias("r"),
+    if cumulative:
+        hit = cells_in_tiles(tiles, cells, cfg.patch).filter("first_t <= t").withColumn("step", step).filter(F.col("first_t") <= window)
+    else:
+        hit = cells_in_tiles(tiles.withColumn("step", step).withColumn("t_index", window), cells, cfg.patch, ("fire_id", "t_index"))
+    return hit.select("sample_id", "step", (F.col("row") - F.col("row0")).alias("r"),
                                     (F.col("col") - F.col("col0")).alias("c"))
 
 

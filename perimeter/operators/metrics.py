@@ -255,10 +255,10 @@ def split_summary(samples: DataFrame, cells_per_sample: int) -> DataFrame:
 
 
 def angle_histogram(angles: DataFrame, width: float = 45.0) -> DataFrame:
-    """Shares of the left-closed 45 degree bins over angles below 180."""
+    """Counts of the left-closed 45 degree bins below 180, and their shares of all angles."""
     rows = angles.filter(F.col("angle") < 180).groupBy(
         F.least(F.floor(F.col("angle") / width), F.lit(3)).cast("int").alias("octant")).agg(F.count("*").alias("n"))
-    total = rows.agg(F.sum("n")).scalar()
+    total = angles.agg(F.count("angle")).scalar()
     return rows.withColumn("share", F.col("n") / total)
 
 

@@ -487,15 +487,13 @@ view("v_stitch", """
 SELECT fire_id, t_index, CAST(row0 + r AS INTEGER) AS row, CAST(col0 + c AS INTEGER) AS col, avg(prob) AS prob, count(*) AS tiles
 FROM v_tscore GROUP BY ALL""")
 view("v_frame", """
-SELECT s.fire_id, s.t_index, coalesce(n.new_px, 0) AS new_px, b.burned_px, s.pred_px, s.tp / greatest(s.tp + s.fp + s.fn, 1) AS csi FROM (
+SELECT s.fire_id, s.t_index, s.new_px, b.burned_px, s.pred_px, s.tp / greatest(s.tp + s.fp + s.fn, 1) AS csi FROM (
   SELECT coalesce(p.fire_id, y.fire_id) AS fire_id, coalesce(p.t_index, y.t_index) AS t_index,
-         count(*) FILTER (p.prob > 0.70005) AS pred_px, count(*) FILTER (p.prob > 0.70005 AND y.row IS NOT NULL) AS tp,
+         count(*) FILTER (y.row IS NOT NULL) AS new_px, count(*) FILTER (p.prob > 0.70005) AS pred_px, count(*) FILTER (p.prob > 0.70005 AND y.row IS NOT NULL) AS tp,
          count(*) FILTER (p.prob > 0.70005 AND y.row IS NULL) AS fp,
          count(*) FILTER (y.row IS NOT NULL AND NOT coalesce(p.prob > 0.70005, false)) AS fn
   FROM v_stitch p FULL JOIN v_target y ON (p.fire_id, p.t_index, p.row, p.col) = (y.fire_id, y.t_index, y.row, y.col) GROUP BY 1, 2) s
-JOIN (SELECT fire_id, t_index FROM (SELECT *, row_number() OVER (PARTITION BY fire_id ORDER BY t_index) AS k
-      FROM (SELECT DISTINCT fire_id, t_index FROM v_stitch)) WHERE k <= 26) w USING (fire_id, t_index)
-LEFT JOIN (SELECT fire_id, t_index, count(*) AS new_px FROM v_burn GROUP BY ALL) n USING (fire_id, t_index)
+JOIN (SELECT DISTINCT fire_id, t_index FROM v_stitch) w USING (fire_id, t_index)
 JOIN (SELECT w.fire_id, w.t_index, count(*) AS burned_px FROM v_win w JOIN v_first f ON f.fire_id = w.fire_id AND f.first_t <= w.t_index
       GROUP BY ALL) b USING (fire_id, t_index)""")
 view("v_lines", """

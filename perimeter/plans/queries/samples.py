@@ -160,9 +160,11 @@ def n10(s: Study) -> DataFrame:
 
 
 @query("n11_distance_to_burn", """
-SELECT sample_id, count(*) AS n, CAST(sum(d2) AS BIGINT) AS d2_sum, CAST(sum(d2 * (c % 7 + 1)) AS BIGINT) AS d2_place, max(d2) AS d2_max FROM v_dist GROUP BY sample_id""")
+SELECT sample_id, coalesce(n, (SELECT max(r) + 1 FROM v_dist) * (SELECT max(c) + 1 FROM v_dist)) AS n, d2_sum, d2_place, d2_max FROM v_sample LEFT JOIN (
+  SELECT sample_id, count(*) AS n, CAST(sum(d2) AS BIGINT) AS d2_sum, CAST(sum(d2 * (c % 7 + 1)) AS BIGINT) AS d2_place, max(d2) AS d2_max
+  FROM v_dist GROUP BY sample_id) USING (sample_id)""")
 def n11(s: Study) -> DataFrame:
-    near = D.distance_to_burn(s.tile_marks.filter("not y").select("sample_id", "r", "c"), ["sample_id"], P)
+    near = D.distance_to_burn(s.tile_marks.filter("not y").select("sample_id", "r", "c"), ["sample_id"], P, s.samples.select("sample_id"))
     return near.groupBy("sample_id").agg(F.count("*").alias("n"), F.sum("d2").alias("d2_sum"),
                                          F.sum(F.col("d2") * (F.col("c") % 7 + 1)).alias("d2_place"), F.max("d2").alias("d2_max"))
 
@@ -226,8 +228,8 @@ def v22(s: Study) -> DataFrame:
 
 
 @query("v23_angle_histogram", f"""
-SELECT CAST(least(floor(a / 45), 3) AS INTEGER) AS octant, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 6) AS share
-FROM (SELECT degrees(acos(least(greatest(cos, -1), 1))) AS a FROM {_GROWTH}) WHERE a < 180 GROUP BY 1""")
+SELECT CAST(least(floor(a / 45), 3) AS INTEGER) AS octant, count(*) AS n, round(count(*) / total, 6) AS share
+FROM (SELECT degrees(acos(least(greatest(cos, -1), 1))) AS a, count(cos) OVER () AS total FROM {_GROWTH}) WHERE a < 180 GROUP BY 1, total""")
 def v23(s: Study) -> DataFrame:
     return V.angle_histogram(growth(s)).withColumn("share", r("share", 6))
 
@@ -286,7 +288,7 @@ def x01(s: Study) -> DataFrame:
 
 @query("x02_frames", "SELECT fire_id, t_index, new_px, burned_px, pred_px, round(csi, 6) AS csi FROM v_frame")
 def x02(s: Study) -> DataFrame:
-    return rounded(X.frames(s.stitched, s.burn, s.first, 0.70005).select("fire_id", "t_index", "new_px", "burned_px", "pred_px", "csi"), "csi")
+    return rounded(X.frames(s.stitched, s.first, 0.70005).select("fire_id", "t_index", "new_px", "burned_px", "pred_px", "csi"), "csi")
 
 
 @query("x03_json_bundle", """
@@ -294,6 +296,6 @@ SELECT fire_id, t_index, CAST(to_json(struct_pack(fire_id := fire_id, t := t_ind
   grid := struct_pack(native_m := 100, display_m := 400, height := height, width := width))) AS VARCHAR) AS json
 FROM v_frame JOIN v_grid USING (fire_id)""")
 def x03(s: Study) -> DataFrame:
-    return X.bundle(X.frames(s.stitched, s.burn, s.first, 0.70005), s.grid, 4, s.cfg.resolution_m)
+    return X.bundle(X.frames(s.stitched, s.first, 0.70005), s.grid, 4, s.cfg.resolution_m)
 
 

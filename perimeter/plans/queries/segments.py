@@ -346,7 +346,8 @@ SELECT fire_id, t_index, window_time, new_px FROM (
   SELECT w.fire_id, w.t_index, w.window_time, b.n AS new_px,
          row_number() OVER (PARTITION BY w.fire_id ORDER BY b.n DESC, w.t_index) AS k
   FROM v_win w JOIN (SELECT fire_id, t_index, count(*) AS n FROM v_burn GROUP BY ALL) b USING (fire_id, t_index)
-  WHERE w.usable) WHERE k <= 3""")
+  JOIN (SELECT fire_id, max(t_index) AS last FROM v_win GROUP BY fire_id) e USING (fire_id)
+  WHERE w.usable AND w.t_index < e.last) WHERE k <= 3""")
 def l17(s: Study) -> DataFrame:
     return L.most_active_windows(s.windows, s.burn)
 

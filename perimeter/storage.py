@@ -7,8 +7,9 @@ readers of a stage keep column pruning, filter pushdown and true size statistics
 
 from __future__ import annotations
 
+import atexit
 import hashlib
-import tempfile
+import shutil
 import uuid
 from collections.abc import Callable
 
@@ -18,13 +19,15 @@ _STAGES: dict[tuple[str, str, str], str] = {}
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """Shared folder named by the session; a temporary one only on a single machine without one."""
+    """Shared folder named by the session. Where none is set on a single machine, one below the warehouse
+    that goes when Python ends; a cluster must name one."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-        named = tempfile.mkdtemp(prefix="spark-")
+        named = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/barriers-{uuid.uuid4().hex}"
         spark.sparkContext.setCheckpointDir(named)
+        atexit.register(shutil.rmtree, named.removeprefix("file:"), ignore_errors=True)
     return named.rstrip("/")
 
 

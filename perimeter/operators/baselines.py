@@ -6,9 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from perimeter.config import RINGS, Settings
-from perimeter.operators.cells import WIDTH, diamond, dilate_rows, to_rows
+from perimeter.operators.cells import WIDTH, diamond_rows, to_rows
 from perimeter.operators.labels import cells_in_tiles
-from perimeter.storage import materialize
 
 
 def tile_cells(samples: DataFrame, first: DataFrame, cfg: Settings) -> DataFrame:
@@ -24,25 +23,23 @@ def baseline_counts(samples: DataFrame, first: DataFrame, cfg: Settings, rings:
     """tp, fp, fn per sample for persistence and every ring: rows (sample_id, fire_id, baseline, tp,
     fp, fn). Samples without any burned or target cell have no row.
 
-    Tiles are bit rows. Each ring grows from the one before it (a diamond of k + m is a diamond of k
-    grown by one of m; no shortest path leaves the tile), and cells are counted as bits."""
-    key = ["sample_id"]
+    Tiles are bit rows. All rings come from one step: a burned row adds to the rows around it, for every
+    radius at once, and cells are counted as bits. A tile is bounded, so its rows are kept together by one shuffle."""
+    key, radii = ["sample_id"], [0, *sorted(rings)]
     marks = tile_cells(samples, first, cfg).select("sample_id", "y", F.col("r").alias("row"), F.col("c").alias("col"))
-    rows = materialize(to_rows(marks, ["sample_id", "y"]))
-    current, before, grown = rows.filter(~F.col("y")).drop("y"), 0, {}
+    rows = to_rows(marks.repartition("sample_id"), ["sample_id", "y"])
+    zero = F.lit(0).cast("long")
+    # Both kinds of row pass the same step; the target rows are taken at radius 0 alone.
+    spread = diamond_rows(rows, ["sample_id", "y"], radii)
     last_block = (cfg.patch - 1) // WIDTH
     inside = F.col("row").between(0, cfg.patch - 1) & F.col("blk").between(0, last_block)
     edge = F.when(F.col("blk") == last_block, F.lit((1 << (cfg.patch - last_block * WIDTH)) - 1)).otherwise(F.lit((1 << WIDTH) - 1))
-    for k in sorted(rings):
-        wider = dilate_rows(current, key, diamond(k - before)).filter(inside)
-        current = materialize(wider.withColumn("bits", F.col("bits").bitwiseAND(edge)).filter("bits <> 0"))
-        before, grown[f"ring{k}"] = k, current
-    tagged = rows.select("sample_id", "row", "blk", F.when(F.col("y"), "y").otherwise("cur").alias("tag"), "bits")
-    for name, df in grown.items():
-        tagged = tagged.unionByName(df.select("sample_id", "row", "blk", F.lit(name).alias("tag"), "bits"))
-    zero = F.lit(0).cast("long")
-    lanes = tagged.groupBy("sample_id", "row", "blk").agg(
-        *[F.coalesce(F.max(F.when(F.col("tag") == t, F.col("bits"))), zero).alias(t) for t in ("cur", "y", *grown)])
+    kept = spread.filter(inside & (~F.col("y") | (F.col("k0") != 0)))
+    names = {k: "cur" if k == 0 else f"ring{k}" for k in radii}
+    lanes = kept.groupBy(*key, "row", "blk").agg(
+        F.coalesce(F.bit_or(F.when(F.col("y"), F.col("k0"))), zero).alias("y"),
+        *[F.coalesce(F.bit_or(F.when(~F.col("y"), F.col(f"k{k}").bitwiseAND(edge))), zero).alias(n) for k, n in names.items()])
+    grown = [n for k, n in names.items() if k]
     sums = []
     for name in ("persistence", *grown):
         pred = F.col("cur") if name == "persistence" else F.col(name).bitwiseAND(F.bitwise_not("cur"))

@@ -5,7 +5,7 @@ window) and work on integer `row`, `col`."""
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -97,6 +97,27 @@ def dilate_rows(rows: DataFrame, keys: list[str], offsets: Offsets) -> DataFrame
             .groupBy(*keys, "row", (F.col("blk") + F.col("_p.db")).alias("blk")).agg(F.bit_or("_p.bits").alias("bits")))
 
 
+def diamond_rows(rows: DataFrame, keys: list[str], radii: Sequence[int]) -> DataFrame:
+    """Contributions to the dilation by a diamond of every radius at once: rows (keys, row, blk, k<radius>...)
+    whose bit-wise union per (keys, row, blk) is the dilated raster. A wider diamond holds the narrower."""
+    top = max(radii)
+    wide = rows.withColumn("_x", F.shiftleft("bits", _HALF))
+    grown = wide.withColumns({f"_w{h}": _runs(F.col("_x"), h, True) for h in range(top + 1)})
+    none = F.lit(0).cast("long")
+    lines = F.explode(F.array(*[F.struct(F.lit(d).alias("dr"), *[
+        (F.col(f"_w{k - abs(d)}") if k >= abs(d) else none).alias(f"k{k}") for k in radii]) for d in range(-top, top + 1)]))
+
+    def part(db: int, cut: Callable[[Column], Column]) -> Column:
+        return F.struct(F.lit(db).alias("db"), *[cut(F.col(f"_l.k{k}")).alias(f"k{k}") for k in radii])
+    parts = F.explode(F.array(
+        part(-1, lambda y: F.shiftleft(y.bitwiseAND(F.lit(_LOW)), _HALF)),
+        part(0, lambda y: F.shiftrightunsigned(y, _HALF).bitwiseAND(F.lit(_MASK))),
+        part(1, lambda y: F.shiftrightunsigned(y, WIDTH + _HALF))))
+    return (grown.select(*keys, "row", "blk", lines.alias("_l"))
+            .select(*keys, (F.col("row") + F.col("_l.dr")).alias("row"), "blk", parts.alias("_p")).filter(f"_p.k{top} <> 0")
+            .select(*keys, "row", (F.col("blk") + F.col("_p.db")).alias("blk"), *[F.col(f"_p.k{k}") for k in radii]))
+
+
 def erode_rows(rows: DataFrame, keys: list[str], offsets: Offsets) -> DataFrame:
     """A segment keeps a bit if every line of the element is set there; lines without any row count
     as unset. Neighbouring segments come from a window over one raster row."""

@@ -89,25 +89,26 @@ def coin(seed: int, place: int, *keys: str) -> Column:
     return F.substring(text, place, 1) < "8"
 
 
-def _halves(h: Column) -> tuple[Column, Column]:
-    """Two uniforms in (0, 1) from the halves of one hash."""
-    scale = float(1 << 32)
-    return ((F.shiftrightunsigned(h, 32).cast("double") + 0.5) / scale,
-            (h.bitwiseAND(F.lit((1 << 32) - 1)).cast("double") + 0.5) / scale)
+def uniform(digest: Column, place: int) -> Column:
+    """A uniform in (0, 1) from eight digits of a hexadecimal digest."""
+    return (F.conv(F.substring(digest, place, 8), 16, 10).cast("double") + 0.5) / float(1 << 32)
 
 
 def jitter(cells: DataFrame, channels: Sequence[str], sigma: float, drop: float, seed: int = 0) -> DataFrame:
     """Gaussian noise on every channel but the mask, and channels dropped for a whole sample. Draws
     are hashes of the cell, so a recomputed task repeats them."""
     noisy = [c for c in channels if c not in UNSCALED]
-    keyed = cells.withColumn("_cell", F.xxhash64(F.lit(seed), "sample_id", "step", "r", "c")).withColumn(
-        "_sample", F.xxhash64(F.lit(seed), "sample_id"))
-    draws = keyed.withColumns({f"_h_{c}": F.xxhash64("_cell", F.lit(c)) for c in noisy})
+
+    def digest(*parts: Column | str) -> Column:
+        return F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(p).cast("string") if isinstance(p, str) else p for p in parts]))
+    # A digest holds four uniforms, enough for the noise of two channels.
+    draws = cells.withColumns({f"_h{i}": digest("sample_id", "step", "r", "c", F.lit(str(i))) for i in range((len(noisy) + 1) // 2)})
     new = {}
-    for ch in noisy:
-        u, v = _halves(F.col(f"_h_{ch}"))
+    for i, ch in enumerate(noisy):
+        first = 1 if i % 2 == 0 else 17
+        u, v = (uniform(F.col(f"_h{i // 2}"), place) for place in (first, first + 8))
         noise = F.sqrt(F.log(u) * -2) * F.cos(v * (2 * np.pi))
-        gone = _halves(F.xxhash64("_sample", F.lit(f"drop {ch}")))[0] < drop
+        gone = uniform(digest("sample_id", F.lit(f"drop {ch}")), 1) < drop
         new[ch] = F.when(gone, 0.0).otherwise(F.col(ch) + noise * sigma)
     return draws.withColumns(new).select(*cells.columns)
 

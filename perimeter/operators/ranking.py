@@ -31,18 +31,30 @@ def global_index(df: DataFrame, keys: Sequence[str], out: str = "idx") -> DataFr
 def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
     """Linear-interpolated quantiles per group: rows (*by, prob, quantile). Null values are skipped.
 
-    Works on the sorted table, so a group of any size is never buffered."""
-    by = list(by)
-    ranked = global_index(df.select(*by, value).filter(F.col(value).isNotNull()), [*by, value])
-    spans = ranked.groupBy(*by).agg(F.min("idx").alias("_first"), F.count("*").alias("_n"))
+    Equal values are counted before anything is sorted, so a frequent value is one row. The distinct
+    values are range partitioned; counts run up inside a partition and partitions are offset by their
+    totals. A wanted position is looked up in the one partition that holds it."""
+    by = [*by, "_g"]
+    counts = df.filter(F.col(value).isNotNull()).withColumn("_g", F.lit(0)).groupBy(*by, value).agg(F.count("*").alias("_c"))
+    placed = materialize(counts.repartitionByRange(*by, value).withColumn("_p", F.spark_partition_id()))
+    # One row per partition and group; a group has at most as many rows as there are partitions.
+    parts = placed.groupBy("_p", *by).agg(F.sum("_c").alias("_size"))
+    earlier = Window.partitionBy(*by).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.withColumn("_off", F.coalesce(F.sum("_size").over(earlier), F.lit(0)))
+    spans = parts.groupBy(*by).agg(F.sum("_size").alias("_n"))
     wanted = (spans.withColumn("prob", F.explode(F.array(*[F.lit(float(p)) for p in probs])))
               .withColumn("_h", F.col("prob") * (F.col("_n") - 1))
               .withColumn("_low", F.floor("_h")).withColumn("_frac", F.col("_h") - F.col("_low"))
               .withColumn("_side", F.explode(F.array(F.lit(0), F.lit(1))))
-              .withColumn("idx", F.col("_first") + F.least(F.col("_low") + F.col("_side"), F.col("_n") - 1)))
+              .withColumn("_at", F.least(F.col("_low") + F.col("_side"), F.col("_n") - 1)))
+    found = (wanted.join(parts, by).filter((F.col("_at") >= F.col("_off")) & (F.col("_at") < F.col("_off") + F.col("_size")))
+             .select(*by, "_p", "prob", "_frac", "_side", (F.col("_at") - F.col("_off")).alias("_at")))
+    inside = Window.partitionBy("_p", *by).orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = placed.withColumn("_end", F.sum("_c").over(inside))
+    hit = (F.col("_at") < F.col("_end")) & (F.col("_at") >= F.col("_end") - F.col("_c"))
     weight = F.when(F.col("_side") == 0, 1 - F.col("_frac")).otherwise(F.col("_frac"))
-    return (wanted.join(ranked.select("idx", value), "idx")
-            .groupBy(*by, "prob").agg(F.sum(F.col(value) * weight).alias("quantile")))
+    return (found.join(ranked, ["_p", *by]).filter(hit)
+            .groupBy(*by, "prob").agg(F.sum(F.col(value) * weight).alias("quantile")).drop("_g"))
 
 
 def wide_quantiles(df: DataFrame, value: str, names: dict[str, float], by: Sequence[str] = ()) -> DataFrame:

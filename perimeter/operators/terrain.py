@@ -88,31 +88,33 @@ def derivatives(elevation: DataFrame, res: float, tpi_radius_m: float = 300.0) -
             .withColumn("tpi", F.col("dem") - F.col("_f")).drop("_e", "_m", "_s", "_f"))
 
 
-def majority(pixels: DataFrame, source_res: int, res: int, value: str = "code") -> DataFrame:
-    """Most frequent source code per target cell (pixels belong to the cell of their centre; the
-    smallest code wins a tie). Counts combine before anything is compared."""
-    def home(c: str) -> Column:
-        return F.floor((F.col(c) * source_res + source_res / 2) / res).cast("int")
-    counts = (pixels.filter(F.col(value).isNotNull())
-              .groupBy(home("prow").alias("arow"), home("pcol").alias("acol"), value).agg(F.count("*").alias("n")))
-    return counts.groupBy("arow", "acol").agg(F.max_by(value, F.struct("n", -F.col(value))).alias(value))
-
-
-def area_average(pixels: DataFrame, source_res: int, res: int, values: tuple[str, ...]) -> DataFrame:
-    """Overlap-area weighted means of the source pixels touching each target cell."""
+def overlaps(pixels: DataFrame, source_res: int, res: int) -> DataFrame:
+    """Source pixels beside every target cell (arow, acol) they touch, with the area `_w` they share."""
     def reach(c: str) -> Column:
         low = F.floor(F.col(c) * source_res / res).cast("int")
         high = F.ceil((F.col(c) + 1) * source_res / res).cast("int") - 1
         return F.explode(F.sequence(low, high))
 
-    def overlap(p: str, a: str) -> Column:
+    def shared(p: str, a: str) -> Column:
         return (F.least((F.col(p) + 1) * source_res, (F.col(a) + 1) * res)
-                - F.greatest(F.col(p) * source_res, F.col(a) * res)).cast("double")
+                - F.greatest(F.col(p) * source_res, F.col(a) * res)).cast("long")
     spread = pixels.withColumn("arow", reach("prow")).withColumn("acol", reach("pcol"))
-    spread = spread.withColumn("_w", overlap("prow", "arow") * overlap("pcol", "acol"))
-    means = [F.try_divide(F.sum(F.col("_w") * F.col(v)), F.sum(F.when(F.col(v).isNotNull(), F.col("_w")))).alias(v)
-             for v in values]
-    return spread.groupBy("arow", "acol").agg(*means)
+    return spread.withColumn("_w", shared("prow", "arow") * shared("pcol", "acol"))
+
+
+def majority(pixels: DataFrame, source_res: int, res: int, value: str = "code") -> DataFrame:
+    """Source code covering most of each target cell, every overlapping pixel counting by the area it
+    shares; the smallest code wins a tie. Areas combine before anything is compared."""
+    areas = (overlaps(pixels.filter(F.col(value).isNotNull()), source_res, res)
+             .groupBy("arow", "acol", value).agg(F.sum("_w").alias("n")))
+    return areas.groupBy("arow", "acol").agg(F.max_by(value, F.struct("n", -F.col(value))).alias(value))
+
+
+def area_average(pixels: DataFrame, source_res: int, res: int, values: tuple[str, ...]) -> DataFrame:
+    """Overlap-area weighted means of the source pixels touching each target cell."""
+    w = F.col("_w").cast("double")
+    means = [F.try_divide(F.sum(w * F.col(v)), F.sum(F.when(F.col(v).isNotNull(), w))).alias(v) for v in values]
+    return overlaps(pixels, source_res, res).groupBy("arow", "acol").agg(*means)
 
 
 def fuel_index(code: Column) -> Column:

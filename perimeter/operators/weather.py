@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from perimeter.config import WEATHER, Settings
 from perimeter.functions.geo import albers_to_lonlat, centre_of, fold_longitude, lonlat_to_albers, lonlat_to_lambert
 from perimeter.functions.physics import fuel_moisture, humidity_from_dewpoint
+from perimeter.operators.labels import cells_in_tiles
+from perimeter.operators.ranking import exact_quantiles
 
 FIELDS = ("u10", "v10", "t2m", "rh2m")
 
@@ -130,18 +132,21 @@ def pin_windows(pinned: DataFrame, computed: DataFrame) -> DataFrame:
     return pinned.unionByName(computed.join(pinned, "fire_id", "left_anti"))
 
 
-def crop_cells(crops: DataFrame) -> DataFrame:
-    """(fire_id, iy, ix) of every cell in the windows."""
-    return (crops.withColumn("iy", F.explode(F.sequence("iy0", "iy1"))).withColumn("ix", F.explode(F.sequence("ix0", "ix1")))
-            .select("fire_id", "iy", "ix"))
+def cut_hours(source: DataFrame, hours: DataFrame) -> DataFrame:
+    """Source rows of the listed hours only, so that nothing else is decoded or shuffled."""
+    return source.join(hours.select("hour").distinct(), "hour", "left_semi")
 
 
-def build_store(scan: DataFrame, crops: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Store rows of the wanted (fire_id, hour): the scan is cut to wanted hours first, then each
-    hour's cells fan out to the fires that need them."""
-    hours = scan.join(wanted.select("hour").distinct(), "hour", "left_semi")
-    cells = crop_cells(crops)
-    return (hours.join(cells, ["iy", "ix"]).join(wanted.select("fire_id", "hour").distinct(), ["fire_id", "hour"], "left_semi")
+def build_store(scan: DataFrame, crops: DataFrame, wanted: DataFrame, block: int = 16) -> DataFrame:
+    """Store rows of the wanted (fire_id, hour). The windows of the fires that want an hour meet its
+    cells on (hour, block of cells), so a row is made only where a fire wants that hour."""
+    def blocks(lo: str, hi: str) -> Column:
+        return F.explode(F.sequence(F.floor(F.col(lo) / block), F.floor(F.col(hi) / block)))
+    windows = crops.withColumn("_by", blocks("iy0", "iy1")).withColumn("_bx", blocks("ix0", "ix1"))
+    asked = wanted.select("fire_id", "hour").distinct().join(windows, "fire_id")
+    keyed = scan.withColumn("_by", F.floor(F.col("iy") / block)).withColumn("_bx", F.floor(F.col("ix") / block))
+    return (keyed.join(asked, ["hour", "_by", "_bx"])
+            .filter(F.col("iy").between(F.col("iy0"), F.col("iy1")) & F.col("ix").between(F.col("ix0"), F.col("ix1")))
             .select("fire_id", "hour", "iy", "ix", "lon", "lat", *FIELDS, "rh_derived"))
 
 
@@ -280,17 +285,37 @@ def bridged_samples(index: DataFrame, plan: DataFrame, cfg: Settings) -> DataFra
     return index.join(spoilt, ["fire_id", "t_index"], "left_anti")
 
 
-def validation(index: DataFrame, pruned: DataFrame, cells: DataFrame) -> DataFrame:
-    """Per fire: samples kept and dropped and the mean state of its weather."""
+_STATE = ("wind_speed", "rh", "t_c", "fosberg")
+
+
+def validation(index: DataFrame, pruned: DataFrame, cells: DataFrame, cfg: Settings) -> DataFrame:
+    """Per fire: samples kept and dropped and the mean state of its weather, averaged per kept sample
+    (over the cells and steps of its tile) and then over samples. A state that is not finite fails.
+
+    A tile's mean in one window serves every sample that shows this window at this place."""
     n = index.groupBy("fire_id").agg(F.count("*").alias("samples"))
     ok = pruned.groupBy("fire_id").agg(F.count("*").alias("ok"))
-    speed = F.hypot("u10_lag0", "v10_lag0")
-    state = cells.groupBy("fire_id").agg(F.avg(speed).alias("wind_speed"), F.avg("rh2m").alias("rh"),
-                                         (F.avg("t2m") - 273.15).alias("t_c"), F.avg("fosberg_10h").alias("fosberg"))
-    return (n.join(ok, "fire_id", "left").join(state, "fire_id", "left")
+    place = ["fire_id", "k", "row0", "col0"]
+    steps = pruned.select("sample_id", "fire_id", "row0", "col0",
+                          F.explode(F.sequence(F.col("t_index") - (cfg.t_steps - 1), F.col("t_index"))).alias("k"))
+    state = cells.select("fire_id", "k", "row", "col", F.hypot("u10_lag0", "v10_lag0").alias("wind_speed"), F.col("rh2m").alias("rh"),
+                         (F.col("t2m") - 273.15).alias("t_c"), F.col("fosberg_10h").alias("fosberg"))
+    means = [F.avg(c).alias(c) for c in _STATE]
+    tiles = cells_in_tiles(steps.select(*place).distinct(), state, cfg.patch, ("fire_id", "k")).groupBy(*place).agg(*means)
+    per_sample = steps.join(tiles, place).groupBy("fire_id", "sample_id").agg(*means)
+    finite = sum((F.coalesce(F.abs(c) < float("inf"), F.lit(False)).cast("int") for c in _STATE), F.lit(0)) == len(_STATE)
+    checked = per_sample.filter(F.when(finite, True).otherwise(
+        F.raise_error(F.concat(F.lit("weather is not finite in sample "), F.col("sample_id"))).cast("boolean")))
+    return (n.join(ok, "fire_id", "left").join(checked.groupBy("fire_id").agg(*means), "fire_id", "left")
             .withColumn("ok", F.coalesce("ok", F.lit(0))).withColumn("dropped", F.col("samples") - F.col("ok")))
 
 
+def weather_medians(checked: DataFrame) -> DataFrame:
+    """Median over fires of each column of the validated state: rows (field, median)."""
+    tall = checked.select(F.inline(F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).alias("value")) for c in _STATE])))
+    return exact_quantiles(tall, "value", [0.5], ["field"]).select("field", F.col("quantile").alias("median"))
+
+
 def guarded_prune(index: DataFrame, pruned: DataFrame, checked: DataFrame) -> DataFrame:
     """The pruned index, but only if every fire of the index was checked."""
     unchecked = index.select("fire_id").distinct().join(checked.select("fire_id"), "fire_id", "left_anti")

@@ -307,18 +307,19 @@ SELECT prow - 50000 AS prow, pcol - 50000 AS pcol,
        CAST((prow * 3 + pcol) % 300 AS DOUBLE) AS ch
 FROM (SELECT DISTINCT prow, pcol FROM (SELECT prow, UNNEST(range((v * 100) // 60, (v * 100 + 99) // 60 + 1)) AS pcol
   FROM (SELECT v, UNNEST(range((u * 100) // 60, (u * 100 + 99) // 60 + 1)) AS prow FROM v_land)))""")
+view("v_over", """
+SELECT *, (least((prow + 1) * 60, (arow + 1) * 100) - greatest(prow * 60, arow * 100))
+        * (least((pcol + 1) * 60, (acol + 1) * 100) - greatest(pcol * 60, acol * 100)) AS w FROM (
+  SELECT *, CAST(UNNEST(range(CAST(floor(pcol * 60 / 100) AS BIGINT), CAST(ceil((pcol + 1) * 60 / 100) AS BIGINT))) AS INTEGER) AS acol FROM (
+    SELECT *, CAST(UNNEST(range(CAST(floor(prow * 60 / 100) AS BIGINT), CAST(ceil((prow + 1) * 60 / 100) AS BIGINT))) AS INTEGER) AS arow
+    FROM v_pix))""")
 view("v_mode", """
 SELECT arow, acol, code FROM (
   SELECT *, row_number() OVER (PARTITION BY arow, acol ORDER BY n DESC, code) AS k FROM (
-    SELECT CAST(floor((prow * 60 + 30) / 100) AS INTEGER) AS arow, CAST(floor((pcol * 60 + 30) / 100) AS INTEGER) AS acol,
-           code, count(*) AS n FROM v_pix GROUP BY ALL)) WHERE k = 1""")
+    SELECT arow, acol, code, sum(w) AS n FROM v_over GROUP BY ALL)) WHERE k = 1""")
 view("v_area", """
-SELECT arow, acol, sum(w * cc) / sum(w) FILTER (cc IS NOT NULL) AS cc, sum(w * ch) / sum(w) FILTER (ch IS NOT NULL) AS ch FROM (
-  SELECT *, (least((prow + 1) * 60, (arow + 1) * 100) - greatest(prow * 60, arow * 100))
-          * (least((pcol + 1) * 60, (acol + 1) * 100) - greatest(pcol * 60, acol * 100)) AS w FROM (
-    SELECT *, CAST(UNNEST(range(CAST(floor(pcol * 60 / 100) AS BIGINT), CAST(ceil((pcol + 1) * 60 / 100) AS BIGINT))) AS INTEGER) AS acol FROM (
-      SELECT *, CAST(UNNEST(range(CAST(floor(prow * 60 / 100) AS BIGINT), CAST(ceil((prow + 1) * 60 / 100) AS BIGINT))) AS INTEGER) AS arow
-      FROM v_pix))) GROUP BY arow, acol""")
+SELECT arow, acol, sum(w * cc) / sum(w) FILTER (cc IS NOT NULL) AS cc, sum(w * ch) / sum(w) FILTER (ch IS NOT NULL) AS ch
+FROM v_over GROUP BY arow, acol""")
 view("v_static", f"""
 SELECT s.fire_id, s.row, s.col, s.height, s.width, s.dem AS elevation, s.slope,
        CASE WHEN s.slope < 0.1 THEN 0 ELSE sin(s.aspect) END AS aspect_sin,

@@ -305,15 +305,30 @@ def w11(s: Study) -> DataFrame:
     return line_sums(W.weather_cells(s.corners, fields), _W9, ("fire_id", "k"), "row", digits=2)
 
 
-@query("w12_weather_validation", """
+_SAMPLE_STATE = """(SELECT s.fire_id, s.sample_id, avg(sqrt(w.u10_lag0 * w.u10_lag0 + w.v10_lag0 * w.v10_lag0)) AS wind_speed, avg(w.rh2m) AS rh,
+  avg(w.t2m) - 273.15 AS t_c, avg(w.fosberg_10h) AS fosberg FROM v_step s JOIN v_wcell w ON w.fire_id = s.fire_id AND w.k = s.k
+   AND w.row BETWEEN s.row0 AND s.row0 + 31 AND w.col BETWEEN s.col0 AND s.col0 + 31 GROUP BY ALL)"""
+_FIRE_STATE = f"""(SELECT fire_id, avg(wind_speed) AS wind_speed, avg(rh) AS rh, avg(t_c) AS t_c, avg(fosberg) AS fosberg
+  FROM {_SAMPLE_STATE} GROUP BY fire_id)"""
+
+
+def checked_weather(s: Study) -> DataFrame:
+    return W.validation(s.index, s.samples, W.weather_cells(s.corners, s.fields), s.cfg)
+
+
+@query("w12_weather_validation", f"""
 SELECT i.fire_id, i.samples, coalesce(o.ok, 0) AS ok, i.samples - coalesce(o.ok, 0) AS dropped, round(s.wind_speed, 4) AS wind_speed,
  round(s.rh, 4) AS rh, round(s.t_c, 4) AS t_c, round(s.fosberg, 4) AS fosberg FROM (SELECT fire_id, count(*) AS samples FROM v_index GROUP BY 1) i
-LEFT JOIN (SELECT fire_id, count(*) AS ok FROM v_sample GROUP BY 1) o USING (fire_id)
-LEFT JOIN (SELECT fire_id, avg(sqrt(u10_lag0 * u10_lag0 + v10_lag0 * v10_lag0)) AS wind_speed, avg(rh2m) AS rh, avg(t2m) - 273.15 AS t_c,
-  avg(fosberg_10h) AS fosberg FROM v_wcell GROUP BY 1) s USING (fire_id)""")
+LEFT JOIN (SELECT fire_id, count(*) AS ok FROM v_sample GROUP BY 1) o USING (fire_id) LEFT JOIN {_FIRE_STATE} s USING (fire_id)""")
 def w12(s: Study) -> DataFrame:
-    out = W.validation(s.index, s.samples, W.weather_cells(s.corners, s.fields))
-    return rounded(out, "wind_speed", "rh", "t_c", "fosberg", digits=4)
+    return rounded(checked_weather(s), "wind_speed", "rh", "t_c", "fosberg", digits=4)
+
+
+@query("w12_weather_medians", f"""
+SELECT field, round(median(v), 4) AS median FROM (
+  SELECT UNNEST(['wind_speed', 'rh', 't_c', 'fosberg']) AS field, UNNEST([wind_speed, rh, t_c, fosberg]) AS v FROM {_FIRE_STATE}) GROUP BY field""")
+def w12c(s: Study) -> DataFrame:
+    return rounded(W.weather_medians(checked_weather(s)), "median", digits=4)
 
 
 @query("w12_guarded_prune", "SELECT sample_id FROM v_sample")

@@ -152,11 +152,27 @@ def n09(s: Study) -> DataFrame:
     return line_sums(out.withColumn("at", F.col("r") * 5 + F.col("c")), _FLIPPED, STEP, "at", 2)
 
 
-@query("n10_jitter")
+def _uniform(digest: str, place: int) -> str:
+    return f"((('0x' || substr({digest}, {place}, 8))::BIGINT + 0.5::DOUBLE) / 4294967296.0::DOUBLE)"
+
+
+def _noisy(i: int, c: str) -> str:
+    u, v = (_uniform(f"h{i // 2}", p) for p in ((1, 9) if i % 2 == 0 else (17, 25)))
+    z = f"({c} - (SELECT mean FROM v_stats WHERE channel = '{c}')) / (SELECT std FROM v_stats WHERE channel = '{c}')"
+    gone = _uniform(f"md5('0:' || sample_id || ':drop {c}')", 1)
+    return f"CASE WHEN {gone} < 0.1 THEN 0 ELSE {z} + sqrt(ln({u}) * -2) * cos({v} * 2 * pi()) * 0.05 END AS {c}"
+
+
+_NOISY = [c for c in CH if c != "burn_mask"]
+_DIGESTS = ", ".join(f"md5('0:' || sample_id || ':' || step || ':' || r || ':' || c || ':{i}') AS h{i}" for i in range((len(_NOISY) + 1) // 2))
+
+
+@query("n10_jitter", line_sql(f"(SELECT sample_id, step, c, burn_mask, {', '.join(_noisy(i, c) for i, c in enumerate(_NOISY))}"
+                              f" FROM (SELECT *, {_DIGESTS} FROM v_train))", CH, "sample_id, step", "c", 2))
 def n10(s: Study) -> DataFrame:
     cells = D.normalise(s.assembled("train"), s.stats, s.cfg.channels)
     noisy = D.jitter(cells, s.cfg.channels, 0.05, 0.1, 0)
-    return line_sums(noisy, CH, STEP, "c", 4)
+    return line_sums(noisy, CH, STEP, "c", 2)
 
 
 @query("n11_distance_to_burn", """
@@ -169,7 +185,16 @@ def n11(s: Study) -> DataFrame:
                                          F.sum(F.col("d2") * (F.col("c") % 7 + 1)).alias("d2_place"), F.max("d2").alias("d2_max"))
 
 
-@query("n12_downwind")
+# Squared distance, row and column of the nearest burning cell in one number, taken column by column.
+_NEAR = f"""(SELECT sid, step, r, x AS c, min((x - c) * (x - c) * 1024 + g) AS m FROM (
+    SELECT n.sid, b.step, t.r, b.c, min((t.r - b.r) * (t.r - b.r) * 1024 + b.r * 32 + b.c) AS g
+    FROM v_asm b JOIN v_sid n USING (sample_id), range({P}) t(r) WHERE b.burn_mask > 0.5 GROUP BY ALL), range({P}) u(x) GROUP BY ALL)"""
+
+
+@query("n12_downwind", line_sql(f"""(SELECT a.sample_id, a.step, a.c, CASE WHEN d.m >= 1024 THEN
+    ((a.c - d.m % 32) * a.u10_lag0 + (d.m // 32 % 32 - a.r) * a.v10_lag0) / sqrt((d.m // 1024)::DOUBLE) ELSE 0 END AS downwind
+  FROM v_asm a JOIN v_sid n USING (sample_id) LEFT JOIN {_NEAR} d ON (d.sid, d.step, d.r, d.c) = (n.sid, a.step, a.r, a.c))""",
+                                ("downwind",), "sample_id, step", "c", 3))
 def n12(s: Study) -> DataFrame:
     return line_sums(D.downwind(s.assembled(), P), ("downwind",), STEP, "c", 3)
 

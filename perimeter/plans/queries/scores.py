@@ -288,9 +288,10 @@ def b05(s: Study) -> DataFrame:
 
 
 @query("b06_positive_weight", """
-SELECT round((count(*) * 1024 - sum(n_target)) / greatest(sum(n_target), 1), 6) AS pos_weight FROM v_years""")
+SELECT round((count(*) * 1024 - sum(n_target)) / greatest(sum(n_target), 1), 6) AS pos_weight
+FROM v_years JOIN (SELECT sample_id FROM """ + _SPLIT + """ WHERE split = 'train') USING (sample_id)""")
 def b06(s: Study) -> DataFrame:
-    return rounded(LO.positive_weight(s.order_years.withColumnRenamed("n_target", "n_target_px"), 1024), "pos_weight")
+    return rounded(LO.positive_weight(N.assign_split(s.order_years, ORDER_SPLITS).filter("split = 'train'").withColumnRenamed("n_target", "n_target_px"), 1024), "pos_weight")
 
 
 _P = "least(greatest(prob, 1e-7), 1 - 1e-7)"

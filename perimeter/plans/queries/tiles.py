@@ -101,7 +101,7 @@ def step_sums(s: Study, cells: DataFrame) -> DataFrame:
 
 @query("v06_persistence", f"SELECT *, {SKILL} FROM (SELECT sample_id, tp, fp, fn FROM v_base WHERE baseline = 'persistence')")
 def v06(s: Study) -> DataFrame:
-    counts = B.baseline_counts(s.index, s.first, s.cfg, (1,)).filter("baseline = 'persistence'")
+    counts = B.baseline_counts(s.index, s.first, s.cfg, ())
     return counts.select("sample_id", "tp", "fp", "fn", *rounded_skill())
 
 

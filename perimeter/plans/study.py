@@ -198,7 +198,14 @@ class Study:
 
     @cached_property
     def archive_hours(self) -> DataFrame:
-        return self.stage("archive_hours", lambda: self.scan.select("hour").distinct())
+        return self.stage("archive_hours", self._build_archive_hours)
+
+    def _build_archive_hours(self) -> DataFrame:
+        """Complete hours of the archive, of those that a needed hour or its repairs can ask for."""
+        reach = self.cfg.repair_rounds
+        near = self.needed.select("hour").distinct().select(
+            F.explode(F.sequence(F.col("hour") - reach, F.col("hour") + reach)).alias("hour"))
+        return W.scan_weather(W.cut_hours(self.weather_source, near)).select("hour").distinct()
 
     @cached_property
     def wanted(self) -> DataFrame:
@@ -214,7 +221,8 @@ class Study:
 
     @cached_property
     def store(self) -> DataFrame:
-        return self.stage("store", lambda: W.build_store(self.scan, self.crops, self.wanted))
+        return self.stage("store", lambda: W.build_store(
+            W.scan_weather(W.cut_hours(self.weather_source, self.wanted)), self.crops, self.wanted))
 
     @cached_property
     def stored_hours(self) -> DataFrame:

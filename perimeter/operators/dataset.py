@@ -89,26 +89,35 @@ def coin(seed: int, place: int, *keys: str) -> Column:
     return F.substring(text, place, 1) < "8"
 
 
-def uniform(digest: Column, place: int) -> Column:
-    """A uniform in (0, 1) from eight digits of a hexadecimal digest."""
-    return (F.conv(F.substring(digest, place, 8), 16, 10).cast("double") + 0.5) / float(1 << 32)
+_WORD = (1 << 32) - 1
 
 
-def jitter(cells: DataFrame, channels: Sequence[str], sigma: float, drop: float, seed: int = 0) -> DataFrame:
+def _scatter(x: Column) -> Column:
+    """A 32-bit integer hash of whole numbers (multiply and fold, twice)."""
+    for _ in range(2):
+        x = (F.shiftright(x, 16).bitwiseXOR(x) * 73244475).bitwiseAND(F.lit(_WORD))
+    return F.shiftright(x, 16).bitwiseXOR(x)
+
+
+def _uniform(key: Column, salt: Column) -> Column:
+    """A uniform in (0, 1); `salt` keeps keys of different samples apart."""
+    mixed = _scatter(_scatter(key.bitwiseAND(F.lit(_WORD))).bitwiseXOR(salt))
+    return (mixed.cast("double") + 0.5) / float(1 << 32)
+
+
+def jitter(cells: DataFrame, channels: Sequence[str], sigma: float, drop: float, patch: int, seed: int = 0) -> DataFrame:
     """Gaussian noise on every channel but the mask, and channels dropped for a whole sample. Draws
-    are hashes of the cell, so a recomputed task repeats them."""
+    are hashes of sample, cell and channel, so a recomputed task repeats them."""
     noisy = [c for c in channels if c not in UNSCALED]
-
-    def digest(*parts: Column | str) -> Column:
-        return F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(p).cast("string") if isinstance(p, str) else p for p in parts]))
-    # A digest holds four uniforms, enough for the noise of two channels.
-    draws = cells.withColumns({f"_h{i}": digest("sample_id", "step", "r", "c", F.lit(str(i))) for i in range((len(noisy) + 1) // 2)})
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("sample_id").cast("string")))
+    words = {f"_w{i}": F.conv(F.substring(digest, 8 * i + 1, 8), 16, 10).cast("long") for i in range(3)}
+    place = (F.col("step").cast("long") * patch + F.col("r")) * patch + F.col("c")
+    draws = cells.withColumns(words).withColumn("_key", F.col("_w0") + place * 64)
     new = {}
     for i, ch in enumerate(noisy):
-        first = 1 if i % 2 == 0 else 17
-        u, v = (uniform(F.col(f"_h{i // 2}"), place) for place in (first, first + 8))
+        u, v = (_uniform(F.col("_key") + (2 * i + half), F.col("_w1")) for half in (0, 1))
         noise = F.sqrt(F.log(u) * -2) * F.cos(v * (2 * np.pi))
-        gone = uniform(digest("sample_id", F.lit(f"drop {ch}")), 1) < drop
+        gone = _uniform(F.col("_w2") + i, F.col("_w1")) < drop
         new[ch] = F.when(gone, 0.0).otherwise(F.col(ch) + noise * sigma)
     return draws.withColumns(new).select(*cells.columns)
 

@@ -152,26 +152,34 @@ def n09(s: Study) -> DataFrame:
     return line_sums(out.withColumn("at", F.col("r") * 5 + F.col("c")), _FLIPPED, STEP, "at", 2)
 
 
-def _uniform(digest: str, place: int) -> str:
-    return f"((('0x' || substr({digest}, {place}, 8))::BIGINT + 0.5::DOUBLE) / 4294967296.0::DOUBLE)"
+def _scattered(x: str) -> str:
+    """The hash, through a chain of list transforms so that every step is stated once."""
+    once = "list_transform({0}, lambda x: (xor(x >> 16, x) * 73244475) & 4294967295)"
+    return "list_transform(" + once.format(once.format(x)) + ", lambda x: xor(x >> 16, x))"
+
+
+def _uniforms(keys: str) -> str:
+    mixed = _scattered(f"list_transform({_scattered(keys)}, lambda x: xor(x, w1))")
+    return f"list_transform({mixed}, lambda x: (x + 0.5::DOUBLE) / 4294967296.0::DOUBLE)"
 
 
 def _noisy(i: int, c: str) -> str:
-    u, v = (_uniform(f"h{i // 2}", p) for p in ((1, 9) if i % 2 == 0 else (17, 25)))
     z = f"({c} - (SELECT mean FROM v_stats WHERE channel = '{c}')) / (SELECT std FROM v_stats WHERE channel = '{c}')"
-    gone = _uniform(f"md5('0:' || sample_id || ':drop {c}')", 1)
-    return f"CASE WHEN {gone} < 0.1 THEN 0 ELSE {z} + sqrt(ln({u}) * -2) * cos({v} * 2 * pi()) * 0.05 END AS {c}"
+    return (f"CASE WHEN gone[{i + 1}] < 0.1 THEN 0 ELSE {z} + sqrt(ln(u[{2 * i + 1}]) * -2) * cos(u[{2 * i + 2}] * 2 * pi()) * 0.05 END AS {c}")
 
 
 _NOISY = [c for c in CH if c != "burn_mask"]
-_DIGESTS = ", ".join(f"md5('0:' || sample_id || ':' || step || ':' || r || ':' || c || ':{i}') AS h{i}" for i in range((len(_NOISY) + 1) // 2))
+_WORDS = ", ".join(f"('0x' || substr(md5('0:' || sample_id), {8 * i + 1}, 8))::BIGINT AS w{i}" for i in range(3))
+_DRAWN = f"""(SELECT a.*, n.gone, {_uniforms(f"list_transform(range({2 * len(_NOISY)}), lambda k: (w0 + ((step * {P} + r) * {P} + c) * 64 + k) & 4294967295)")} AS u
+  FROM v_train a JOIN (SELECT *, {_uniforms(f"list_transform(range({len(_NOISY)}), lambda k: (w2 + k) & 4294967295)")} AS gone
+    FROM (SELECT sample_id, {_WORDS} FROM v_sample)) n USING (sample_id))"""
 
 
-@query("n10_jitter", line_sql(f"(SELECT sample_id, step, c, burn_mask, {', '.join(_noisy(i, c) for i, c in enumerate(_NOISY))}"
-                              f" FROM (SELECT *, {_DIGESTS} FROM v_train))", CH, "sample_id, step", "c", 2))
+@query("n10_jitter", line_sql(f"(SELECT sample_id, step, c, burn_mask, {', '.join(_noisy(i, c) for i, c in enumerate(_NOISY))} FROM {_DRAWN})",
+                              CH, "sample_id, step", "c", 2))
 def n10(s: Study) -> DataFrame:
     cells = D.normalise(s.assembled("train"), s.stats, s.cfg.channels)
-    noisy = D.jitter(cells, s.cfg.channels, 0.05, 0.1, 0)
+    noisy = D.jitter(cells, s.cfg.channels, 0.05, 0.1, P, 0)
     return line_sums(noisy, CH, STEP, "c", 2)
 
 

@@ -92,16 +92,12 @@ def coin(seed: int, place: int, *keys: str) -> Column:
 _WORD = (1 << 32) - 1
 
 
-def _scatter(x: Column) -> Column:
-    """A 32-bit integer hash of whole numbers (multiply and fold, twice)."""
-    for _ in range(2):
-        x = (F.shiftright(x, 16).bitwiseXOR(x) * 73244475).bitwiseAND(F.lit(_WORD))
-    return F.shiftright(x, 16).bitwiseXOR(x)
-
-
 def _uniform(key: Column, salt: Column) -> Column:
-    """A uniform in (0, 1); `salt` keeps keys of different samples apart."""
-    mixed = _scatter(_scatter(key.bitwiseAND(F.lit(_WORD))).bitwiseXOR(salt))
+    """A uniform in (0, 1) by multiply-shift hashing; `salt` keeps keys of different samples apart. Every round
+    uses its input once, so the expression stays small enough to be compiled."""
+    mixed = key.bitwiseAND(F.lit(_WORD))
+    for factor in (1103515245, 73244475, 1640531527, 22695477):
+        mixed = F.shiftright(mixed.bitwiseXOR(salt) * factor, 16).bitwiseAND(F.lit(_WORD))
     return (mixed.cast("double") + 0.5) / float(1 << 32)
 
 

@@ -152,15 +152,11 @@ def n09(s: Study) -> DataFrame:
     return line_sums(out.withColumn("at", F.col("r") * 5 + F.col("c")), _FLIPPED, STEP, "at", 2)
 
 
-def _scattered(x: str) -> str:
-    """The hash, through a chain of list transforms so that every step is stated once."""
-    once = "list_transform({0}, lambda x: (xor(x >> 16, x) * 73244475) & 4294967295)"
-    return "list_transform(" + once.format(once.format(x)) + ", lambda x: xor(x >> 16, x))"
-
-
 def _uniforms(keys: str) -> str:
-    mixed = _scattered(f"list_transform({_scattered(keys)}, lambda x: xor(x, w1))")
-    return f"list_transform({mixed}, lambda x: (x + 0.5::DOUBLE) / 4294967296.0::DOUBLE)"
+    mixed = "k & 4294967295"
+    for factor in (1103515245, 73244475, 1640531527, 22695477):
+        mixed = f"((xor({mixed}, w1) * {factor}) >> 16) & 4294967295"
+    return f"list_transform({keys}, lambda k: (({mixed}) + 0.5::DOUBLE) / 4294967296.0::DOUBLE)"
 
 
 def _noisy(i: int, c: str) -> str:
@@ -202,9 +198,9 @@ _NEAR = f"""(SELECT sid, step, r, x AS c, min((x - c) * (x - c) * 1024 + g) AS m
 @query("n12_downwind", line_sql(f"""(SELECT a.sample_id, a.step, a.c, CASE WHEN d.m >= 1024 THEN
     ((a.c - d.m % 32) * a.u10_lag0 + (d.m // 32 % 32 - a.r) * a.v10_lag0) / sqrt((d.m // 1024)::DOUBLE) ELSE 0 END AS downwind
   FROM v_asm a JOIN v_sid n USING (sample_id) LEFT JOIN {_NEAR} d ON (d.sid, d.step, d.r, d.c) = (n.sid, a.step, a.r, a.c))""",
-                                ("downwind",), "sample_id, step", "c", 3))
+                                ("downwind",), "sample_id, step", "c", 2))
 def n12(s: Study) -> DataFrame:
-    return line_sums(D.downwind(s.assembled(), P), ("downwind",), STEP, "c", 3)
+    return line_sums(D.downwind(s.assembled(), P), ("downwind",), STEP, "c", 2)
 
 
 @query("n13_finite_and_symmetric", """

@@ -178,7 +178,9 @@ def fit(labelled: DataFrame, docs_per_lang: int = SAMPLE_DOCS, bytes_per_lang: i
 
 
 def predictor(docs: DataFrame, model: Model, text: Column) -> Column:
-    """Column (lang, score) of a text column, with the model broadcast: at most MAX_CELLS ints."""
+    """Column (lang, score) of a text column, with the model broadcast: at most MAX_CELLS ints.
+
+    It is marked as not deterministic, which it is, so that a filter on it is not given a call of its own."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang string, score double")
@@ -186,4 +188,4 @@ def predictor(docs: DataFrame, model: Model, text: Column) -> Column:
         for texts in batches:
             lang, score = shared.value.predict(texts.tolist())
             yield pd.DataFrame({"lang": lang, "score": score})
-    return run(text)
+    return run.asNondeterministic()(text)

@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from perimeter.config import DIRECTION_GROUPS, EAST_CHANNELS, NORTH_CHANNELS, Settings
 from perimeter.operators.labels import cells_in_tiles
@@ -35,10 +36,10 @@ def step_tiles(samples: DataFrame, cfg: Settings, steps: Sequence[int] | None =
 
 
 def assemble(samples: DataFrame, cells: DataFrame, cfg: Settings, steps: Sequence[int] | None = None) -> DataFrame:
-    """(sample_id, step, r, c, channels..., fuel_idx, target) for every cell of every tile."""
+    """(sample_id, fire_id, step, r, c, channels..., fuel_idx, target) for every cell of every tile."""
     placed = cells_in_tiles(step_tiles(samples, cfg, steps), cells, cfg.patch, ("fire_id", "k"))
     target = F.coalesce(F.col("first_t") == F.col("t") + 1, F.lit(False))
-    return placed.select("sample_id", "step", (F.col("row") - F.col("row0")).alias("r"), (F.col("col") - F.col("col0")).alias("c"),
+    return placed.select("sample_id", "fire_id", "step", (F.col("row") - F.col("row0")).alias("r"), (F.col("col") - F.col("col0")).alias("c"),
                          *cfg.channels, "fuel_idx", target.alias("target"))
 
 
@@ -160,6 +161,19 @@ def distance_to_burn(burned: DataFrame, keys: list[str], patch: int, tiles: Data
     return near.unionByName(empty.withColumn("r", F.explode(line)).withColumn("c", F.explode(line)), allowMissingColumns=True)
 
 
+def with_distance(cells: DataFrame, patch: int) -> DataFrame:
+    """Adds `dist`, in cells, to the nearest `burned` cell of the tile: 0 on burned cells, infinite in a tile
+    without any. A group is one tile with all columns it has, so nothing is joined back."""
+    def tile(pdf: pd.DataFrame) -> pd.DataFrame:
+        r, c, burned = pdf["r"].to_numpy(), pdf["c"].to_numpy(), pdf["burned"].to_numpy(bool)
+        if not burned.any():
+            return pdf.assign(dist=np.inf)
+        d2, _, _ = nearest_burned(r[burned], c[burned], patch)
+        return pdf.assign(dist=np.sqrt(d2[r, c].astype(float)))
+    schema = T.StructType([*cells.schema.fields, T.StructField("dist", T.DoubleType())])
+    return cells.groupBy("sample_id").applyInPandas(tile, schema)
+
+
 def downwind(assembled: DataFrame, patch: int) -> DataFrame:
     """Adds `downwind`: wind along the outward direction from the nearest burning cell of the same
     step; 0 on burning cells and in tiles without any."""

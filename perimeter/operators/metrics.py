@@ -56,6 +56,19 @@ def best_threshold(scores: DataFrame, *keys: str) -> DataFrame:
     return ends.withColumn("at_edge", edge).drop("_a", "_b")
 
 
+def chosen_threshold(split_scores: DataFrame) -> Column:
+    """The best threshold on validation, from scores per split and threshold."""
+    return best_threshold(split_scores.filter("split = 'val'")).select("best_threshold").scalar()
+
+
+def transfer(split_scores: DataFrame) -> DataFrame:
+    """Test scores at the threshold chosen on validation and at the one that test itself would choose."""
+    test = split_scores.filter("split = 'test'").select("threshold", "csi")
+    own = best_threshold(test).select(F.lit("test").alias("choice"), F.col("best_threshold").alias("threshold"), F.col("best_csi").alias("csi"))
+    held = test.filter(F.col("threshold") == chosen_threshold(split_scores))
+    return held.select(F.lit("validation").alias("choice"), "threshold", "csi").unionByName(own)
+
+
 def brier(scored: DataFrame, cells_per_sample: int | None = None) -> DataFrame:
     """Mean over samples of each sample's mean squared error; absent cells count as exact zeros
     when the number of cells of a sample is given."""

@@ -57,11 +57,20 @@ def score(cells: DataFrame, model: CellModel) -> DataFrame:
     return cells.withColumn("prob", sigmoid(model.logit()))
 
 
-def partners(samples: DataFrame, seed: int = 0) -> DataFrame:
-    """A random cyclic permutation of the samples: (sample_id, partner)."""
-    ranked = global_index(samples.select("sample_id", seed_order(seed, "sample_id").alias("_s")), ["_s", "sample_id"], "i")
-    total = ranked.agg(F.count("*")).scalar()
-    return (ranked.select("sample_id", ((F.col("i") + 1) % total).alias("j"))
+def stated_model(channels: Sequence[str]) -> CellModel:
+    """Coefficients by a rule, to check scoring and probing apart from any fit."""
+    return CellModel(-1.0, {c: (i * 7 % 11 - 5) / 10 for i, c in enumerate(channels)},
+                     [(i * 5 % 9 - 4) / 20 for i in range(len(FUEL_CODES) + 1)])
+
+
+def partners(samples: DataFrame, keys: Sequence[str] = (), seed: int = 0) -> DataFrame:
+    """A random cyclic permutation of the samples of each key: (sample_id, partner)."""
+    by = [*keys, "_all"]
+    ranked = global_index(samples.select(*keys, "sample_id", F.lit(0).alias("_all"), seed_order(seed, "sample_id").alias("_s")),
+                          [*by, "_s", "sample_id"], "i")
+    spans = ranked.groupBy(*by).agg(F.min("i").alias("_low"), F.count("*").alias("_n"))
+    after = F.col("_low") + (F.col("i") - F.col("_low") + 1) % F.col("_n")
+    return (ranked.join(spans, by).select("sample_id", after.alias("j"))
             .join(ranked.select(F.col("i").alias("j"), F.col("sample_id").alias("partner")), "j").select("sample_id", "partner"))
 
 
@@ -78,7 +87,7 @@ def occlusion_counts(cells: DataFrame, model: CellModel, threshold: float, mode:
     small = cells.select(*keys, "sample_id", "r", "c", "target", *([roi.alias("_near")] if roi is not None else []),
                          model.logit().alias("_z"), *[e.alias(n) for n, e in parts.items()])
     if mode == "permute":
-        pair = partners(cells.select("sample_id").distinct())
+        pair = partners(cells.select(*keys, "sample_id").distinct(), keys)
         other = small.select(F.col("sample_id").alias("partner"), "r", "c", *[F.col(n).alias(f"o{n}") for n in parts])
         small = small.join(pair, "sample_id").join(other, ["partner", "r", "c"])
     swapped = {n: F.col(f"o{n}") if mode == "permute" else F.lit(0.0) for n in parts}
@@ -86,7 +95,7 @@ def occlusion_counts(cells: DataFrame, model: CellModel, threshold: float, mode:
     scored = small.withColumns(probs)
     inside = F.col("_near") if roi is not None else (F.col("_q0") > 0.01) | F.col("target")
     labels = ["none", *names]
-    sums = []
+    sums = [F.sum(inside.cast("int")).alias("roi")]
     for i in range(len(labels)):
         hit = F.col(f"_q{i}") > threshold
         sums += [F.sum((hit & F.col("target")).cast("int")).alias(f"tp{i}"), F.sum((hit & ~F.col("target")).cast("int")).alias(f"fp{i}"),
@@ -95,7 +104,7 @@ def occlusion_counts(cells: DataFrame, model: CellModel, threshold: float, mode:
     wide = scored.groupBy(*keys, "sample_id").agg(*sums)
     tall = F.inline(F.array(*[F.struct(F.lit(g).alias("grp"), *[F.col(f"{n}{i}").alias(n) for n in ("tp", "fp", "fn", "dp")])
                               for i, g in enumerate(labels)]))
-    return wide.select(*keys, "sample_id", tall)
+    return wide.select(*keys, "sample_id", "roi", tall)
 
 
 def occlusion(counts: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
@@ -107,6 +116,17 @@ def occlusion(counts: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     return joined.filter("grp <> 'none'").withColumn("csi_drop", F.col("_base") - F.col("csi")).drop("_base")
 
 
+def occlusion_pooled(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """As `occlusion`, with hits and misses pooled over the samples of a key before they are scored and the
+    change of probability averaged over all cells of interest."""
+    moved = F.coalesce(F.try_divide(F.sum(F.col("dp") * F.col("roi")), F.sum("roi")), F.lit(0.0))
+    total = counts.groupBy(*keys, "grp").agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn")], moved.alias("mean_abs_dp"), F.count("*").alias("samples"))
+    scored = total.select(*keys, "grp", csi(F.col("tp"), F.col("fp"), F.col("fn")).alias("csi"), "mean_abs_dp", "samples")
+    base = scored.filter("grp = 'none'").select(*keys, F.col("csi").alias("_base"))
+    return (scored.filter("grp <> 'none'").join(base, list(keys))
+            .withColumn("csi_drop", F.col("_base") - F.col("csi")).drop("_base"))
+
+
 def day_or_night(window_time: str = "window_time") -> Column:
     return F.when(F.hour(window_time) == 12, "day").otherwise("night")
 

@@ -77,6 +77,8 @@ view("v_kept", """
 SELECT * FROM v_raw
 WHERE CASE lower(substring(trim(confidence), 1, 1)) WHEN 'l' THEN 0 WHEN 'n' THEN 1 WHEN 'h' THEN 2 ELSE -1 END >= 1
   AND type = 0""")
+view("v_landed", """
+SELECT * FROM v_kept WHERE file <> 'chunk_03' AND NOT (datediff('day', DATE '2015-01-01', CAST(acq_date AS DATE)) % 11 + 11) % 11 BETWEEN 2 AND 5""")
 view("v_timed", """
 SELECT *, CAST(acq_date || ' ' || lpad(CAST(acq_time // 100 AS VARCHAR), 2, '0') || ':'
                || lpad(CAST(acq_time % 100 AS VARCHAR), 2, '0') || ':00' AS TIMESTAMP) AS acq FROM v_kept""")

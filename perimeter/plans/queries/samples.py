@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from perimeter.config import EAST_CHANNELS, NORTH_CHANNELS
 from perimeter.operators import cells as C
 from perimeter.operators import dataset as D
 from perimeter.operators import export as X
@@ -139,17 +141,17 @@ def n08(s: Study) -> DataFrame:
     return line_sums(D.normalise(s.assembled(), s.stats, s.cfg.channels), CH, STEP, "c", 2)
 
 
-_FLIPPED = ("u10_lag0", "v10_lag0", "aspect_sin", "aspect_cos", "rh2m", "burn_mask")
+_EAST, _NORTH = (", ".join(f"CASE WHEN {side} THEN -{c} ELSE {c} END AS {c}" for c in cs)
+                 for side, cs in (("ew", EAST_CHANNELS), ("ns", NORTH_CHANNELS)))
+_STILL = ", ".join(c for c in CH if c not in EAST_CHANNELS + NORTH_CHANNELS)
 _COINS = "substr(md5('1:' || sample_id), 1, 1) < '8' AS ew, substr(md5('1:' || sample_id), 2, 1) < '8' AS ns"
 
 
 @query("n09_flip", line_sql(f"""(SELECT sample_id, step, CASE WHEN ew THEN {P - 1} - c ELSE c END AS c, CASE WHEN ns THEN {P - 1} - r ELSE r END AS r,
-  CASE WHEN ew THEN -u10_lag0 ELSE u10_lag0 END AS u10_lag0, CASE WHEN ns THEN -v10_lag0 ELSE v10_lag0 END AS v10_lag0,
-  CASE WHEN ew THEN -aspect_sin ELSE aspect_sin END AS aspect_sin, CASE WHEN ns THEN -aspect_cos ELSE aspect_cos END AS aspect_cos,
-  rh2m, burn_mask FROM (SELECT *, {_COINS} FROM v_asm))""", _FLIPPED, "sample_id, step", "(r * 5 + c)", 2))
+  {_EAST}, {_NORTH}, {_STILL} FROM (SELECT *, {_COINS} FROM v_asm))""", CH, "sample_id, step", "(r * 5 + c)", 2))
 def n09(s: Study) -> DataFrame:
     out = D.flip(s.assembled(), D.coin(1, 1, "sample_id"), D.coin(1, 2, "sample_id"), P)
-    return line_sums(out.withColumn("at", F.col("r") * 5 + F.col("c")), _FLIPPED, STEP, "at", 2)
+    return line_sums(out.withColumn("at", F.col("r") * 5 + F.col("c")), CH, STEP, "at", 2)
 
 
 def _uniforms(keys: str) -> str:
@@ -208,19 +210,22 @@ SELECT sample_id, count(*) AS cells, 0::BIGINT AS not_finite, 0::BIGINT AS flip_
 def n13(s: Study) -> DataFrame:
     cells = s.assembled()
     yes = F.lit(True)
-    twice = D.flip(D.flip(cells.withColumns({"r_": F.col("r"), "c_": F.col("c"), "u_": F.col("u10_lag0")}), yes, yes, P), yes, yes, P)
+    signed = [*EAST_CHANNELS, *NORTH_CHANNELS]
+    marked = cells.withColumns({f"{c}_": F.col(c) for c in ("r", "c", *signed)})
+    twice = D.flip(D.flip(marked, yes, yes, P), yes, yes, P)
     bad = sum((F.isnan(c) | F.col(c).isNull()).cast("int") for c in CH[1:])
-    moved = (F.col("r") != F.col("r_")) | (F.col("c") != F.col("c_")) | (F.col("u10_lag0") != F.col("u_"))
+    moved = reduce(lambda a, b: a | b, [F.col(c) != F.col(f"{c}_") for c in ("r", "c", *signed)])
     return twice.groupBy("sample_id").agg(F.count("*").alias("cells"), F.sum(bad.cast("long")).alias("not_finite"),
                                           F.sum(moved.cast("long")).alias("flip_moved"))
 
 
-@query("n15_pack_tiles", """
-SELECT sample_id, step, 'slope' AS channel, count(*) AS n, round(sum(CAST(slope AS FLOAT)::DOUBLE * ((r * 32 + c) % 13) * 0.7310585::DOUBLE), 0) + 0.0 AS place_sum FROM v_asm GROUP BY ALL""")
+@query("n15_pack_tiles", " UNION ALL ".join(f"""
+SELECT sample_id, step, '{c}' AS channel, count(*) AS n, round(sum(CAST({c} AS FLOAT)::DOUBLE * ((r * 32 + c) % 13) * 0.7310585::DOUBLE), 0) + 0.0 AS place_sum
+FROM v_asm GROUP BY ALL""" for c in CH))
 def n15(s: Study) -> DataFrame:
-    packed = D.pack_tiles(s.assembled(), ("slope",))
+    packed = D.pack_tiles(s.assembled(), CH)
     total = F.aggregate(F.transform("values", lambda v, i: v.cast("double") * (i % 13) * 0.7310585), F.lit(0.0), lambda a, v: a + v)
-    return packed.select("sample_id", "step", "channel", F.size("values").cast("long").alias("n"), F.round(total, 0).alias("place_sum"))
+    return packed.select("sample_id", "step", "channel", F.size("values").cast("long").alias("n"), (F.round(total, 0) + 0.0).alias("place_sum"))
 
 
 @query("b03_band_base_rates", """
@@ -280,7 +285,10 @@ def v23b(s: Study) -> DataFrame:
 
 @query("m01_cell_classifier")
 def m01(s: Study) -> DataFrame:
-    return V.pooled_scores(M.score(s.held_out, s.model))
+    """Scores of the fitted model per split; the threshold is the one chosen on validation."""
+    cells = M.score(s.held_out, s.model).join(s.splits.select("fire_id", "split"), "fire_id")
+    scores = s.stage("fitted_scores", lambda: V.pooled_scores(cells, "split"))
+    return scores.withColumn("chosen", F.col("threshold") == V.chosen_threshold(scores))
 
 
 @query("m07_occlusion_zero")
@@ -298,7 +306,7 @@ def m08(s: Study) -> DataFrame:
     near = M.near_fire(s.tile_marks, P).withColumn("near", F.lit(True))
     when = s.samples.select("sample_id", M.day_or_night().alias("period"))
     cells = s.held_out.join(near, ["sample_id", "r", "c"], "left").join(when, "sample_id")
-    return M.occlusion(M.occlusion_counts(cells, s.model, 0.5, "permute", ["period"], F.coalesce("near", F.lit(False))), ["period"])
+    return M.occlusion_pooled(M.occlusion_counts(cells, s.model, 0.5, "permute", ["period"], F.coalesce("near", F.lit(False))), ["period"])
 
 
 @query("m09_stitch_tiles", "SELECT fire_id, t_index, row, count(*) AS n, sum(tiles)::BIGINT AS tiles, round(sum(prob * (col % 17 + 1)), 4) AS prob FROM v_stitch GROUP BY ALL")

@@ -65,41 +65,41 @@ def s05(s: Study) -> DataFrame:
 
 @query("s06_pending_chunks", f"""
 SELECT year, chunk_start FROM {_CHUNKS} c WHERE NOT EXISTS (
-  SELECT 1 FROM v_kept k WHERE k.frp > 150 AND CAST(k.acq_date AS DATE) BETWEEN c.chunk_start AND c.chunk_start + 4)""")
+  SELECT 1 FROM v_landed k WHERE CAST(k.acq_date AS DATE) BETWEEN c.chunk_start AND c.chunk_start + 4)""")
 def s06(s: Study) -> DataFrame:
     planned = S.plan_chunks(year_spans(s), 5, "2015-01-03")
-    strong = S.clean_detections(s.raw).filter("frp > 150").select(F.col("acq_date").cast("date").alias("day"))
-    landed = strong.select(F.expr("explode(sequence(date_sub(day, 4), day, interval 1 day))").alias("chunk_start"))
+    landed = landed_days(s).select(F.expr("explode(sequence(date_sub(day, 4), day, interval 1 day))").alias("chunk_start"))
     return S.pending_chunks(planned, landed).select("year", "chunk_start")
 
 
-_DAYS = "(SELECT CAST(acq_date AS DATE) AS day, count(*) AS n FROM v_kept WHERE frp > 60 GROUP BY 1)"
-_MISSING = f"""(SELECT d AS day FROM (SELECT CAST(UNNEST(range(CAST(min(day) AS TIMESTAMP),
-    CAST(max(day) AS TIMESTAMP) + INTERVAL 1 DAY, INTERVAL 1 DAY)) AS DATE) AS d FROM {_DAYS})
+_DAYS = "(SELECT DISTINCT CAST(acq_date AS DATE) AS day FROM v_landed)"
+FIRST_DAY, LAST_DAY = "2015-01-01", "2023-12-31"
+_MISSING = f"""(SELECT d AS day FROM (SELECT CAST(UNNEST(range(TIMESTAMP '{FIRST_DAY}',
+    TIMESTAMP '{LAST_DAY}' + INTERVAL 1 DAY, INTERVAL 1 DAY)) AS DATE) AS d)
   WHERE d NOT IN (SELECT day FROM {_DAYS}))"""
 
 
-def strong_days(s: Study) -> DataFrame:
-    return S.clean_detections(s.raw).filter("frp > 60").select(F.col("acq_date").cast("date").alias("day"))
+def landed_days(s: Study) -> DataFrame:
+    return S.clean_detections(s.landed).select(F.col("acq_date").cast("date").alias("day"))
 
 
 @query("s07_missing_days", f"SELECT day FROM {_MISSING}")
 def s07a(s: Study) -> DataFrame:
-    return S.missing_days(strong_days(s))
+    return S.missing_days(landed_days(s), FIRST_DAY, LAST_DAY)
 
 
 @query("s07_empty_runs", f"""
 SELECT min(day) AS start, count(*) AS days, month(min(day)) BETWEEN 6 AND 10 AS in_season FROM (
   SELECT day, day - CAST(row_number() OVER (ORDER BY day) AS INTEGER) AS g FROM {_MISSING}) GROUP BY g HAVING count(*) >= 3""")
 def s07b(s: Study) -> DataFrame:
-    return S.empty_runs(S.missing_days(strong_days(s)))
+    return S.empty_runs(S.missing_days(landed_days(s), FIRST_DAY, LAST_DAY))
 
 
 @query("s07_empty_files", """
 SELECT f.file, 1 + coalesce(n, 0) AS n_lines FROM (SELECT DISTINCT file FROM v_raw) f
-LEFT JOIN (SELECT file, count(*) AS n FROM v_kept WHERE frp > 390 GROUP BY file) USING (file) WHERE coalesce(n, 0) = 0""")
+LEFT JOIN (SELECT file, count(*) AS n FROM v_landed GROUP BY file) USING (file) WHERE coalesce(n, 0) = 0""")
 def s07c(s: Study) -> DataFrame:
-    rows = S.clean_detections(s.raw).filter("frp > 390").groupBy("file").count()
+    rows = S.clean_detections(s.landed).groupBy("file").count()
     files = s.raw.select("file").distinct().join(rows, "file", "left")
     return S.empty_files(files.select("file", (1 + F.coalesce("count", F.lit(0))).alias("n_lines")))
 
@@ -277,15 +277,15 @@ def l07(s: Study) -> DataFrame:
 
 
 @query("l08_structuring_elements", f"""
-SELECT kind, size, fire_id, count(*) AS n FROM (
-  SELECT DISTINCT kind, size, fire_id, row + dr, col + dc FROM (
-    SELECT fire_id, row, col FROM v_pts WHERE t_index = 0), (
+SELECT kind, size, fire_id, t_index, count(*) AS n FROM (
+  SELECT DISTINCT kind, size, fire_id, t_index, row + dr, col + dc FROM v_pts, (
     SELECT 'disk' AS kind, 4 AS size, dr, dc FROM {offsets_sql(C.disk(4))}
     UNION ALL SELECT 'diamond', 3, dr, dc FROM {offsets_sql(C.diamond(3))}) e) GROUP BY ALL""")
 def l08(s: Study) -> DataFrame:
-    cells = L.point_cells(s.labelled, s.grid, s.windows, s.cfg).filter("t_index = 0")
-    parts = [C.dilate(cells, ["fire_id"], off).groupBy("fire_id").agg(F.count("*").alias("n"))
-             .select(F.lit(kind).alias("kind"), F.lit(size).alias("size"), "fire_id", "n")
+    cells = L.point_cells(s.labelled, s.grid, s.windows, s.cfg)
+    key = ["fire_id", "t_index"]
+    parts = [C.dilate(cells, key, off).groupBy(*key).agg(F.count("*").alias("n"))
+             .select(F.lit(kind).alias("kind"), F.lit(size).alias("size"), *key, "n")
              for kind, size, off in (("disk", 4, C.disk(4)), ("diamond", 3, C.diamond(3)))]
     return parts[0].unionByName(parts[1])
 

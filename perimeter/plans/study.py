@@ -16,6 +16,7 @@ from perimeter.functions import geo
 from perimeter.operators import baselines as B
 from perimeter.operators import dataset as D
 from perimeter.operators import labels as L
+from perimeter.operators import losses as LO
 from perimeter.operators import scoring as M
 from perimeter.operators import segmentation as E
 from perimeter.operators import splits as SP
@@ -294,14 +295,40 @@ class Study:
             return D.normalise(D.assemble(samples, self.cell_windows, self.cfg, [self.cfg.t_steps - 1]), self.stats, self.cfg.channels)
         return self.stage("last_" + "_".join(splits), build)
 
+    @cached_property
+    def positive_weight(self) -> float:
+        """Unburned cells per target cell of the training samples."""
+        train = SP.samples_of(self.samples, self.splits, "train")
+        return float(LO.positive_weight(train, self.cfg.patch ** 2).first()["pos_weight"])
+
     @cached_property
     def model(self):
-        return M.fit_cells(self.last_step("train"), self.cfg.channels, 20.0)
+        return M.fit_cells(self.last_step("train"), self.cfg.channels, self.positive_weight)
+
+    @cached_property
+    def stated_model(self):
+        return M.stated_model(self.cfg.channels)
 
     @cached_property
     def held_out(self) -> DataFrame:
         return self.last_step("val", "test")
 
+    @cached_property
+    def forecast(self) -> DataFrame:
+        """Held-out cells scored by the stated model, with their split, distance to the burned area and band. Without
+        training fires there are no statistics to scale by, so no forecast."""
+        def build() -> DataFrame:
+            cells = M.score(self.held_out, self.stated_model).select(
+                "sample_id", "fire_id", "r", "c", "prob", "target", (F.col("burn_mask") > 0.5).alias("burned")).filter("prob IS NOT NULL")
+            return (D.with_distance(cells, self.cfg.patch).withColumn("band", V.distance_band(F.col("dist")))
+                    .join(self.splits.select("fire_id", "split"), "fire_id"))
+        return self.stage("forecast", build)
+
+    @cached_property
+    def landed(self) -> DataFrame:
+        """What an interrupted download has left of the archive: no file of the fourth chunk, and days missing."""
+        return self.raw.filter("file <> 'chunk_03' and pmod(datediff(acq_date, '2015-01-01'), 11) not between 2 and 5")
+
     @cached_property
     def tile_scores(self) -> DataFrame:
         """A probability for every tile cell that differs between overlapping tiles."""

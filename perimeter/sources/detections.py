@@ -32,11 +32,18 @@ def read_detections(spark: SparkSession, glob: str) -> DataFrame:
     headers = (lines.filter(is_header).groupBy("file")
                .agg(F.min(F.lower(F.trim("value"))).alias("header")))
     cells = (lines.filter(~is_header).join(headers, "file")
-             .withColumn("cell", F.map_from_arrays(
-                 F.transform(F.split("header", ","), lambda c: F.trim(c)),
-                 F.transform(F.split("value", ",", -1), lambda c: F.trim(c)))))
+             .withColumns({"names": fields_of("header"), "cells": fields_of("value")}))
     return cells.select(
-        "file", *[F.expr(f"try_cast(nullif(cell['{n}'], '') AS {t})").alias(n) for n, t in _FIELDS.items()])
+        "file", *[F.expr(f"try_cast(nullif(try_element_at(cells, cast(nullif(array_position(names, '{n}'), 0) as int)), '') AS {t})").alias(n)
+                  for n, t in _FIELDS.items()])
+
+
+def fields_of(line: str) -> F.Column:
+    """Trimmed fields of a CSV line. A quoted field may hold commas and doubled quotes; a field that a line
+    lacks is found null by whoever asks for it."""
+    parts = F.regexp_extract_all(F.concat(F.lit(","), line), F.lit(r',(\s*"(?:[^"]|"")*"\s*|[^,]*)'), 1)
+    quoted = r'^"((?:[^"]|"")*)"$'
+    return F.transform(parts, lambda x: F.trim(F.replace(F.regexp_replace(F.trim(x), quoted, "$1"), F.lit('""'), F.lit('"'))))
 
 
 def confidence_rank(c: str = "confidence") -> F.Column:
@@ -101,9 +108,10 @@ def empty_files(lines_per_file: DataFrame) -> DataFrame:
     return lines_per_file.filter(F.col("n_lines") <= 1)
 
 
-def missing_days(days: DataFrame) -> DataFrame:
-    """Calendar days between the first and last day that have no detection; input column `day`."""
-    spine = (days.agg(F.min("day").alias("a"), F.max("day").alias("b"))
+def missing_days(days: DataFrame, first: str, last: str) -> DataFrame:
+    """Calendar days from `first` to `last` that have no detection; input column `day`. The range is the one the
+    archive should cover, so that outages at its ends are found."""
+    spine = (days.sparkSession.range(1).select(F.lit(first).cast("date").alias("a"), F.lit(last).cast("date").alias("b"))
              .select(F.explode(F.expr("sequence(a, b, interval 1 day)")).alias("day")))
     return spine.join(days.select("day").distinct(), "day", "left_anti")
 

@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from perimeter.llm import language, mixing, packing, simhash
+from perimeter.llm import language, mixing, neardup, packing
 from perimeter.llm.common import remainder, word_count
 from perimeter.llm.line_dedup import line_dedup
 from perimeter.storage import checkpoint_root
@@ -40,8 +40,8 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the one of least id."""
-    return simhash.one_of_each(docs.select(*COLUMNS))
+    """One document of each group of near-duplicates (sets of 5-word shingles, Jaccard 0.8 or more): the one of least id."""
+    return neardup.one_of_each(docs.select(*COLUMNS))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

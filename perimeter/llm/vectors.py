@@ -5,7 +5,8 @@ others whose distance is within `BOUNDARY` of the nearest's, up to `COPIES` list
 either side. Lists are cut into blocks of at most `BLOCK` vectors, and queries into blocks as well: a
 hot list is many small tasks. Centroids are searched by a graph in memory: each is tied to its
 nearest centroids, and a search walks the graph by best-first steps from fixed entry points. A
-query reads the lists whose centroid is within `PRUNE` of the best, at most `PROBES`.
+query reads one list in `READ`, nearest first and `PROBES` at least, so the share that is read does not fall as the
+table grows, and of these the lists whose centroid is within `PRUNE` of the best.
 
 Bounds: the sample has `SAMPLE` vectors at most and there are `MAX_LISTS` centroids at most, so the broadcast
 index is a few MB. For inner products, vectors get one more coordinate that makes all lengths equal
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 from perimeter.storage import materialize
 
 SAMPLE, MAX_LISTS, ROUNDS, SEED = 32_768, 4096, 8, 7
-COPIES, BOUNDARY, PROBES, PRUNE, BLOCK, DEGREE, BEAM, POST_BEAM = 4, 1.15, 48, 1.6, 2048, 24, 96, 24
+COPIES, BOUNDARY, PROBES, READ, PRUNE, BLOCK, DEGREE, BEAM, POST_BEAM = 4, 1.15, 48, 8, 1.6, 2048, 24, 96, 24
 
 
 @dataclass
@@ -105,11 +106,12 @@ def lift(x: np.ndarray, length: float) -> np.ndarray:
 
 def _lists(shared, query: bool):
     """Adds the lists of each vector: those it is posted to, or those a query reads."""
-    most, ratio, beam = (PROBES, PRUNE, BEAM) if query else (COPIES, BOUNDARY, POST_BEAM)
+    ratio, beam = (PRUNE, BEAM) if query else (BOUNDARY, POST_BEAM)
 
     @F.pandas_udf("array<int>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         index: Index = shared.value
+        most = max(PROBES, ceil(len(index.centroids) / READ)) if query else COPIES
         for batch in batches:
             x = np.stack([np.asarray(v, np.float64) for v in batch]) if len(batch) else np.zeros((0, index.centroids.shape[1] - 1))
             x = np.hstack((x * (index.length / np.sqrt((x * x).sum(axis=1)))[:, None], np.zeros((len(x), 1)))) if query else lift(x, index.length)

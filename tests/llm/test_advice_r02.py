@@ -60,3 +60,30 @@ def test_similar_sets_in_blocks(spark, monkeypatch):
     rows += [(100 + i, " ".join(f"u{x}" for x in rng.integers(0, 5000, 80))) for i in range(20)]
     got = {r["doc_id"]: r["component_id"] for r in neardup.near_sets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == jaccard_heads(dict(rows))
+
+
+def recall(spark, x, k=20):
+    from perimeter.llm import vectors
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    asked, got = list(range(0, len(x), max(1, len(x) // 200))), {}
+    for r in vectors.nearest(rows.filter(F.col("vec_id") % max(1, len(x) // 200) == 0), rows, k).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    hits = 0
+    for q in asked:
+        s = (x * x[q]).sum(axis=1)
+        s[q] = -np.inf
+        assert len(got[q]) == min(k, len(x) - 1)
+        hits += min(k, int((s[list(got[q])] >= np.sort(s)[-k] - 1e-12).sum()))
+    return hits / (k * len(asked))
+
+
+def unit(rng, n, d=64):
+    x = rng.normal(size=(n, d))
+    return x / np.linalg.norm(x, axis=1)[:, None]
+
+
+def test_lists_read_grow_with_lists(spark, monkeypatch):
+    from perimeter.llm import vectors
+    monkeypatch.setattr(vectors, "PROBES", 4)
+    # A table of 219 lists, of which 28 are read (4 before: recall under 0.5).
+    assert recall(spark, unit(np.random.default_rng(1), 12_000)) >= 0.8

@@ -6,7 +6,9 @@ either side. Lists are cut into blocks of at most `BLOCK` vectors, and queries i
 hot list is many small tasks. Centroids are searched by a graph in memory: each is tied to its
 nearest centroids, and a search walks the graph by best-first steps from fixed entry points. A
 query reads one list in `READ`, nearest first and `PROBES` at least, so the share that is read does not fall as the
-table grows, and of these the lists whose centroid is within `PRUNE` of the best.
+table grows. Of these, lists further than `PRUNE` times a distance are left out: not that of the nearest centroid, which is
+near 0 in a tight cluster, but the distance up to which lists hold as many vectors as are wanted, each counted in its nearest
+list. A query that still finds fewer than wanted is compared with all rows.
 
 Bounds: the sample has `SAMPLE` vectors at most and there are `MAX_LISTS` centroids at most, so the broadcast
 index is a few MB. For inner products, vectors get one more coordinate that makes all lengths equal
@@ -104,8 +106,9 @@ def lift(x: np.ndarray, length: float) -> np.ndarray:
     return np.hstack((x, np.sqrt(np.maximum(length ** 2 - (x * x).sum(axis=1), 0))[:, None]))
 
 
-def _lists(shared, query: bool):
-    """Adds the lists of each vector: those it is posted to, or those a query reads."""
+def _lists(shared, held: np.ndarray | None = None, k: int = 0):
+    """Lists of each vector: those it is posted to or, where `held` has the vectors nearest to each list, those a query for k reads."""
+    query = held is not None
     ratio, beam = (PRUNE, BEAM) if query else (BOUNDARY, POST_BEAM)
 
     @F.pandas_udf("array<int>")
@@ -118,7 +121,9 @@ def _lists(shared, query: bool):
             out = []
             for v in x:
                 found = index.search(v, most, beam)
-                out.append([i for d, i in found if d <= ratio * found[0][0] + 1e-12])
+                # Up to here lists hold k vectors besides the query itself.
+                full = min(int(np.searchsorted(np.cumsum(held[[i for _, i in found]]), k + 1)), len(found) - 1) if query else 0
+                out.append([i for d, i in found if d <= ratio * found[full][0] + 1e-12])
             yield pd.Series(out)
     return run
 
@@ -164,10 +169,25 @@ def nearest(queries: DataFrame, rows: DataFrame, k: int = 20) -> DataFrame:
     if index is None:
         return spark.createDataFrame([], schema)
     shared = spark.sparkContext.broadcast(index)
-    posted = materialize(clean(rows).filter(keep).distinct().select("vec_id", v.alias("v"), _lists(shared, False)(v).alias("lists"))
-                         .select("vec_id", "v", F.explode("lists").alias("list")))
-    asked = materialize(clean(queries).filter(keep).distinct().select(F.col("vec_id").alias("query_id"), v.alias("v"), _lists(shared, True)(v).alias("lists"))
-                        .select("query_id", "v", F.explode("lists").alias("list")))
+    posted = materialize(clean(rows).filter(keep).distinct().select("vec_id", v.alias("v"), _lists(shared)(v).alias("lists"))
+                         .select("vec_id", "v", F.posexplode("lists").alias("nth", "list")))
+    nearest_to = posted.filter("nth = 0")
+    held = np.zeros(len(index.centroids), np.int64)
+    for r in nearest_to.groupBy("list").count().collect():
+        held[r["list"]] = r["count"]
+    asked = materialize(clean(queries).filter(keep).distinct().select(F.col("vec_id").alias("query_id"), v.alias("v"), _lists(shared, held, k)(v).alias("lists")))
+    best = materialize(_best(posted, asked.select("query_id", "v", F.explode("lists").alias("list")), k))
+    # Queries that found fewer than wanted, unless no more candidates exist, are compared with all rows.
+    enough = best.filter(F.col("rank") == k).select("query_id")
+    short = materialize(asked.join(enough, "query_id", "left_anti").select("query_id", "v", F.lit(0).alias("list")))
+    if short.isEmpty():
+        return best
+    exact = _best(nearest_to.select("vec_id", "v", F.lit(0).alias("list")), short, k)
+    return best.join(short.select("query_id").distinct(), "query_id", "left_anti").unionByName(exact)
+
+
+def _best(posted: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """The k best of the pairs of posted (vec_id, v, list) and asked (query_id, v, list) that share a list."""
     # How many blocks each list has, on both sides: at most MAX_LISTS rows.
     blocks = lambda df, name: df.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(name))
     cut = blocks(posted, "nb").join(blocks(asked, "nq"), "list")

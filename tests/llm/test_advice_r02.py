@@ -87,3 +87,10 @@ def test_lists_read_grow_with_lists(spark, monkeypatch):
     monkeypatch.setattr(vectors, "PROBES", 4)
     # A table of 219 lists, of which 28 are read (4 before: recall under 0.5).
     assert recall(spark, unit(np.random.default_rng(1), 12_000)) >= 0.8
+
+
+@pytest.mark.parametrize("groups,size,noise", [(3, 10, 1e-4), (200, 8, 0.0)])
+def test_small_tight_clusters_are_not_short(spark, groups, size, noise):
+    rng = np.random.default_rng(2)
+    x = np.repeat(unit(rng, groups), size, axis=0)
+    assert recall(spark, x + noise * rng.normal(size=x.shape)) >= 0.9

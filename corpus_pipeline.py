@@ -14,11 +14,13 @@ from pyspark.sql import functions as F
 from perimeter.llm import language, mixing, neardup, packing
 from perimeter.llm.common import remainder, word_count
 from perimeter.llm.line_dedup import line_dedup
-from perimeter.storage import checkpoint_root
+from perimeter.storage import checkpoint_root, materialize
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Words in a bin of the last stage.
 CAPACITY = 2048
+#: Bound of the language stage: so many times the median, from so many labelled documents.
+FAR, LEAST_LABELLED = 2.75, 30
 
 
 def _documents(df: DataFrame) -> DataFrame:
@@ -27,10 +29,20 @@ def _documents(df: DataFrame) -> DataFrame:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents of no language; a missing `lang` is filled with the prediction."""
+    """Writes the prediction into `lang` and drops documents of no language.
+
+    These are texts without a letter, and texts whose price per byte, less two phrases (which short texts can owe to
+    their ends), is over `FAR` times the median of the labelled documents of that language (junk among them does not move it). It is over those the
+    model has not seen; with fewer than `LEAST_LABELLED` of them a language has no bound.
+    Junk that is labelled and drawn into a language's sample teaches it and can pass."""
     model = language.fit(docs.filter(remainder("doc_id", 3) != 1).select("doc_id", "text", "lang"))
-    told = docs.withColumn("_p", language.predictor(docs, model, F.col("text")))
-    kept = told.filter("_p.lang <> 'und'").withColumn("lang", F.coalesce("lang", "_p.lang"))
+    told = materialize(docs.select(*COLUMNS, language.predictor(docs, model, F.col("text")).alias("_p")).filter("_p.lang <> 'und'"))
+    unseen = told.filter((remainder("doc_id", 3) == 1) & (F.col("lang") == F.col("_p.lang")))
+    bounds = unseen.groupBy("lang").agg(F.count("*").alias("n"), F.percentile_approx("_p.price", 0.5, 10_000).alias("q")).collect()
+    most = {r["lang"]: FAR * r["q"] for r in bounds if r["n"] >= LEAST_LABELLED}
+    kept = told.withColumn("lang", F.col("_p.lang"))
+    for lang, bound in sorted(most.items()):
+        kept = kept.filter((F.col("lang") != lang) | (F.col("_p.price") - F.col("_p.spare") <= bound))
     return kept.select(*COLUMNS)
 
 

@@ -126,10 +126,11 @@ class Model:
             out[:, k] = np.bincount(owner[order], weights=count[k], minlength=len(texts))
         return out
 
-    def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
+    def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+        """Language, score, price per byte and what two phrases cost per byte."""
         plain = [letters(t) if t else b"" for t in texts]
         known = [i for i, t in enumerate(plain) if t and any(map(str.isalpha, texts[i]))]
-        lang, score = ["und"] * len(texts), np.zeros(len(texts))
+        lang, score, price, spare = ["und"] * len(texts), *np.zeros((3, len(texts)))
         held: list[int] = []
         weight = 0
         for j, i in enumerate(known):
@@ -140,10 +141,12 @@ class Model:
                 best = np.argmin(bits, axis=1)
                 two = np.sort(bits, axis=1)[:, :2] if len(self.langs) > 1 else np.hstack((0 * bits, bits + 1))
                 score[held] = two[:, 1] / (two[:, 0] + two[:, 1])
+                size = np.array([len(plain[x]) for x in held])
+                price[held], spare[held] = two[:, 0] / size, 2 * self.price[best] / size
                 for x, b in zip(held, best):
                     lang[x] = self.langs[b]
                 held, weight = [], 0
-        return lang, score
+        return lang, score, price, spare
 
 
 def fit(labelled: DataFrame, docs_per_lang: int = SAMPLE_DOCS, bytes_per_lang: int = SAMPLE_BYTES) -> Model:
@@ -178,14 +181,13 @@ def fit(labelled: DataFrame, docs_per_lang: int = SAMPLE_DOCS, bytes_per_lang: i
 
 
 def predictor(docs: DataFrame, model: Model, text: Column) -> Column:
-    """Column (lang, score) of a text column, with the model broadcast: at most MAX_CELLS ints.
+    """Column (lang, score, price, spare) of a text column, with the model broadcast: at most MAX_CELLS ints.
 
     It is marked as not deterministic, which it is, so that a filter on it is not given a call of its own."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("lang string, score double")
+    @F.pandas_udf("lang string, score double, price double, spare double")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
-            lang, score = shared.value.predict(texts.tolist())
-            yield pd.DataFrame({"lang": lang, "score": score})
+            yield pd.DataFrame(dict(zip(("lang", "score", "price", "spare"), shared.value.predict(texts.tolist()))))
     return run.asNondeterministic()(text)

@@ -94,3 +94,17 @@ def test_small_tight_clusters_are_not_short(spark, groups, size, noise):
     rng = np.random.default_rng(2)
     x = np.repeat(unit(rng, groups), size, axis=0)
     assert recall(spark, x + noise * rng.normal(size=x.shape)) >= 0.9
+
+
+def test_language_stage_acts(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rng, most = np.random.default_rng(6), docs.agg(F.max("doc_id")).first()[0]
+    letters = list("abcdefghijklmnopqrstuvwxyz")
+    junk = [(most + 1 + i, " ".join("".join(rng.choice(letters, rng.integers(2, 9))) for _ in range(60)), None, "a", 0) for i in range(10)]
+    wrong = [(most + 100 + i, r["text"], "en", r["source"], r["n_chars"]) for i, r in enumerate(
+        docs.filter("lang = 'de' AND n_chars > 500").orderBy("doc_id").limit(10).collect())]
+    extra = spark.createDataFrame(junk + wrong, docs.schema)
+    got = {r["doc_id"]: r["lang"] for r in corpus_pipeline.language_id(spark, docs.unionByName(extra), SF).collect()}
+    assert not {r[0] for r in junk} & set(got)
+    assert all(got[r[0]] == "de" for r in wrong)
+    assert {r["doc_id"] for r in docs.select("doc_id").collect()} <= set(got)

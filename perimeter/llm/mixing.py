@@ -1,14 +1,17 @@
 """Mixing sources to target weights by a multivariate hypergeometric splitting tree.
 
 The documents of each source are hashed into blocks of about equal size. A source's target (in words) is
-met by whole permutations of its blocks and, in the last one, by as many blocks as are needed; of
-the last block only the documents that bring the source nearest to its target are drawn. These block
-quotas are exact. They are then split among output shards by a binary tree: a node holds a quota per
+met by whole permutations of its blocks and, in the last one, by as many blocks as are needed. Of
+the last block documents are drawn in hash order, and those that do not fit what is left are passed over; at the end the
+smallest that was left out is drawn if that brings the source nearer to its target. So a source ends within half of
+the smallest document left out of its last block. A document longer than a quarter of a block is a block of its own (equal rows are one
+together): if it does not fit it is passed over, and the next blocks follow. These block quotas are exact. They are then split among output shards by a binary tree: a node holds a quota per
 source and gives its left half a multivariate hypergeometric draw from it, so each shard gets a fixed
 number of blocks in random composition. A shard's blocks are the next ones of each source's permuted
 list, so shards are disjoint, and rows are shuffled inside a shard by hash.
 
-Only sums per source and per block pass through the driver: at most MAX_SOURCES and MAX_BLOCKS numbers.
+Only sums per source and per block pass through the driver: at most MAX_SOURCES and 5 * MAX_BLOCKS numbers (four long
+documents for each block at most).
 Everything random comes from hashes and seeded generators over sorted input, so reruns agree.
 
 Cases: a null text has size 0 and is drawn with its block. A null source is a source, last in order.
@@ -18,6 +21,7 @@ as they are; an empty table gives an empty mix."""
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,6 +30,8 @@ from perimeter.storage import materialize
 WEIGHTS, MOST = (5, 2, 1), 3
 #: Bounds of what the driver plans with, least words in a block, and blocks in an output shard.
 MAX_SOURCES, MAX_BLOCKS, BLOCK_WORDS, SHARD_BLOCKS = 1_000_000, 65_536, 20_000, 64
+#: A document of more than this part of a block's words is a block of its own.
+LONG = 4
 #: Most rows of a plan that are broadcast (some 10 MB); a larger one is joined by shuffle.
 MAX_BROADCAST = 150_000
 
@@ -58,7 +64,56 @@ def split(quota: np.ndarray, shards: int, rng: np.random.Generator) -> np.ndarra
 
 
 def _block(seed: int) -> Column:
-    return F.pmod(F.xxhash64(F.lit(seed), "doc_id", "size"), F.col("blocks")).cast("int")
+    h = F.xxhash64(F.lit(seed), "doc_id", "size")
+    return F.when(LONG * F.col("size") > F.col("block_words"), F.col("blocks") + F.pmod(h, F.lit(1 << 40))).otherwise(F.pmod(h, F.col("blocks"))).cast("long")
+
+
+def _choose(blocks: dict[int, tuple[int, int, int]], want: float, most: int, seed: list[int], long: int) -> list[tuple[int, int, int | None]]:
+    """(block, epoch, words to draw of it or None for all) from words, least and largest size per block; from number `long` on, blocks are long documents."""
+    mine: list[tuple[int, int, int | None]] = []
+    numbers, left, passed = np.array(sorted(blocks)), want, []
+    for epoch in range(most):
+        for b in np.random.default_rng([*seed, epoch]).permutation(numbers).tolist():
+            if left <= 0:
+                return mine
+            words, least, largest = blocks[b]
+            if words <= left:
+                mine.append((b, epoch, None))
+                left -= words
+            elif b >= long and least == largest:
+                # A long document, or equal rows of it: as many as fit.
+                if many := int(left // least):
+                    mine.append((b, epoch, many * least))
+                    left -= many * least
+                if many == 0 or words > many * least:
+                    passed.append((least, epoch, b))
+            else:
+                mine.append((b, epoch, round(left)))
+                return mine
+    # Nothing else is left to draw: one long document more, if that is nearer.
+    if passed and min(passed)[0] < 2 * left:
+        least, epoch, b = min(passed)
+        at = next((n for n, d in enumerate(mine) if d[:2] == (b, epoch)), None)
+        if at is None:
+            mine.append((b, epoch, least))
+        else:
+            mine[at] = (b, epoch, mine[at][2] + least)
+    return mine
+
+
+def _fill(table: pa.Table) -> pa.Table:
+    """How many of the n equal rows (doc_id, size) of a block are drawn of it, in the order of rank."""
+    order = np.lexsort((table["size"].to_numpy(), table["rank"].to_numpy()))
+    size, n, left = table["size"].to_numpy()[order], table["n"].to_numpy()[order], table["take"][0].as_py()
+    got = np.zeros(len(order), np.int64)
+    for i in range(len(order)):
+        got[i] = n[i] if size[i] == 0 else min(n[i], left // size[i])
+        left -= int(got[i] * size[i])
+    out = np.flatnonzero(got < n)
+    if len(out):
+        i = out[np.argmin(size[out])]
+        got[i] += size[i] < 2 * left
+    return table.take(order).select(["source", "block", "doc_id", "size", "epoch"]).append_column("many", pa.array(got))
 
 
 def plan(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST, seed: int = 0) -> tuple[DataFrame, DataFrame]:
@@ -72,26 +127,16 @@ def plan(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOS
     per_block = max(BLOCK_WORDS, -(-total // MAX_BLOCKS))
     want = targets([n for _, n in rows], [weights[i % len(weights)] for i in range(len(rows))], most)
     counts = [max(1, -(-n // per_block)) for _, n in rows]
-    sources = spark.createDataFrame([(s, n, t, b) for (s, n), t, b in zip(rows, want, counts)],
-                                    "source string, source_size long, target double, blocks int")
+    sources = spark.createDataFrame([(s, n, t, b, per_block) for (s, n), t, b in zip(rows, want, counts)],
+                                    "source string, source_size long, target double, blocks int, block_words long")
     filled = (with_source(sized, sources).withColumn("block", _block(seed)).groupBy("source", "block")
-              .agg(F.sum("size").alias("size")).collect())
-    held: dict[str | None, dict[int, int]] = {s: {} for s, _ in rows}
+              .agg(F.sum("size").alias("size"), F.min("size").alias("least"), F.max("size").alias("most")).collect())
+    held: dict[str | None, dict[int, tuple[int, int, int]]] = {s: {} for s, _ in rows}
     for r in filled:
-        held[r["source"]][r["block"]] = int(r["size"])
+        held[r["source"]][r["block"]] = int(r["size"]), int(r["least"] or 0), int(r["most"] or 0)
     drawn: list[list[tuple[int, int, int | None]]] = []
     for i, (s, n) in enumerate(rows):
-        blocks, sums = np.array(sorted(held[s])), held[s]
-        mine: list[tuple[int, int, int | None]] = []
-        left, epoch = want[i], 0
-        while n and left > 0 and epoch < most:
-            for b in np.random.default_rng([seed, i, epoch]).permutation(blocks).tolist():
-                if left <= 0:
-                    break
-                # Of a block that is larger than what is left, documents are drawn up to it.
-                mine.append((b, epoch, None if sums[b] <= left else round(left)))
-                left -= sums[b]
-            epoch += 1
+        mine = _choose(held[s], want[i], most, [seed, i], counts[i]) if n else []
         order = np.random.default_rng([seed, i, most]).permutation(len(mine)).tolist()
         drawn.append([mine[j] for j in order])
     quota = np.array([len(d) for d in drawn], np.int64)
@@ -104,7 +149,7 @@ def plan(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOS
         for (b, epoch, take), shard in zip(drawn[i], shard_of):
             draws.setdefault((s, b), []).append((epoch, shard, take))
     table = spark.createDataFrame([(s, b, sorted(d, key=lambda x: x[0])) for (s, b), d in draws.items()],
-                                  "source string, block int, draws array<struct<epoch:int,shard:int,take:long>>")
+                                  "source string, block long, draws array<struct<epoch:int,shard:int,take:long>>")
     return _small(sources, len(rows)), _small(table, len(draws))
 
 
@@ -113,7 +158,7 @@ def _small(df: DataFrame, rows: int) -> DataFrame:
 
 
 def with_source(sized: DataFrame, sources: DataFrame) -> DataFrame:
-    """`sized` with source_size, target and blocks. The plan is broadcast or, if large, shuffled; AQE splits a hot source."""
+    """`sized` with source_size, target, blocks and block_words. The plan is broadcast or, if large, shuffled; AQE splits a hot source."""
     right = sources.withColumnRenamed("source", "_source")
     return sized.join(right, sized["source"].eqNullSafe(right["_source"])).drop("_source")
 
@@ -124,14 +169,22 @@ def drawn(sized: DataFrame, sources: DataFrame, table: DataFrame, seed: int = 0)
     rows = with_source(sized, sources).withColumn("block", _block(seed))
     rows = rows.join(right, rows["source"].eqNullSafe(right["_source"]) & (rows["block"] == right["_block"]), "left").drop("_source", "_block")
     rows = rows.withColumn("_part", F.coalesce(F.exists("draws", lambda d: d["take"].isNotNull()), F.lit(False)))
-    # At most one block per source is drawn in part; only its rows are put in order.
-    upto = F.sum("size").over(Window.partitionBy("source", "block").orderBy(F.xxhash64(F.lit(seed + 1), "doc_id", "size"), "doc_id", "size")
-                              .rowsBetween(Window.unboundedPreceding, 0))
-    within = lambda d: d["take"].isNull() | (2 * F.col("_upto") - F.col("size") <= 2 * d["take"])
-    cut = rows.filter("_part").withColumn("_upto", upto).withColumn("draws", F.filter("draws", within)).drop("_upto")
+    # At most one block per source, and long documents, are drawn in part; only their sizes are put in order.
+    part = rows.filter("_part")
+    asked = (part.groupBy("source", "block", "doc_id", "size").agg(F.count("*").alias("n"), F.first("draws").alias("d"))
+             .select("source", "block", "doc_id", "size", "n", F.explode("d").alias("d")).filter("d.take IS NOT NULL")
+             .select("source", "block", "doc_id", "size", "n", "d.epoch", "d.take", F.xxhash64(F.lit(seed + 1), "doc_id", "size").alias("rank")))
+    got = asked.groupBy("source", "block", "epoch").applyInArrow(_fill, "source string, block long, doc_id long, size long, epoch int, many long")
+    got = (got.groupBy("source", "block", "doc_id", "size").agg(F.map_from_entries(F.collect_list(F.struct("epoch", "many"))).alias("_many"))
+           .select(*[F.col(c).alias(f"_{c}") for c in ("source", "block", "doc_id", "size")], "_many"))
+    nth = F.row_number().over(Window.partitionBy("source", "block", "doc_id", "size").orderBy("source"))
+    keys = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in ("source", "block", "doc_id", "size")]
+    cut = (part.withColumn("_nth", nth).join(got, keys[0] & keys[1] & keys[2] & keys[3], "left")
+           .withColumn("draws", F.filter("draws", lambda d: d["take"].isNull() | (F.col("_nth") <= F.get(F.map_values("_many"), F.array_position(F.map_keys("_many"), d["epoch"]).cast("int") - 1))))
+           .drop("_nth", "_many", "_source", "_block", "_doc_id", "_size"))
     pairs = F.transform("draws", lambda d: F.struct(d["epoch"].alias("epoch"), d["shard"].alias("shard")))
     none = F.array().cast("array<struct<epoch:int,shard:int>>")
-    return rows.filter("NOT _part").unionByName(cut).withColumn("draws", F.coalesce(pairs, none)).drop("_part", "block", "blocks")
+    return rows.filter("NOT _part").unionByName(cut).withColumn("draws", F.coalesce(pairs, none)).drop("_part", "block", "blocks", "block_words")
 
 
 def mixed(docs: DataFrame, size: Column, weights: tuple[float, ...] = WEIGHTS, most: int = MOST, seed: int = 0) -> DataFrame:

@@ -108,3 +108,29 @@ def test_language_stage_acts(spark):
     assert not {r[0] for r in junk} & set(got)
     assert all(got[r[0]] == "de" for r in wrong)
     assert {r["doc_id"] for r in docs.select("doc_id").collect()} <= set(got)
+
+
+@pytest.mark.parametrize("huge", [6_000, 300_000])
+def test_mix_passes_over_long_documents(spark, huge):
+    """A source of small documents and one of more words than its target, for many hash seeds."""
+    from perimeter.llm import mixing
+    rows = [(0, "b", huge)] + [(i, "b", 40 + i % 50) for i in range(1, 400)] + [(1000 + i, "a", 600) for i in range(1200)] + [(5000, "c", 9_000)]
+    sized = spark.createDataFrame(rows, "doc_id long, source string, size long")
+    # A weight by which b is wanted with 30,000 words, over one permutation of its small documents.
+    total = sum(r[2] for r in rows)
+    weights = (5, 30_000 * 5 / (total - 30_000), 1e-9)
+    for seed in range(4):
+        got = mixing.mixed(sized, F.col("size"), weights, 3, seed).collect()
+        assert len(got) == len(rows) and all(len({d["epoch"] for d in r["draws"]}) == len(r["draws"]) <= 3 for r in got)
+        want = next(r["target"] for r in got if r["source"] == "b")
+        taken = sum(r["size"] * len(r["draws"]) for r in got if r["source"] == "b")
+        assert abs(taken - want) <= 45, (seed, want, taken)
+
+
+def test_mix_draws_some_of_equal_long_rows(spark):
+    from perimeter.llm import mixing
+    rows = [(1, "b", 30_000)] * 50 + [(2 + i, "a", 100) for i in range(30_000)]
+    sized = spark.createDataFrame(rows, "doc_id long, source string, size long")
+    got = mixing.mixed(sized, F.col("size"), (1, 0.1)).filter("source = 'b'").collect()
+    want, taken = got[0]["target"], sum(r["size"] * len(r["draws"]) for r in got)
+    assert len(got) == 50 and abs(taken - want) <= 15_000

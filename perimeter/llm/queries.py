@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from perimeter.llm import language, lm, mixing, packing, simhash, vectors, warc
+from perimeter.llm import alignment, language, lm, mixing, packing, simhash, vectors, warc
 from perimeter.llm.common import remainder, table, word_count
 from perimeter.llm.line_dedup import line_dedup
 from perimeter.llm.quality import LEAST_DOCUMENTS, REACH, judge
@@ -177,3 +177,8 @@ def op10_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     host, _ = split_url(F.col("url"))
     blocked = pages.select(host.alias("key")).filter(F.col("key").rlike(LISTED_WORDS))
     return filter_urls(pages, RULES, blocked, keep=["page_id"])
+
+
+@query()
+def op11_tokenizer_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    return alignment.align_and_count(table(spark, folder, "documents"))

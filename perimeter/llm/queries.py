@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from perimeter.llm import alignment, language, lm, mixing, packing, simhash, vectors, warc
+from perimeter.llm import alignment, language, lm, mixing, packing, simhash, spelling, vectors, warc
 from perimeter.llm.common import remainder, table, word_count
 from perimeter.llm.line_dedup import line_dedup
 from perimeter.llm.quality import LEAST_DOCUMENTS, REACH, judge
@@ -182,3 +182,30 @@ def op10_url_filter(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def op11_tokenizer_alignment(spark: SparkSession, folder: str) -> DataFrame:
     return alignment.align_and_count(table(spark, folder, "documents"))
+
+
+_SPELLING_SQL = f"""
+WITH RECURSIVE tab AS (SELECT list(v ORDER BY i) AS t FROM (SELECT i, list_reduce([i] || range(8),
+         lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM range(256) r(i))),
+r AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z\u00C0-\u00FF]+')) AS raw FROM documents),
+c AS (SELECT doc_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS times FROM r GROUP BY ALL),
+k AS (SELECT run, times, coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run AS s, hex(encode(s)) AS x FROM c),
+h AS (SELECT run, times, xor(4294967295, list_reduce([4294967295] || list_transform(range(0, length(x) // 2),
+             lambda i: CAST('0x' || substr(x, 2 * i + 1, 2) AS BIGINT)), lambda a, b: xor(a >> 8, t[1 + (xor(a, b) & 255)]))) AS h FROM k, tab),
+w AS (SELECT CASE WHEN h % {spelling.NOISE} = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, times FROM h),
+v AS (SELECT word, CAST(sum(times) AS BIGINT) AS n FROM w WHERE length(word) >= {spelling.LEAST_LENGTH} GROUP BY word HAVING sum(times) >= {spelling.LEAST_COUNT}),
+less AS (SELECT word, n, i, substr(word, 1, i) || substr(word, i + 2) AS rest FROM (SELECT word, n, unnest(range(0, length(word))) AS i FROM v)),
+p AS (SELECT a.word, b.word AS near, b.n AS near_n FROM less a JOIN less b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+      UNION SELECT a.word, b.word, b.n FROM less a JOIN v b ON a.rest = b.word
+      UNION SELECT b.word, a.word, a.n FROM less a JOIN v b ON a.rest = b.word),
+g AS (SELECT word, CAST(count(*) AS BIGINT) AS n_near, max(near_n) AS most FROM p GROUP BY word),
+f AS (SELECT v.word, v.n, coalesce(g.n_near, 0) AS n_near, CASE WHEN most >= {spelling.LEAD} * v.n THEN
+             (SELECT min(near) FROM p WHERE p.word = v.word AND near_n = most) END AS form,
+             CASE WHEN most >= {spelling.LEAD} * v.n THEN most END AS form_n FROM v LEFT JOIN g USING (word)),
+chain AS (SELECT word, word AS at FROM f UNION ALL SELECT chain.word, f.form FROM chain JOIN f ON f.word = chain.at WHERE f.form IS NOT NULL)
+SELECT f.word, form, chain.at AS root, n, n_near, form_n FROM f JOIN chain USING (word) JOIN f AS top ON top.word = chain.at WHERE top.form IS NULL"""
+
+
+@query(_SPELLING_SQL)
+def op13_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.variants(table(spark, folder, "documents"))

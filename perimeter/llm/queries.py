@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from perimeter.llm import alignment, language, lm, mixing, packing, simhash, spelling, vectors, warc
+from perimeter.llm import alignment, fingerprints, language, lm, mixing, packing, simhash, spelling, vectors, warc
 from perimeter.llm.common import remainder, table, word_count
 from perimeter.llm.line_dedup import line_dedup
 from perimeter.llm.quality import LEAST_DOCUMENTS, REACH, judge
@@ -184,6 +184,17 @@ def op11_tokenizer_alignment(spark: SparkSession, folder: str) -> DataFrame:
     return alignment.align_and_count(table(spark, folder, "documents"))
 
 
+@query()
+def op12_document_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    docs = fingerprints.with_next(table(spark, folder, "documents"), {"print": fingerprints.fingerprint(F.col("text"))})
+    edited = docs.withColumn("edited", fingerprints.half_replaced(F.col("text"), F.col("next.text")))
+    both = edited.withColumn("edited_print", fingerprints.fingerprint(F.col("edited")))
+    return both.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
+                       fingerprints.hexed(F.col("print")).alias("fingerprint"), fingerprints.hexed(F.col("edited_print")).alias("edited_fingerprint"),
+                       fingerprints.likeness(F.col("print"), F.col("edited_print")).alias("near_edited"),
+                       fingerprints.likeness(F.col("print"), F.col("next.print")).alias("near_next"))
+
+
 _SPELLING_SQL = f"""
 WITH RECURSIVE tab AS (SELECT list(v ORDER BY i) AS t FROM (SELECT i, list_reduce([i] || range(8),
          lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM range(256) r(i))),
@@ -203,7 +214,7 @@ f AS (SELECT v.word, v.n, coalesce(g.n_near, 0) AS n_near, CASE WHEN most >= {sp
              (SELECT min(near) FROM p WHERE p.word = v.word AND near_n = most) END AS form,
              CASE WHEN most >= {spelling.LEAD} * v.n THEN most END AS form_n FROM v LEFT JOIN g USING (word)),
 chain AS (SELECT word, word AS at FROM f UNION ALL SELECT chain.word, f.form FROM chain JOIN f ON f.word = chain.at WHERE f.form IS NOT NULL)
-SELECT f.word, form, chain.at AS root, n, n_near, form_n FROM f JOIN chain USING (word) JOIN f AS top ON top.word = chain.at WHERE top.form IS NULL"""
+SELECT f.word, f.form, chain.at AS root, f.n, f.n_near, f.form_n FROM f JOIN chain USING (word) JOIN f AS top ON top.word = chain.at WHERE top.form IS NULL"""
 
 
 @query(_SPELLING_SQL)

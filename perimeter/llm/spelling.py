@@ -2,7 +2,7 @@
 
 Words of a corpus (frequent enough and long enough) are vectors of letter counts. Two words one edit apart have a
 squared distance of 1 (a letter more) or 2 (a letter replaced), and lengths that differ by one at most. So words are
-laid in blocks by length, and within a length by how many of their letters fall into each of four classes: one
+laid in blocks by length, and within a length by how many of their letters fall into each of six classes: one
 edit moves a word to the same block, to one where a letter has changed its class, or to one of the next length, so
 only these few blocks meet. A block is cut into bounded tiles; for a pair of tiles NumPy multiplies the count matrices, which gives all
 squared distances at once, and only pairs at most two apart are verified letter by letter. A task holds two tiles, never a block.
@@ -17,6 +17,7 @@ of equal count go to the first in code-point order. Other columns are not read;
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -35,23 +36,23 @@ NOISE = 199
 #: Words in a tile.
 TILE = 2048
 #: Letters of each class but the last, which holds all others. Any split is right; these are about equally frequent in prose.
-CLASSES = ("eao", "tnihr", "sdlucm")
+CLASSES = ("ea", "io", "tnr", "hsd", "lcm")
 _ALPHABET = [*LOWER, *map(chr, range(0xC0, 0x100))]
 _COLUMN = {c: n for n, c in enumerate(_ALPHABET)}
 
 
-def runs(docs: DataFrame) -> DataFrame:
-    """doc_id and every maximal run of letters of its text, A to Z in lower case."""
-    lowered = F.translate("text", UPPER, LOWER)
-    return docs.select("doc_id", F.explode(F.split(lowered, f"[^{LETTERS}]+")).alias("run")).filter("run <> ''")
+def runs(docs: DataFrame, least: int = 1) -> DataFrame:
+    """doc_id and every maximal run of letters of its text of `least` letters or more, A to Z in lower case."""
+    found = F.regexp_extract_all(F.translate("text", UPPER, LOWER), F.lit(f"[{LETTERS}]{{{least},}}"), F.lit(0))
+    return docs.select("doc_id", F.explode(found).alias("run"))
 
 
 def with_noise(found: DataFrame) -> DataFrame:
     """Runs less one letter where a hash of document and run says so."""
     h = F.crc32(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), "run").cast("binary"))
-    at = (h % F.length("run")).cast("int")
-    word = F.when(h % NOISE == 0, F.concat(F.substring("run", F.lit(1), at), F.substring("run", at + 2, F.length("run")))).otherwise(F.col("run"))
-    return found.select(word.alias("word"))
+    at = (F.col("_h") % F.length("run")).cast("int")
+    less = F.concat(F.substring("run", F.lit(1), at), F.substring("run", at + 2, F.length("run")))
+    return found.select("run", h.alias("_h")).select(F.when(F.col("_h") % NOISE == 0, less).otherwise(F.col("run")).alias("word"))
 
 
 def vocabulary(words: DataFrame) -> DataFrame:
@@ -125,15 +126,33 @@ def near_pairs(a: list[str], b: list[str] | None = None) -> list[tuple[int, int]
     return [(int(i), int(j)) for i, j in np.argwhere(close) if one_edit(a[i], b[j])]
 
 
-def _meet(frame: pd.DataFrame) -> pd.DataFrame:
-    alone = (frame["side"] == 2).any()
-    left, right = frame[frame["side"] != 1], frame[frame["side"] == 1]
-    a, n = left["word"].tolist(), left["n"].to_numpy()
-    b, m = (a, n) if alone else (right["word"].tolist(), right["n"].to_numpy())
-    pairs = near_pairs(a, None if alone else b)
-    i, j = np.array(pairs, np.int64).reshape(-1, 2).T
-    w, v = np.array(a, object), np.array(b, object)
-    return pd.DataFrame({"word": np.concatenate([w[i], v[j]]), "near": np.concatenate([v[j], w[i]]), "near_n": np.concatenate([m[j], n[i]])})
+def _meet(side: np.ndarray, word: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Near words of one pair of tiles, from both sides."""
+    alone = (side == 2).any()
+    a = np.flatnonzero(side != 1)
+    b = a if alone else np.flatnonzero(side == 1)
+    if not len(a) or not len(b):
+        return word[:0], word[:0], n[:0]
+    i, j = np.array(near_pairs(word[a].tolist(), None if alone else word[b].tolist()), np.int64).reshape(-1, 2).T
+    i, j = a[i], b[j]
+    return np.concatenate([word[i], word[j]]), np.concatenate([word[j], word[i]]), np.concatenate([n[j], n[i]])
+
+
+def _meet_in_turn(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows that lie in order of their pair; a pair may go on in the next batch."""
+    held = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, object), np.empty(0, np.int64)]
+
+    def met(edges: list[int]) -> pd.DataFrame:
+        done = [_meet(*(c[lo:hi] for c in held[1:])) for lo, hi in zip(edges, edges[1:])]
+        return pd.DataFrame({c: np.concatenate(x) for c, x in zip(("word", "near", "near_n"), zip(*done))})
+    for frame in frames:
+        held = [np.concatenate([old, frame[c].to_numpy(old.dtype)]) for old, c in zip(held, ("pair", "side", "word", "n"))]
+        edges = [0, *(np.flatnonzero(np.diff(held[0])) + 1).tolist()]
+        if len(edges) > 1:
+            yield met(edges)
+        held = [c[edges[-1]:] for c in held]
+    if len(held[0]):
+        yield met([0, len(held[0])])
 
 
 def near_words(vocab: DataFrame) -> DataFrame:
@@ -146,7 +165,9 @@ def near_words(vocab: DataFrame) -> DataFrame:
     left = both.select("pair", "block", "tile", side).join(placed, ["block", "tile"]).select("pair", "side", "word", "n")
     right = (both.filter(side == 0).select("pair", F.col("block_b").alias("block"), F.col("tile_b").alias("tile")).join(placed, ["block", "tile"])
              .select("pair", F.lit(1).alias("side"), "word", "n"))
-    return left.unionByName(right).groupBy("pair").applyInPandas(_meet, "word string, near string, near_n long")
+    # Most pairs are small, so a task takes one after the other.
+    dealt = left.unionByName(right).repartition("pair").sortWithinPartitions("pair")
+    return dealt.mapInPandas(_meet_in_turn, "word string, near string, near_n long")
 
 
 def roots(forms: DataFrame, most: int) -> DataFrame:
@@ -174,5 +195,5 @@ def group_variants(vocab: DataFrame) -> DataFrame:
 
 
 def variants(docs: DataFrame) -> DataFrame:
-    """Spelling variants among the words of whole texts, after the noise of the contract."""
-    return group_variants(vocabulary(with_noise(runs(docs))))
+    """Spelling variants among the words of whole texts, after the noise of the contract, which makes no run longer."""
+    return group_variants(vocabulary(with_noise(runs(docs, LEAST_LENGTH))))

@@ -39,8 +39,8 @@ from perimeter.storage import materialize
 TOKENIZERS = "/opt/tokenizers"
 #: Pre-tokenizer pattern of byte-level BPE (fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: A chunk ends after so many characters or documents.
-CHUNK_CHARS, CHUNK_DOCS = 8_000_000, 8_192
+#: A batch, which is aligned at once, ends after so many characters or documents; a chunk after so many of either.
+BATCH_CHARS, BATCH_DOCS, CHUNK_CHARS, CHUNK_DOCS = 1_000_000, 2_048, 16_000_000, 16_384
 
 
 def byte_table() -> dict[str, int]:
@@ -232,19 +232,22 @@ def _paths(folder: str) -> tuple[str, str]:
     return f"{folder}/byte_bpe_50k.json", f"{folder}/piece_bpe_32k.model"
 
 
-def _chunks(frames: Iterator[pd.DataFrame]) -> Iterator[tuple[list, list]]:
-    """Bounded runs of (ids, texts)."""
-    ids, texts, size = [], [], 0
+def _batches(frames: Iterator[pd.DataFrame]) -> Iterator[tuple[int, list, list]]:
+    """Bounded runs of ids and texts, with the number of the chunk they belong to."""
+    ids, texts, size, chunk, held, chars = [], [], 0, 0, 0, 0
     for frame in frames:
         for i, t in zip(frame["doc_id"], frame["text"]):
             ids.append(None if pd.isna(i) else int(i))
             texts.append(t if isinstance(t, str) else None)
             size += len(texts[-1] or "")
-            if size >= CHUNK_CHARS or len(ids) >= CHUNK_DOCS:
-                yield ids, texts
+            if size >= BATCH_CHARS or len(ids) >= BATCH_DOCS:
+                yield chunk, ids, texts
+                held, chars = held + len(ids), chars + size
+                if chars >= CHUNK_CHARS or held >= CHUNK_DOCS:
+                    chunk, held, chars = chunk + 1, 0, 0
                 ids, texts, size = [], [], 0
     if ids:
-        yield ids, texts
+        yield chunk, ids, texts
 
 
 def align(docs: DataFrame, tokenizers: str = TOKENIZERS) -> DataFrame:
@@ -253,7 +256,7 @@ def align(docs: DataFrame, tokenizers: str = TOKENIZERS) -> DataFrame:
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         pair = pair_of(*paths)
-        for ids, texts in _chunks(frames):
+        for _, ids, texts in _batches(frames):
             done = Aligned(pair, texts)
             yield pd.DataFrame({"doc_id": pd.array(ids, "Int64"), "groups": [
                 [{"a": a, "b": b} for a, b in done.groups(n)] for n in range(len(texts))]})
@@ -265,12 +268,12 @@ def _aligned_chunks(docs: DataFrame, tokenizers: str) -> DataFrame:
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         pair, part = pair_of(*paths), TaskContext.get().partitionId()
-        for n, (ids, texts) in enumerate(_chunks(frames)):
+        for chunk, ids, texts in _batches(frames):
             done = Aligned(pair, texts)
             text, pairs, times = done.links()
             first = np.searchsorted(text, np.arange(len(texts) + 1)).tolist()
             yield pd.DataFrame({
-                "chunk": part << 32 | n, "doc_id": pd.array(ids, "Int64"), "n_a": done.n_a, "n_b": done.n_b, "n_groups": done.n_groups,
+                "chunk": part << 32 | chunk, "doc_id": pd.array(ids, "Int64"), "n_a": done.n_a, "n_b": done.n_b, "n_groups": done.n_groups,
                 "groups_sha256": done.digests(),
                 "pairs": [pairs[lo:hi].astype("<u8").tobytes() for lo, hi in zip(first, first[1:])],
                 "times": [times[lo:hi].astype("<u4").tobytes() for lo, hi in zip(first, first[1:])]})

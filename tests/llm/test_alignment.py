@@ -71,7 +71,8 @@ def test_whole_table(spark):
 
 
 def test_odd_texts_chunks_and_columns(spark, monkeypatch):
-    monkeypatch.setattr(alignment, "CHUNK_DOCS", 3)
+    monkeypatch.setattr(alignment, "BATCH_DOCS", 2)
+    monkeypatch.setattr(alignment, "CHUNK_DOCS", 4)
     rows = [(None if i % 7 == 3 else i % 11, t, 1, 2, "x") for i, t in enumerate(ODD)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, n_a int, pair int, chunk string").repartition(3)
     want = Counter((r[0], *w) for r, w in zip(rows, expected(ODD)))

@@ -8,6 +8,7 @@ import duckdb
 import numpy as np
 import pytest
 import xxhash
+from test_advice_r02 import jaccard_heads
 
 from perimeter.llm import queries
 from perimeter.storage import materialize
@@ -169,18 +170,8 @@ def test_pipeline_stages(spark, piped):
         want[r["doc_id"]] = "\n".join(x for i, x in enumerate(lines) if i not in gone)
     assert {r["doc_id"]: r["text"] for r in after.collect()} == want
     before, after = piped["simhash_near_dedup"]
-    f = {r["doc_id"]: brute_fingerprint(r["text"]) for r in before.collect()}
-    ids = sorted(f)
-    v = np.array([f[i] for i in ids], np.uint64)
-    low = np.arange(len(ids))
-    for _ in range(len(ids)):
-        new = low.copy()
-        for n in range(len(ids)):
-            new[n] = low[np.bitwise_count(v ^ v[n]) <= 2].min()
-        if np.array_equal(new, low):
-            break
-        low = new
-    assert {r["doc_id"] for r in after.collect()} == {ids[n] for n in set(low.tolist())}
+    heads = jaccard_heads({r["doc_id"]: r["text"] for r in before.collect()})
+    assert {r["doc_id"] for r in after.collect()} == set(heads.values())
     before, after = piped["mixing"]
     assert after.columns == before.columns
     texts = {r["doc_id"]: r["text"] for r in before.collect()}

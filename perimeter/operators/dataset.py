@@ -5,14 +5,15 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from perimeter.config import DIRECTION_GROUPS, EAST_CHANNELS, NORTH_CHANNELS, Settings
+from perimeter.config import BAND_EDGES, DIRECTION_GROUPS, EAST_CHANNELS, NORTH_CHANNELS, Settings
+from perimeter.operators import distance as near
 from perimeter.operators.labels import cells_in_tiles
+from perimeter.operators.metrics import distance_band
 from perimeter.operators.terrain import apply_elevation_mode
+from perimeter.storage import materialize
 
 UNSCALED = ("burn_mask",)
 
@@ -121,92 +122,65 @@ def jitter(cells: DataFrame, channels: Sequence[str], sigma: float, drop: float,
 
 # --- distance to the burned area -------------------------------------------------------------
 
-def nearest_burned(rows: np.ndarray, cols: np.ndarray, patch: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Exact squared distance and position of the nearest burned cell for every cell of one tile;
-    of equally near cells the one with the smallest row, then column."""
-    far = 4 * patch
-    burned = np.zeros((patch, patch), bool)
-    burned[rows, cols] = True
-    line = np.arange(patch)[:, None]
-    above = np.maximum.accumulate(np.where(burned, line, -far), axis=0)
-    below = np.minimum.accumulate(np.where(burned, line, far)[::-1], axis=0)[::-1]
-    near = np.where(line - above <= below - line, above, below).astype(np.int64)
-    vertical = (near - line) ** 2
-    area = patch * patch
-    shift = ((np.arange(patch)[:, None] - np.arange(patch)[None, :]) ** 2) * area
-    key = vertical * area + np.clip(near, 0, patch - 1) * patch + np.arange(patch)
-    best = np.stack([(shift + key[r]).min(axis=1) for r in range(patch)])
-    return best // area, best % area // patch, best % patch
-
-
-def distance_to_burn(burned: DataFrame, keys: list[str], patch: int, tiles: DataFrame | None = None) -> DataFrame:
-    """(keys, r, c, d2, nr, nc) for every cell of each tile that has burned cells and, where `tiles` lists
-    all tiles, of the others with null (infinite) distance.
-
-    Input: burned cells (keys, r, c), at most patch x patch of them per group."""
-    schema = ", ".join([f"{k} {burned.schema[k].dataType.simpleString()}" for k in keys]
-                       + ["r int", "c int", "d2 long", "nr int", "nc int"])
-    grid_r, grid_c = (a.ravel().astype("int32") for a in np.indices((patch, patch)))
-
-    def tile(pdf: pd.DataFrame) -> pd.DataFrame:
-        d2, nr, nc = nearest_burned(pdf["r"].to_numpy(), pdf["c"].to_numpy(), patch)
-        out = {k: pdf[k].iloc[0] for k in keys}
-        out |= {"r": grid_r, "c": grid_c, "d2": d2.ravel(), "nr": nr.ravel().astype("int32"), "nc": nc.ravel().astype("int32")}
-        return pd.DataFrame(out)
-    near = burned.select(*keys, "r", "c").groupBy(*keys).applyInPandas(tile, schema)
-    if tiles is None:
-        return near
-    line = F.sequence(F.lit(0), F.lit(patch - 1))
-    empty = tiles.select(*keys).join(burned.select(*keys).distinct(), keys, "left_anti")
-    return near.unionByName(empty.withColumn("r", F.explode(line)).withColumn("c", F.explode(line)), allowMissingColumns=True)
+def distance_to_burn(burned: DataFrame, keys: list[str], patch: int, tiles: DataFrame) -> DataFrame:
+    """(keys, r, near) per line of every tile of `tiles`: packed nearest burned cells as `distance` describes them, null
+    in tiles without burned cells (infinite distance), which are one row of null line."""
+    lines = near.nearest_lines(burned, keys, patch)
+    return tiles.select(*keys).join(lines, keys, "left")
 
 
 def with_distance(cells: DataFrame, patch: int) -> DataFrame:
     """Adds `dist`, in cells, to the nearest `burned` cell of the tile: 0 on burned cells, infinite in a tile
-    without any. A group is one tile with all columns it has, so nothing is joined back."""
-    def tile(pdf: pd.DataFrame) -> pd.DataFrame:
-        r, c, burned = pdf["r"].to_numpy(), pdf["c"].to_numpy(), pdf["burned"].to_numpy(bool)
-        if not burned.any():
-            return pdf.assign(dist=np.inf)
-        d2, _, _ = nearest_burned(r[burned], c[burned], patch)
-        return pdf.assign(dist=np.sqrt(d2[r, c].astype(float)))
-    schema = T.StructType([*cells.schema.fields, T.StructField("dist", T.DoubleType())])
-    return cells.groupBy("sample_id").applyInPandas(tile, schema)
+    without any."""
+    lines = near.nearest_lines(cells.filter("burned").select("sample_id", "r", "c"), ["sample_id"], patch)
+    placed = near.with_nearest(cells, lines, ["sample_id"], "_near")
+    dist = F.sqrt(near.squared(F.col("_near"), patch).cast("double"))
+    return placed.withColumn("dist", F.coalesce(dist, F.lit(float("inf")))).drop("_near")
 
 
 def downwind(assembled: DataFrame, patch: int) -> DataFrame:
     """Adds `downwind`: wind along the outward direction from the nearest burning cell of the same
     step; 0 on burning cells and in tiles without any."""
-    near = distance_to_burn(assembled.filter("burn_mask > 0.5").select("sample_id", "step", "r", "c"), ["sample_id", "step"], patch)
-    east, north = F.col("c") - F.col("nc"), F.col("nr") - F.col("r")
-    field = (east * F.col("u10_lag0") + north * F.col("v10_lag0")) / F.sqrt(F.col("d2").cast("double"))
-    return (assembled.join(near, ["sample_id", "step", "r", "c"], "left")
-            .withColumn("downwind", F.when(F.col("d2") > 0, field).otherwise(0.0)).drop("d2", "nr", "nc"))
-
-
-def pack_tiles(assembled: DataFrame, channels: Sequence[str]) -> DataFrame:
-    """Dense float arrays per (sample, step, channel), row-major; a group is one tile."""
-    place = F.struct("r", "c", *channels)
-    tiles = assembled.groupBy("sample_id", "step").agg(F.array_sort(F.collect_list(place)).alias("_t"))
-
-    def values(c: str) -> Column:
-        return F.transform("_t", lambda cell: cell.getField(c).cast("float")).alias("values")
-    packed = F.inline(F.array(*[F.struct(F.lit(c).alias("channel"), values(c)) for c in channels]))
+    keys = ["sample_id", "step"]
+    lines = near.nearest_lines(assembled.filter("burn_mask > 0.5").select(*keys, "r", "c"), keys, patch)
+    at = F.col("_near")
+    d2, nr, nc = near.squared(at, patch), near.row_of(at, patch), near.col_of(at, patch)
+    field = ((F.col("c") - nc) * F.col("u10_lag0") + (nr - F.col("r")) * F.col("v10_lag0")) / F.sqrt(d2.cast("double"))
+    placed = near.with_nearest(assembled, lines, keys, "_near")
+    return placed.withColumn("downwind", F.when(d2 > 0, field).otherwise(0.0)).drop("_near")
+
+
+def pack_tiles(assembled: DataFrame, columns: Sequence[str], patch: int) -> DataFrame:
+    """(sample_id, step, channel, values): dense float arrays of patch x patch places, row-major, for channels and whatever else is
+    wanted per cell (fuel, target, band). Every cell has its place, and a place without a cell holds zero.
+
+    A group is one tile. A blank for each place is sorted in behind the cell of that place, and the first of each place stays."""
+    place = (F.col("r") * patch + F.col("c")).cast("int").alias("place")
+    cell = F.struct(place, F.lit(False).alias("blank"), *[F.col(c).cast("float").alias(c) for c in columns])
+    blanks = F.transform(F.sequence(F.lit(0), F.lit(patch * patch - 1)), lambda i: F.struct(
+        i.alias("place"), F.lit(True).alias("blank"), *[F.lit(0.0).cast("float").alias(c) for c in columns]))
+    tiles = assembled.groupBy("sample_id", "step").agg(F.collect_list(cell).alias("_c"))
+    tiles = tiles.select("sample_id", "step", F.array_sort(F.concat("_c", blanks)).alias("_t"))
+    first = F.filter("_t", lambda x, i: (i == 0) | (x["place"] != F.get("_t", i - 1)["place"]))
+    tiles = tiles.select("sample_id", "step", first.alias("_t"))
+    packed = F.inline(F.array(*[F.struct(F.lit(c).alias("channel"), F.col(f"_t.{c}").alias("values")) for c in columns]))
     return tiles.select("sample_id", "step", packed)
 
 
-def base_rates(samples: DataFrame, tile_cells: DataFrame, patch: int, band: Column) -> DataFrame:
-    """(band, n_pixels, n_positive, base_rate) over unburned cells of tiles holding burned cells.
+def base_rates(samples: DataFrame, tile_cells: DataFrame, patch: int) -> DataFrame:
+    """(band, n_pixels, n_positive, base_rate) over unburned cells of tiles holding burned cells; an empty band has no rate.
 
-    `tile_cells` has burned (`y` false) and target (`y` true) cells per sample; `band` is an
-    expression over `dist`."""
+    `tile_cells` has burned (`y` false) and target (`y` true) cells per sample. Pixels are counted on tile lines;
+    only target cells, which are few, are looked up one by one."""
     keyed = tile_cells.join(samples.select("sample_id"), "sample_id", "left_semi")
-    near = distance_to_burn(keyed.filter(~F.col("y")).select("sample_id", "r", "c"), ["sample_id"], patch)
-    hit = keyed.filter("y").select("sample_id", "r", "c", "y")
-    rows = (near.filter("d2 > 0").join(hit, ["sample_id", "r", "c"], "left")
-            .withColumn("dist", F.sqrt(F.col("d2").cast("double"))))
-    return rows.groupBy(band.alias("band")).agg(
-        F.count("*").alias("n_pixels"), F.count("y").alias("n_positive"), (F.count("y") / F.count("*")).alias("base_rate"))
+    lines = materialize(near.nearest_lines(keyed.filter(~F.col("y")).select("sample_id", "r", "c"), ["sample_id"], patch))
+    pixels = near.band_counts(lines, BAND_EDGES, patch)
+    grown = near.with_nearest(keyed.filter("y").select("sample_id", "r", "c"), lines, ["sample_id"]).filter(F.col("near") >= patch * patch)
+    band = distance_band(F.sqrt(near.squared(F.col("near"), patch).cast("double")))
+    positive = grown.groupBy(band.alias("band")).agg(F.count("*").alias("n_positive"))
+    counted = pixels.join(positive, "band", "left").withColumn("n_positive", F.coalesce("n_positive", F.lit(0).cast("long")))
+    return counted.select("band", "n_pixels", "n_positive",
+                          (F.col("n_positive") / F.nullif("n_pixels", F.lit(0))).alias("base_rate"))
 
 
 def wind_growth(samples_cells: DataFrame, wind: DataFrame, least: int = 20) -> DataFrame:

@@ -514,3 +514,9 @@ view("v_found", """
 SELECT m.* FROM v_msg m JOIN (SELECT file, bool_or(var = 'RH') AS rh FROM v_msg GROUP BY file) n USING (file)
 WHERE var IN ('UGRD', 'VGRD', 'TMP') OR (var = 'RH' AND rh) OR (var = 'DPT' AND NOT rh)""")
 view("v_selected", "SELECT * FROM v_found WHERE file IN (SELECT file FROM v_found GROUP BY file HAVING count(*) = 4)")
+
+#: Unburned cells and targets of the training tiles per distance band, empty bands included.
+BAND_RATES = """(SELECT CAST(x.band AS INTEGER) AS band, count(q) AS n_pixels, count(y) AS n_positive, count(y) / nullif(count(q), 0) AS base_rate FROM range(9) x(band)
+  LEFT JOIN (SELECT (q >= 1)::INT + (q >= 2)::INT + (q >= 3)::INT + (q >= 5)::INT + (q >= 8)::INT + (q >= 12)::INT + (q >= 20)::INT + (q >= 32)::INT AS band, q, y
+    FROM (SELECT sqrt(d.d2) AS q, t.r AS y FROM v_dist d JOIN v_events e ON e.fire_id = d.fire_id AND e.year BETWEEN 2015 AND 2020
+          LEFT JOIN v_ty t ON (t.sample_id, t.r, t.c) = (d.sample_id, d.r, d.c) WHERE d.d2 > 0)) z ON z.band = x.band GROUP BY x.band)"""

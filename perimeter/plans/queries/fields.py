@@ -333,7 +333,7 @@ def w12c(s: Study) -> DataFrame:
 
 @query("w12_guarded_prune", "SELECT sample_id FROM v_sample")
 def w12b(s: Study) -> DataFrame:
-    return W.guarded_prune(s.index, s.samples, s.weather_plan.select("fire_id").distinct()).select("sample_id")
+    return W.guarded_prune(s.index, s.samples, checked_weather(s).select("fire_id")).select("sample_id")
 
 
 @query("w13_verify_store", """

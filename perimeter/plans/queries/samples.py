@@ -11,12 +11,14 @@ from pyspark.sql import functions as F
 from perimeter.config import EAST_CHANNELS, NORTH_CHANNELS
 from perimeter.operators import cells as C
 from perimeter.operators import dataset as D
+from perimeter.operators import distance as ND
 from perimeter.operators import export as X
+from perimeter.operators import labels as L
 from perimeter.operators import metrics as V
 from perimeter.operators import scoring as M
 from perimeter.operators import splits as SP
 from perimeter.operators import tiling as T
-from perimeter.plans.checks import CH, P
+from perimeter.plans.checks import BAND_RATES, CH, P
 from perimeter.plans.queries.fields import line_sql, line_sums
 from perimeter.plans.queries.scores import rounded
 from perimeter.plans.queries.segments import r
@@ -25,6 +27,7 @@ from perimeter.plans.study import Study
 from perimeter.sources import catalog as CA
 from perimeter.sources import detections as S
 from perimeter.sources import messages as MS
+from perimeter.sources import tables as TB
 from perimeter.storage import checkpoint_root
 
 STEP = ("sample_id", "step")
@@ -93,20 +96,42 @@ def s18(s: Study) -> DataFrame:
     return CA.fuel_versions(s.events.filter("keep"), version_table(s))
 
 
-@query("s19_sinks", "SELECT fire_id, count(*) AS n, round(sum(frp), 4) AS frp FROM v_lab GROUP BY fire_id")
+@query("s19_sinks", """
+SELECT 'events' AS sink, count(*) AS n, CAST(sum(n_detections) AS BIGINT) AS total FROM v_events WHERE keep
+UNION ALL SELECT 'labelled', count(*), CAST(sum(det_id) AS BIGINT) FROM v_lab
+UNION ALL SELECT 'index', count(*), CAST(sum(n_target_px * (t_index + 1)) AS BIGINT) FROM v_index
+UNION ALL SELECT 'manifest', (SELECT count(DISTINCT fire_id) FROM v_win), (SELECT count(*) FROM v_burn)
+UNION ALL SELECT 'splits', count(*), CAST(sum(year) AS BIGINT) FROM v_events WHERE keep AND year BETWEEN 2015 AND 2023
+UNION ALL SELECT 'stats', count(*), CAST(sum(round(std * 1000)) AS BIGINT) FROM v_stats""")
 def s19(s: Study) -> DataFrame:
-    path = f"{checkpoint_root(s.spark)}/out/{uuid.uuid4().hex}"
-    CA.write_table(s.labelled, path, partition="fire_id", overwrite=True)
-    back = s.spark.read.parquet(path).withColumn("fire_id", F.col("fire_id").cast("string"))
-    return back.groupBy("fire_id").agg(F.count("*").alias("n"), F.round(F.sum("frp"), 4).alias("frp"))
-
-
-@query("s20_incremental_build", "SELECT fire_id, count(*) AS n FROM v_first GROUP BY fire_id")
+    """Every sink, written and read back."""
+    root, read = f"{checkpoint_root(s.spark)}/out/{uuid.uuid4().hex}", s.spark.read
+    kept = s.events.filter("keep").drop(*[f.name for f in s.events.schema if f.dataType.typeName() in ("array", "struct", "map")])
+    CA.write_sinks(root, kept, s.labelled, s.index, L.label_manifest(s.windows, s.burn, s.grid), s.splits, s.stats)
+    told = {"events": (read.option("header", True).csv(f"{root}/events"), "cast(n_detections as bigint)"),
+            "labelled": (TB.read_table(s.spark, f"{root}/labelled", "fire_id"), "det_id"),
+            "index": (TB.read_table(s.spark, f"{root}/index", "fire_id"), "n_target_px * (t_index + 1)"),
+            "manifest": (read.option("header", True).csv(f"{root}/manifest"), "cast(burned_px as bigint)"),
+            "splits": (CA.read_splits(s.spark, f"{root}/splits"), "cast(substring(fire_id, 1, 4) as bigint)"),
+            "stats": (read.json(f"{root}/stats"), "round(std * 1000)")}
+    rows = [df.agg(F.lit(sink).alias("sink"), F.count("*").alias("n"), F.expr(f"cast(sum({total}) as bigint)").alias("total")) for sink, (df, total) in told.items()]
+    return reduce(DataFrame.unionByName, rows)
+
+
+@query("s20_incremental_build", """
+SELECT fire_id, count(*) AS n, CAST(sum(first_t) + CASE WHEN e.year = 2016 THEN count(*) ELSE 0 END AS BIGINT) AS total
+FROM v_first JOIN v_events e USING (fire_id) GROUP BY fire_id, e.year""")
 def s20(s: Study) -> DataFrame:
-    path = f"{checkpoint_root(s.spark)}/out/{uuid.uuid4().hex}"
-    early = s.events.filter("keep and year <= 2018").select("fire_id")
-    CA.write_table(s.first.join(early, "fire_id", "left_semi"), path)
-    return CA.append_missing(s.spark, s.first, path).groupBy("fire_id").agg(F.count("*").alias("n"))
+    """Three builds of one table and one that was lost before its manifest row: early fires, a lost build of all, the missing fires, and one
+    year again with other values, which replace the earlier ones."""
+    root = f"{checkpoint_root(s.spark)}/out/{uuid.uuid4().hex}"
+    of = lambda rule: s.first.join(s.events.filter(f"keep and {rule}").select("fire_id"), "fire_id", "left_semi")
+    TB.build_missing(of("year <= 2018"), root, "fire_id", ["row"])
+    TB.write_build(s.first.withColumn("first_t", F.lit(-1)), root, "fire_id", ["row"])
+    TB.build_missing(s.first, root, "fire_id", ["row"])
+    again = of("year = 2016").withColumn("first_t", F.col("first_t") + 1)
+    whole = TB.build_missing(again, root, "fire_id", ["row"], overwrite=True)
+    return whole.groupBy("fire_id").agg(F.count("*").alias("n"), F.sum(F.col("first_t").cast("long")).alias("total"))
 
 
 @query("t09_attrition", """
@@ -186,9 +211,13 @@ SELECT sample_id, coalesce(n, (SELECT max(r) + 1 FROM v_dist) * (SELECT max(c) +
   SELECT sample_id, count(*) AS n, CAST(sum(d2) AS BIGINT) AS d2_sum, CAST(sum(d2 * (c % 7 + 1)) AS BIGINT) AS d2_place, max(d2) AS d2_max
   FROM v_dist GROUP BY sample_id) USING (sample_id)""")
 def n11(s: Study) -> DataFrame:
-    near = D.distance_to_burn(s.tile_marks.filter("not y").select("sample_id", "r", "c"), ["sample_id"], P, s.samples.select("sample_id"))
-    return near.groupBy("sample_id").agg(F.count("*").alias("n"), F.sum("d2").alias("d2_sum"),
-                                         F.sum(F.col("d2") * (F.col("c") % 7 + 1)).alias("d2_place"), F.max("d2").alias("d2_max"))
+    lines = D.distance_to_burn(s.tile_marks.filter("not y").select("sample_id", "r", "c"), ["sample_id"], P, s.samples)
+    d2 = F.transform("near", lambda x: ND.squared(x, P))
+    line = lines.select("sample_id", d2.alias("d2"))
+    add = lambda f: F.sum(F.aggregate(F.transform("d2", f), F.lit(0).cast("long"), lambda a, v: a + v))
+    return line.groupBy("sample_id").agg(
+        F.sum(F.when(F.col("d2").isNull(), P * P).otherwise(F.size("d2")).cast("long")).alias("n"),
+        add(lambda v, c: v).alias("d2_sum"), add(lambda v, c: v * (c % 7 + 1)).alias("d2_place"), F.max(F.array_max("d2")).alias("d2_max"))
 
 
 # Squared distance, row and column of the nearest burning cell in one number, taken column by column.
@@ -219,23 +248,20 @@ def n13(s: Study) -> DataFrame:
                                           F.sum(moved.cast("long")).alias("flip_moved"))
 
 
+# Each value is weighed by its place, so a value that slips to another place changes the sum. Places under no cell hold zero.
 @query("n15_pack_tiles", " UNION ALL ".join(f"""
-SELECT sample_id, step, '{c}' AS channel, count(*) AS n, round(sum(CAST({c} AS FLOAT)::DOUBLE * ((r * 32 + c) % 13) * 0.7310585::DOUBLE), 0) + 0.0 AS place_sum
-FROM v_asm GROUP BY ALL""" for c in CH))
+SELECT sample_id, step, '{c}' AS channel, {P * P}::BIGINT AS n, round(sum(CAST({c} AS FLOAT)::DOUBLE * ((r * {P} + c) % 13) * 0.7310585::DOUBLE), 0) + 0.0 AS place_sum
+FROM v_asm GROUP BY ALL""" for c in (*CH, "fuel_idx", "target")))
 def n15(s: Study) -> DataFrame:
-    packed = D.pack_tiles(s.assembled(), CH)
+    packed = D.pack_tiles(s.assembled().withColumn("target", F.col("target").cast("int")), (*CH, "fuel_idx", "target"), P)
     total = F.aggregate(F.transform("values", lambda v, i: v.cast("double") * (i % 13) * 0.7310585), F.lit(0.0), lambda a, v: a + v)
     return packed.select("sample_id", "step", "channel", F.size("values").cast("long").alias("n"), (F.round(total, 0) + 0.0).alias("place_sum"))
 
 
-@query("b03_band_base_rates", """
-SELECT band, count(*) AS n_pixels, count(y) AS n_positive, round(count(y) / count(*), 6) AS base_rate FROM (
-  SELECT CAST((q >= 1)::INT + (q >= 2)::INT + (q >= 3)::INT + (q >= 5)::INT + (q >= 8)::INT + (q >= 12)::INT + (q >= 20)::INT + (q >= 32)::INT AS INTEGER) AS band, y
-  FROM (SELECT sqrt(d.d2) AS q, t.r AS y FROM v_dist d JOIN v_events e ON e.fire_id = d.fire_id AND e.year BETWEEN 2015 AND 2020
-        LEFT JOIN v_ty t ON (t.sample_id, t.r, t.c) = (d.sample_id, d.r, d.c) WHERE d.d2 > 0)) GROUP BY band""")
+@query("b03_band_base_rates", f"SELECT band, n_pixels, n_positive, round(base_rate, 6) AS base_rate FROM {BAND_RATES} WHERE n_pixels > 0")
 def b03(s: Study) -> DataFrame:
     train = SP.samples_of(s.samples, s.splits, "train")
-    return rounded(D.base_rates(train, s.tile_marks, P, V.distance_band(F.col("dist"))), "base_rate")
+    return rounded(D.base_rates(train, s.tile_marks, P).filter("n_pixels > 0"), "base_rate")
 
 
 def growth(s: Study) -> DataFrame:

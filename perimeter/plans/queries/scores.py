@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from perimeter.operators import dataset as D
 from perimeter.operators import losses as LO
 from perimeter.operators import metrics as V
 from perimeter.operators import splits as N
-from perimeter.plans.checks import counts_sql, csi_sql, edges_sql, right_closed_sql
+from perimeter.plans.checks import BAND_RATES, P, counts_sql, csi_sql, edges_sql, right_closed_sql
 from perimeter.plans.queries.segments import r
 from perimeter.plans.queries.tiles import SKILL, rounded_skill
 from perimeter.plans.registry import query
@@ -282,9 +283,14 @@ def b04(s: Study) -> DataFrame:
     return LO.band_weights(band_stats(s), 300).select("band", r("weight", 6).alias("weight"))
 
 
-@query("b05_band_guards", f"SELECT band, n_pixels, n_positive FROM {_BANDS}")
+# Counts of the training tiles; tiles and targets are those of the sample index.
+@query("b05_band_guards", f"SELECT band, n_pixels, n_positive, round({_W}, 6) AS weight FROM {BAND_RATES}")
 def b05(s: Study) -> DataFrame:
-    return LO.band_weights(band_stats(s), 300).select("band", "n_pixels", "n_positive")
+    """Weights from the base rates of the samples the index gives to the training split, which the guards check."""
+    train = N.samples_of(s.samples, s.splits, "train")
+    named = train.join(s.splits, "fire_id").agg(F.array_join(F.array_sort(F.collect_set("split")), "+")).scalar()
+    stats = D.base_rates(train, s.tile_marks, P).withColumn("split", named)
+    return LO.band_weights(stats, 300).select("band", "n_pixels", "n_positive", r("weight", 6).alias("weight"))
 
 
 @query("b06_positive_weight", """

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +16,10 @@ from perimeter.plans.checks import P, albers_inverse_sql, lambert_sql, offsets_s
 from perimeter.plans.registry import query
 from perimeter.plans.study import Study
 from perimeter.sources import detections as S
+from perimeter.sources import ledger as LG
+from perimeter.storage import checkpoint_root
+
+FILE_COLUMNS = ["latitude", "longitude", "acq_date", "acq_time", "confidence", "frp", "type", "satellite"]
 
 
 def r(col, digits: int = 4):
@@ -67,9 +73,16 @@ def s05(s: Study) -> DataFrame:
 SELECT year, chunk_start FROM {_CHUNKS} c WHERE NOT EXISTS (
   SELECT 1 FROM v_landed k WHERE CAST(k.acq_date AS DATE) BETWEEN c.chunk_start AND c.chunk_start + 4)""")
 def s06(s: Study) -> DataFrame:
+    """What is left to do after an interrupted run, told from the names of the files it has written."""
     planned = S.plan_chunks(year_spans(s), 5, "2015-01-03")
-    landed = landed_days(s).select(F.expr("explode(sequence(date_sub(day, 4), day, interval 1 day))").alias("chunk_start"))
-    return S.pending_chunks(planned, landed).select("year", "chunk_start")
+    day = F.expr("explode(sequence(chunk_start, date_add(chunk_start, n_days - 1), interval 1 day))")
+    days = planned.select(F.concat_ws("_", F.col("year").cast("string"), F.col("chunk_start").cast("string")).alias("chunk"), day.alias("day"))
+    rows = S.clean_detections(s.landed).withColumn("day", F.col("acq_date").cast("date")).join(days, "day")
+    path = f"{checkpoint_root(s.spark)}/landed/{uuid.uuid4().hex}"
+    LG.land_chunks(rows.select("chunk").distinct(), rows, path, FILE_COLUMNS)
+    landed = LG.file_ledger(s.spark, path)
+    planned = planned.withColumn("chunk", F.concat_ws("_", F.col("year").cast("string"), F.col("chunk_start").cast("string")))
+    return S.pending_chunks(planned, landed, "chunk").select("year", "chunk_start")
 
 
 _DAYS = "(SELECT DISTINCT CAST(acq_date AS DATE) AS day FROM v_landed)"
@@ -99,9 +112,11 @@ def s07b(s: Study) -> DataFrame:
 SELECT f.file, 1 + coalesce(n, 0) AS n_lines FROM (SELECT DISTINCT file FROM v_raw) f
 LEFT JOIN (SELECT file, count(*) AS n FROM v_landed GROUP BY file) USING (file) WHERE coalesce(n, 0) = 0""")
 def s07c(s: Study) -> DataFrame:
-    rows = S.clean_detections(s.landed).groupBy("file").count()
-    files = s.raw.select("file").distinct().join(rows, "file", "left")
-    return S.empty_files(files.select("file", (1 + F.coalesce("count", F.lit(0))).alias("n_lines")))
+    """Files of the archive that hold a header at most, by counting the lines of all files."""
+    path = f"{checkpoint_root(s.spark)}/landed/{uuid.uuid4().hex}"
+    rows = S.clean_detections(s.landed).withColumn("chunk", F.col("file"))
+    LG.land_chunks(s.raw.select(F.col("file").alias("chunk")).distinct(), rows, path, FILE_COLUMNS)
+    return S.empty_files(LG.file_ledger(s.spark, path).select(F.col("chunk").alias("file"), "n_lines"))
 
 
 # --- projections ------------------------------------------------------------------------------

@@ -36,6 +36,7 @@ CHANNEL_GROUPS = {
     "terrain": ("elevation_centred", "slope", "aspect_sin", "aspect_cos", "tpi"),
     "canopy": ("cc", "ch"),
     "burn mask": ("burn_mask",),
+    "downwind": ("downwind",),
 }
 WANTED_MESSAGES = (("UGRD", "10 m above ground"), ("VGRD", "10 m above ground"),
                    ("TMP", "2 m above ground"), ("RH", "2 m above ground"), ("DPT", "2 m above ground"))
@@ -68,6 +69,8 @@ class Settings:
     min_coverage: float = 0.98
     tpi_radius_m: float = 300.0
     elevation_mode: str = "fire_centred"
+    burn_mode: str = "cumulative"
+    downwind: bool = False
     split_years: dict = field(default_factory=lambda: dict(SPLIT_YEARS))
 
     def __post_init__(self) -> None:
@@ -75,6 +78,8 @@ class Settings:
             raise ValueError("the prediction horizon must equal the label window")
         if self.elevation_mode not in ("fire_centred", "raw", "none"):
             raise ValueError(f"unknown elevation_mode {self.elevation_mode!r}")
+        if self.burn_mode not in ("cumulative", "incremental"):
+            raise ValueError(f"unknown burn_mode {self.burn_mode!r}")
         if self.grid_margin_m <= self.resolution_m * (self.dilate_radius + 2 * self.close_radius):
             raise ValueError("the grid margin is too small for border-free morphology")
 
@@ -86,6 +91,9 @@ class Settings:
     @property
     def channels(self) -> tuple[str, ...]:
         names = CHANNELS
+        if self.downwind:
+            after = 1 + len(WEATHER)
+            names = names[:after] + ("downwind",) + names[after:]
         if self.elevation_mode == "none":
             names = tuple(c for c in names if c != "elevation_centred")
         return names

@@ -18,15 +18,23 @@ from perimeter.storage import materialize
 UNSCALED = ("burn_mask",)
 
 
-def cell_windows(weather: DataFrame, static: DataFrame, first: DataFrame, cfg: Settings) -> DataFrame:
-    """Every channel per (fire, window k, cell). Values depend on fire, window and cell only, so
-    they are joined once here and shared by all overlapping tiles and steps."""
+def cell_windows(weather: DataFrame, static: DataFrame, first: DataFrame, cfg: Settings, burn: DataFrame | None = None) -> DataFrame:
+    """Every channel per (fire, window k, cell) but those of a tile. Values depend on fire, window and cell only, so
+    they are joined once here and shared by all overlapping tiles and steps. The mask shows all burned cells so far or, in
+    incremental mode, those that burned in the window (`burn`: fire_id, t_index, row, col)."""
     ground = apply_elevation_mode(static, cfg.elevation_mode).drop("height", "width")
     cell = ["fire_id", "row", "col"]
     fixed = ground.join(first, cell, "left")
-    mask = F.coalesce(F.col("first_t") <= F.col("k"), F.lit(False)).cast("double")
-    return (weather.join(fixed, cell).withColumn("burn_mask", mask)
-            .select("fire_id", "k", "row", "col", "first_t", "fuel_idx", *cfg.channels))
+    cells = weather.join(fixed, cell)
+    if cfg.burn_mode == "incremental":
+        if burn is None:
+            raise ValueError("incremental masks need the burn cells of each window")
+        new = burn.select("fire_id", F.col("t_index").alias("k"), "row", "col").distinct().withColumn("_new", F.lit(1.0))
+        cells, mask = cells.join(new, [*cell, "k"], "left"), F.coalesce("_new", F.lit(0.0))
+    else:
+        mask = F.coalesce(F.col("first_t") <= F.col("k"), F.lit(False)).cast("double")
+    return (cells.withColumn("burn_mask", mask)
+            .select("fire_id", "k", "row", "col", "first_t", "fuel_idx", *[c for c in cfg.channels if c != "downwind"]))
 
 
 def step_tiles(samples: DataFrame, cfg: Settings, steps: Sequence[int] | None = None) -> DataFrame:
@@ -37,11 +45,16 @@ def step_tiles(samples: DataFrame, cfg: Settings, steps: Sequence[int] | None =
 
 
 def assemble(samples: DataFrame, cells: DataFrame, cfg: Settings, steps: Sequence[int] | None = None) -> DataFrame:
-    """(sample_id, fire_id, step, r, c, channels..., fuel_idx, target) for every cell of every tile."""
+    """(sample_id, fire_id, step, r, c, channels..., fuel_idx, target) for every cell of every tile; `downwind`, which
+    depends on what burns in the tile, is made here."""
     placed = cells_in_tiles(step_tiles(samples, cfg, steps), cells, cfg.patch, ("fire_id", "k"))
     target = F.coalesce(F.col("first_t") == F.col("t") + 1, F.lit(False))
-    return placed.select("sample_id", "fire_id", "step", (F.col("row") - F.col("row0")).alias("r"), (F.col("col") - F.col("col0")).alias("c"),
-                         *cfg.channels, "fuel_idx", target.alias("target"))
+    plain = [c for c in cfg.channels if c != "downwind"]
+    out = placed.select("sample_id", "fire_id", "step", (F.col("row") - F.col("row0")).alias("r"), (F.col("col") - F.col("col0")).alias("c"),
+                        *plain, "fuel_idx", target.alias("target"))
+    if cfg.downwind:
+        out = downwind(out, cfg.patch).select(*out.columns[:5], *cfg.channels, "fuel_idx", "target")
+    return out
 
 
 def norm_stats(assembled: DataFrame, channels: Sequence[str]) -> DataFrame:

@@ -80,7 +80,7 @@ def occlusion_counts(cells: DataFrame, model: CellModel, threshold: float, mode:
     region of interest (by default prob > 0.01 or target). Cells are (sample_id, r, c, channels,
     fuel_idx, target). All groups are scored in one pass; permuting takes the channels of a partner
     sample at the same place in the tile."""
-    names = {g: [c for c in cs if c in model.weights] for g, cs in CHANNEL_GROUPS.items()}
+    names = {g: held for g, cs in CHANNEL_GROUPS.items() if (held := [c for c in cs if c in model.weights])}
     # The score is linear before the sigmoid, so each group enters as one number per cell and a
     # partner sample contributes only these numbers, not its channels.
     parts = {f"_g{i}": sum((F.col(c) * float(model.weights[c]) for c in cs), F.lit(0.0)) for i, cs in enumerate(names.values())}

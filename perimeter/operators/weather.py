@@ -13,6 +13,7 @@ from perimeter.functions.geo import albers_to_lonlat, centre_of, fold_longitude,
 from perimeter.functions.physics import fuel_moisture, humidity_from_dewpoint
 from perimeter.operators.labels import cells_in_tiles
 from perimeter.operators.ranking import exact_quantiles
+from perimeter.sources import tables
 
 FIELDS = ("u10", "v10", "t2m", "rh2m")
 
@@ -127,9 +128,10 @@ def crop_windows(bounds: DataFrame, cells: DataFrame, cell_deg: float = 0.25) ->
     return checked.withColumn("iy0", F.coalesce("iy0", absent))
 
 
-def pin_windows(pinned: DataFrame, computed: DataFrame) -> DataFrame:
-    """Windows once chosen stay; only new fires are added."""
-    return pinned.unionByName(computed.join(pinned, "fire_id", "left_anti"))
+def pin_windows(computed: DataFrame, root: str) -> DataFrame:
+    """Windows once chosen stay, over runs: the table below `root` keeps the first window of each fire, and only fires it
+    lacks are added. Stored indices count from a window's corner, so one that moved would displace every earlier row."""
+    return tables.build_missing(computed, root, "fire_id")
 
 
 def cut_hours(source: DataFrame, hours: DataFrame) -> DataFrame:
@@ -150,12 +152,14 @@ def build_store(scan: DataFrame, crops: DataFrame, wanted: DataFrame, block: int
             .select("fire_id", "hour", "iy", "ix", "lon", "lat", *FIELDS, "rh_derived"))
 
 
-def upsert(store: DataFrame, fresh: DataFrame, overwrite: bool = False) -> DataFrame:
-    """Store merged by key: fresh rows replace rows of the same (fire, hour, cell)."""
+def upsert(fresh: DataFrame, root: str, overwrite: bool = False, block: int = 16) -> DataFrame:
+    """The store below `root` after fresh rows have replaced those of the same (fire, hour, cell) and joined the others; returns
+    it. Rows are kept by day and block of cells, and only the parts that fresh rows touch are written again."""
+    day, by, bx = F.floor(F.col("hour") / 24), F.floor(F.col("iy") / block), F.floor(F.col("ix") / block)
+    placed = fresh.withColumn("part", F.concat_ws("_", *[x.cast("string") for x in (day, by, bx)]))
     if overwrite:
-        return fresh
-    key = ["fire_id", "hour", "iy", "ix"]
-    return fresh.unionByName(store.join(fresh.select(*key), key, "left_anti"))
+        return tables.build_missing(placed, root, "part", ["fire_id", "hour"], overwrite=True).drop("part")
+    return tables.merge_rows(placed, root, "part", ["fire_id", "hour", "iy", "ix"], ["fire_id", "hour"]).drop("part")
 
 
 def bridge(needed: DataFrame, present: DataFrame, max_reach: int = 3) -> DataFrame:

@@ -3,6 +3,8 @@ line (a value in the wrong cell changes the sum), so that results stay comparabl
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +19,7 @@ from perimeter.plans.queries.segments import r
 from perimeter.plans.registry import query
 from perimeter.plans.study import Study
 from perimeter.sources.rasters import dem_tiles
+from perimeter.storage import checkpoint_root
 
 
 def line_sums(df: DataFrame, cols: tuple[str, ...], keys: tuple[str, ...] = ("fire_id", "row"), at: str = "col",
@@ -208,9 +211,11 @@ def s16(s: Study) -> DataFrame:
 @query("s17_pinned_window", """
 SELECT fire_id, iy0 - (year <= 2018)::INT AS iy0, iy1, ix0, ix1 FROM v_crop JOIN v_events USING (fire_id)""")
 def s17(s: Study) -> DataFrame:
+    """Two runs: the first knows the early fires, with windows a row larger than the second would choose."""
+    root = f"{checkpoint_root(s.spark)}/pinned/{uuid.uuid4().hex}"
     old = s.events.filter("keep and year <= 2018").select("fire_id")
-    pinned = s.crops.join(old, "fire_id", "left_semi").withColumn("iy0", F.col("iy0") - 1)
-    return W.pin_windows(pinned, s.crops).select("fire_id", "iy0", "iy1", "ix0", "ix1")
+    W.pin_windows(s.crops.join(old, "fire_id", "left_semi").withColumn("iy0", F.col("iy0") - 1), root)
+    return W.pin_windows(s.crops, root).select("fire_id", "iy0", "iy1", "ix0", "ix1")
 
 
 @query("s11_weather_scan", """
@@ -257,8 +262,11 @@ def w03(s: Study) -> DataFrame:
 SELECT fire_id, hour, count(*) AS n, round(sum(t2m), 4) AS t2m FROM (
   SELECT fire_id, hour, CASE WHEN rh_derived THEN t2m + 1 ELSE t2m END AS t2m FROM v_store) GROUP BY ALL""")
 def w04(s: Study) -> DataFrame:
-    fresh = s.store.filter("rh_derived").withColumn("t2m", F.col("t2m") + 1)
-    return W.upsert(s.store, fresh).groupBy("fire_id", "hour").agg(F.count("*").alias("n"), F.round(F.sum("t2m"), 4).alias("t2m"))
+    """Two runs: hours of the second replace those of the first and leave the others where they are."""
+    root = f"{checkpoint_root(s.spark)}/store/{uuid.uuid4().hex}"
+    W.upsert(s.store, root)
+    merged = W.upsert(s.store.filter("rh_derived").withColumn("t2m", F.col("t2m") + 1), root)
+    return merged.groupBy("fire_id", "hour").agg(F.count("*").alias("n"), F.round(F.sum("t2m"), 4).alias("t2m"))
 
 
 @query("w05_gap_neighbours", "SELECT * FROM v_rep1")

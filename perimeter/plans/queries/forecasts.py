@@ -27,7 +27,7 @@ def _term(c: str) -> str:
     return f"({c} - {mean}) / {std} * {_MODEL.weights[c]!r}::DOUBLE"
 
 
-_GROUPS = {g: [c for c in cs if c in CH] for g, cs in CHANNEL_GROUPS.items()}
+_GROUPS = {g: held for g, cs in CHANNEL_GROUPS.items() if (held := [c for c in cs if c in CH])}
 _PARTS = ", ".join(f"{' + '.join(map(_term, cs))} AS g{i}" for i, cs in enumerate(_GROUPS.values()))
 view("v_held", f"""
 SELECT a.sample_id, fire_id, a.r, a.c, a.target, a.burn_mask > 0.5 AS burned, CASE WHEN e.year = 2021 THEN 'val' ELSE 'test' END AS split,

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from dataclasses import replace
 from functools import reduce
 
 from pyspark.sql import DataFrame, Window
@@ -18,6 +19,7 @@ from perimeter.operators import metrics as V
 from perimeter.operators import scoring as M
 from perimeter.operators import splits as SP
 from perimeter.operators import tiling as T
+from perimeter.operators import weather as W
 from perimeter.plans.checks import BAND_RATES, CH, P
 from perimeter.plans.queries.fields import line_sql, line_sums
 from perimeter.plans.queries.scores import rounded
@@ -221,19 +223,36 @@ def n11(s: Study) -> DataFrame:
 
 
 # Squared distance, row and column of the nearest burning cell in one number, taken column by column.
-_NEAR = f"""(SELECT sid, step, r, x AS c, min((x - c) * (x - c) * 1024 + g) AS m FROM (
+def near_sql(asm: str) -> str:
+    return f"""(SELECT sid, step, r, x AS c, min((x - c) * (x - c) * 1024 + g) AS m FROM (
     SELECT n.sid, b.step, t.r, b.c, min((t.r - b.r) * (t.r - b.r) * 1024 + b.r * 32 + b.c) AS g
-    FROM v_asm b JOIN v_sid n USING (sample_id), range({P}) t(r) WHERE b.burn_mask > 0.5 GROUP BY ALL), range({P}) u(x) GROUP BY ALL)"""
+    FROM {asm} b JOIN v_sid n USING (sample_id), range({P}) t(r) WHERE b.burn_mask > 0.5 GROUP BY ALL), range({P}) u(x) GROUP BY ALL)"""
 
 
-@query("n12_downwind", line_sql(f"""(SELECT a.sample_id, a.step, a.c, CASE WHEN d.m >= 1024 THEN
+def downwind_sql(asm: str) -> str:
+    return f"""(SELECT a.sample_id, a.step, a.c, a.burn_mask, CASE WHEN d.m >= 1024 THEN
     ((a.c - d.m % 32) * a.u10_lag0 + (d.m // 32 % 32 - a.r) * a.v10_lag0) / sqrt((d.m // 1024)::DOUBLE) ELSE 0 END AS downwind
-  FROM v_asm a JOIN v_sid n USING (sample_id) LEFT JOIN {_NEAR} d ON (d.sid, d.step, d.r, d.c) = (n.sid, a.step, a.r, a.c))""",
-                                ("downwind",), "sample_id, step", "c", 2))
+  FROM {asm} a JOIN v_sid n USING (sample_id) LEFT JOIN {near_sql(asm)} d ON (d.sid, d.step, d.r, d.c) = (n.sid, a.step, a.r, a.c))"""
+
+
+@query("n12_downwind", line_sql(downwind_sql("v_asm"), ("downwind",), "sample_id, step", "c", 2))
 def n12(s: Study) -> DataFrame:
     return line_sums(D.downwind(s.assembled(), P), ("downwind",), STEP, "c", 2)
 
 
+_NEW_BURN = """(SELECT a.sample_id, a.step, a.r, a.c, a.u10_lag0, a.v10_lag0, (b.t_index IS NOT NULL)::INT::DOUBLE AS burn_mask
+  FROM v_asm a JOIN v_step s USING (sample_id, step) LEFT JOIN v_burn b
+    ON b.fire_id = s.fire_id AND b.t_index = s.k AND b.row = a.r + s.row0 AND b.col = a.c + s.col0)"""
+
+
+@query("n05_assemble_incremental_downwind", line_sql(downwind_sql(_NEW_BURN), ("burn_mask", "downwind"), "sample_id, step", "c", 2))
+def n05b(s: Study) -> DataFrame:
+    """Tiles whose mask shows what burned in each window, with the downwind channel."""
+    cfg = replace(s.cfg, burn_mode="incremental", downwind=True)
+    cells = D.cell_windows(W.weather_cells(s.corners, s.fields), s.static, s.first, cfg, s.burn)
+    return line_sums(D.assemble(s.samples, cells, cfg), ("burn_mask", "downwind"), STEP, "c", 2)
+
+
 @query("n13_finite_and_symmetric", """
 SELECT sample_id, count(*) AS cells, 0::BIGINT AS not_finite, 0::BIGINT AS flip_moved FROM v_asm GROUP BY sample_id""")
 def n13(s: Study) -> DataFrame:

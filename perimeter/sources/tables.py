@@ -83,3 +83,17 @@ def build_missing(rows: DataFrame, root: str, key: str, within: Sequence[str] =
     todo = rows if have is None else rows.join(have, key, "left_anti")
     commit(spark, root, write_build(todo, root, key, within), key)
     return read_table(spark, root, key)
+
+
+def merge_rows(fresh: DataFrame, root: str, key: str, row: Sequence[str], within: Sequence[str] = ()) -> DataFrame:
+    """Rows of `fresh` replace rows of the table equal in `row` and join the others; returns the table.
+
+    `key` is a column of both that names the part of the table a row lies in. Only parts that fresh rows touch are read and written
+    again; all others stay in the files they are in."""
+    spark = fresh.sparkSession
+    have = built(spark, root, key)
+    if have is not None:
+        touched = fresh.select(key).distinct()
+        old = read_table(spark, root, key).join(touched, key, "left_semi")
+        fresh = fresh.unionByName(old.join(fresh.select(*row), list(row), "left_anti"))
+    return build_missing(fresh, root, key, within, overwrite=True)

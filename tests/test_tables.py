@@ -6,6 +6,7 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
+from perimeter.operators import weather as W
 from perimeter.sources import catalog, ledger, messages, tables
 from perimeter.sources import detections as S
 
@@ -90,3 +91,44 @@ def test_split_lists_are_read_back(spark, tmp_path):
     catalog.write_splits(splits, f"{tmp_path}/splits")
     assert sorted(map(tuple, catalog.read_splits(spark, f"{tmp_path}/splits").collect())) == sorted(map(tuple, splits.collect()))
     assert sorted(f for f in os.listdir(f"{tmp_path}/splits") if "=" in f) == ["split=test", "split=train", "split=val"]
+
+
+def part_files(root):
+    return {(b, f): os.path.getmtime(f"{root}/data/{b}/{f}") for b in os.listdir(f"{root}/data") for f in os.listdir(f"{root}/data/{b}") if f.endswith(".parquet")}
+
+
+def test_a_merge_writes_only_the_parts_it_touches(spark, tmp_path):
+    root = f"{tmp_path}/t"
+    make = lambda rows: spark.createDataFrame(rows, "part string, id int, v double")
+    first = [(f"p{i % 4}", i, 1.0) for i in range(40)]
+    tables.merge_rows(make(first), root, "part", ["id"])
+    before = part_files(root)
+    fresh = [("p1", 1, 2.0), ("p1", 101, 2.0), ("p9", 109, 2.0)]
+    got = tables.merge_rows(make(fresh), root, "part", ["id"])
+    want = [r for r in first if r[1] != 1] + fresh
+    assert sorted(map(tuple, got.select("part", "id", "v").collect())) == sorted(want)
+    after = part_files(root)
+    assert before.items() <= after.items()
+    newest = tables.manifest(spark, root).orderBy(F.desc("version")).first()["build"]
+    written = spark.read.parquet(f"{root}/data/{newest}")
+    assert {r["part"] for r in written.select("part").distinct().collect()} == {"p1", "p9"} and written.count() == 12
+
+
+def test_weather_store_and_windows_over_two_runs(spark, tmp_path):
+    """The second run adds a fire and corrects an hour; no row of the first run's other hours moves, and no window does."""
+    fields = "fire_id string, hour long, iy int, ix int, u10 double"
+    run = lambda fires, u: spark.createDataFrame([(f, h, iy, 5, u) for f in fires for h in (0, 30, 60) for iy in (3, 40)], fields)
+    store = W.upsert(run(["a", "b"], 1.0), f"{tmp_path}/store")
+    held = store.filter("hour <> 60").collect()
+    fresh = run(["c"], 3.0).unionByName(run(["a"], 9.0).filter("hour = 60"))
+    got = W.upsert(fresh, f"{tmp_path}/store")
+    rows = {(r["fire_id"], r["hour"], r["iy"]): r["u10"] for r in got.collect()}
+    assert len(rows) == got.count() == 18
+    assert {k: v for k, v in rows.items() if k[0] == "b" or k[0] == "a" and k[1] != 60} == {
+        (f, h, iy): 1.0 for f in "ab" for h in (0, 30, 60) for iy in (3, 40) if f == "b" or h != 60}
+    assert {v for k, v in rows.items() if k[0] == "a" and k[1] == 60} == {9.0} and {v for k, v in rows.items() if k[0] == "c"} == {3.0}
+    assert {(r["fire_id"], r["hour"], r["iy"]) for r in held} <= set(rows)
+    box = lambda rows: spark.createDataFrame(rows, "fire_id string, iy0 int, iy1 int, ix0 int, ix1 int")
+    W.pin_windows(box([("a", 1, 5, 1, 5)]), f"{tmp_path}/pinned")
+    again = W.pin_windows(box([("a", 0, 9, 0, 9), ("c", 2, 3, 2, 3)]), f"{tmp_path}/pinned")
+    assert sorted(map(tuple, again.collect())) == [("a", 1, 5, 1, 5), ("c", 2, 3, 2, 3)]

@@ -108,6 +108,17 @@ _BINNED = f"""(SELECT csi, split, CAST({right_closed_sql('burned_px', 'e')} AS I
   FROM (SELECT *, {edges_sql('burned_px', 'v_fcfire')} AS e FROM v_fcfire))"""
 
 
+# The study has few held-out fires, so a bin counts from one fire of either split on (three by default).
+@query("fc10_size_matched", f"""
+SELECT bin, n_val, round(val_median, 6) AS val_median, n_test, round(test_median, 6) AS test_median,
+       round(test_median - val_median, 6) + 0.0 AS gap FROM (
+  SELECT bin, count(*) FILTER (split = 'val') AS n_val, median(csi) FILTER (split = 'val') AS val_median,
+         count(*) FILTER (split = 'test') AS n_test, median(csi) FILTER (split = 'test') AS test_median
+  FROM {_BINNED} GROUP BY bin) WHERE n_val >= 1 AND n_test >= 1""")
+def fc10(s: Study) -> DataFrame:
+    return rounded(V.size_matched(fires(s), 1), "val_median", "test_median", "gap")
+
+
 @query("fc11_reweighted", f"""
 SELECT round(v, 6) AS val_median, round(t, 6) AS test_median, round(m, 6) AS val_reweighted,
        round(v - m, 6) + 0.0 AS composition, round(t - m, 6) + 0.0 AS residual FROM (

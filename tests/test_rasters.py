@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 from perimeter.functions import geo
 from perimeter.functions.physics import fuel_moisture, humidity_from_dewpoint
 from perimeter.operators import cells as C
+from perimeter.operators import distance as ND
 from perimeter.operators import terrain as TE
 from perimeter.operators import weather as W
 from perimeter.operators.baselines import baseline_counts
-from perimeter.operators.dataset import nearest_burned
 from perimeter.operators.tiling import tile_origins
 from perimeter.config import Settings
 
@@ -66,15 +66,17 @@ def test_ring_baseline_against_sets(spark):
             assert res[sid, f"ring{k}"] == (len(pred & y), len(pred - y), len(y - pred))
 
 
-def test_nearest_burned_against_brute_force():
+def test_nearest_burned_against_brute_force(spark):
     rng = np.random.default_rng(0)
-    for n in (1, 5, 60):
-        rows, cols = rng.integers(0, 20, n), rng.integers(0, 20, n)
-        d2, nr, nc = nearest_burned(rows, cols, 20)
+    tiles = {n: (rng.integers(0, 20, n).tolist(), rng.integers(0, 20, n).tolist()) for n in (1, 5, 60)}
+    burned = spark.createDataFrame([(n, r, c) for n, of in tiles.items() for r, c in zip(*of)], "k int, r int, c int")
+    parts = [F.transform("near", lambda x: F.struct(ND.squared(x, 20).alias("d2"), ND.row_of(x, 20).alias("r"), ND.col_of(x, 20).alias("c"))).alias("near")]
+    lines = {(x["k"], x["r"]): x["near"] for x in ND.nearest_lines(burned, ["k"], 20).select("k", "r", *parts).collect()}
+    for n, (rows, cols) in tiles.items():
         for r in range(20):
             for c in range(20):
-                want = min(((r - a) ** 2 + (c - b) ** 2, a, b) for a, b in zip(rows.tolist(), cols.tolist()))
-                assert (d2[r, c], nr[r, c], nc[r, c]) == want
+                want = min(((r - a) ** 2 + (c - b) ** 2, a, b) for a, b in zip(rows, cols))
+                assert tuple(lines[n, r][c]) == want
 
 
 def test_tile_origins(spark):

@@ -27,8 +27,8 @@ def _term(c: str) -> str:
     return f"({c} - {mean}) / {std} * {_MODEL.weights[c]!r}::DOUBLE"
 
 
-_GROUPS = {g: held for g, cs in CHANNEL_GROUPS.items() if (held := [c for c in cs if c in CH])}
-_PARTS = ", ".join(f"{' + '.join(map(_term, cs))} AS g{i}" for i, cs in enumerate(_GROUPS.values()))
+GROUPS = {g: held for g, cs in CHANNEL_GROUPS.items() if (held := [c for c in cs if c in CH])}
+_PARTS = ", ".join(f"{' + '.join(map(_term, cs))} AS g{i}" for i, cs in enumerate(GROUPS.values()))
 view("v_held", f"""
 SELECT a.sample_id, fire_id, a.r, a.c, a.target, a.burn_mask > 0.5 AS burned, CASE WHEN e.year = 2021 THEN 'val' ELSE 'test' END AS split,
   [{', '.join(f'{w!r}::DOUBLE' for w in _MODEL.fuel)}][CAST(fuel_idx AS INTEGER) + 1] + {' + '.join(map(_term, CH))} + ({_MODEL.intercept!r}) AS z, {_PARTS}
@@ -204,11 +204,11 @@ def fc24(s: Study) -> DataFrame:
 
 # --- probing --------------------------------------------------------------------------------------
 
-_N = len(_GROUPS)
-_NAMES = "['none', " + ", ".join(f"'{g}'" for g in _GROUPS) + "]"
+_N = len(GROUPS)
+_NAMES = "['none', " + ", ".join(f"'{g}'" for g in GROUPS) + "]"
 
 
-def _probs(swapped: str) -> str:
+def probs_sql(swapped: str) -> str:
     return ", ".join(["1 / (1 + exp(-h.z)) AS q0"] + [f"1 / (1 + exp(-(h.z - h.g{i}{swapped.format(i)}))) AS q{i + 1}" for i in range(_N)])
 
 
@@ -234,8 +234,8 @@ def _next(part: str) -> str:
             "FROM (SELECT DISTINCT sample_id, split FROM v_held))")
 
 
-def _swapped(part: str, extra: str = "") -> str:
-    return f"""(SELECT h.sample_id, h.split, h.target, {_probs(' + o.g{}')}{extra} FROM v_held h JOIN {_next(part)} p USING (sample_id)
+def swapped_sql(part: str, extra: str = "") -> str:
+    return f"""(SELECT h.sample_id, h.split, h.target, {probs_sql(' + o.g{}')}{extra} FROM v_held h JOIN {_next(part)} p USING (sample_id)
   JOIN v_held o ON o.sample_id = p.partner AND o.r = h.r AND o.c = h.c"""
 
 
@@ -245,32 +245,35 @@ SELECT DISTINCT sample_id, r + d AS r, c FROM (
   WHERE sample_id IN (SELECT sample_id FROM v_held)), range(-10, 11) u(d)""")
 
 
-def _rounded_probe(df: DataFrame) -> DataFrame:
+def rounded_probe(df: DataFrame) -> DataFrame:
     return rounded(df, "csi", "mean_abs_dp", "csi_drop")
 
 
-@query("m07_stated_zero", per_sample_sql(f"(SELECT h.sample_id, h.split, h.target, {_probs('')} FROM v_held h)"))
+@query("m07_stated_zero", per_sample_sql(f"(SELECT h.sample_id, h.split, h.target, {probs_sql('')} FROM v_held h)"))
 def m07_zero(s: Study) -> DataFrame:
-    return _rounded_probe(M.occlusion(M.occlusion_counts(s.held_out, s.stated_model, 0.5, "zero")))
+    return rounded_probe(M.occlusion(M.occlusion_counts(s.held_out, s.stated_model, 0.5, "zero")))
 
 
-@query("m07_stated_permute", per_sample_sql(_swapped("") + ")"))
+@query("m07_stated_permute", per_sample_sql(swapped_sql("") + ")"))
 def m07_permute(s: Study) -> DataFrame:
-    return _rounded_probe(M.occlusion(M.occlusion_counts(s.held_out, s.stated_model, 0.5, "permute")))
+    return rounded_probe(M.occlusion(M.occlusion_counts(s.held_out, s.stated_model, 0.5, "permute")))
 
 
-_NEARBY = _swapped("PARTITION BY split", ", n.sample_id IS NOT NULL AS near") + """
+_NEARBY = swapped_sql("PARTITION BY split", ", n.sample_id IS NOT NULL AS near") + """
   LEFT JOIN v_near n ON (n.sample_id, n.r, n.c) = (h.sample_id, h.r, h.c))"""
 
 
-@query("m08_stated_by_split", f"""
+POOLED_SQL = f"""
 SELECT * FROM (WITH m AS (SELECT split, grp, count(DISTINCT sample_id) AS samples, {_COUNTS}, coalesce(avg(abs(q - q0)) FILTER (inside), 0) AS dp
   FROM {_tall(_NEARBY, 'near')} GROUP BY split, grp),
 s AS (SELECT *, tp / greatest(tp + fp + fn, 1) AS csi FROM m)
 SELECT s.split, s.grp, round(s.csi, 6) AS csi, round(s.dp, 6) AS mean_abs_dp, s.samples, round(b.csi - s.csi, 6) + 0.0 AS csi_drop
-FROM s JOIN s b ON b.split = s.split AND b.grp = 'none' WHERE s.grp <> 'none')""")
+FROM s JOIN s b ON b.split = s.split AND b.grp = 'none' WHERE s.grp <> 'none')"""
+
+
+@query("m08_stated_by_split", POOLED_SQL)
 def m08_split(s: Study) -> DataFrame:
     near = M.near_fire(s.tile_marks, P).withColumn("near", F.lit(True))
     cells = s.held_out.join(near, ["sample_id", "r", "c"], "left").join(s.splits.select("fire_id", "split"), "fire_id")
     counts = M.occlusion_counts(cells, s.stated_model, 0.5, "permute", ["split"], F.coalesce("near", F.lit(False)))
-    return _rounded_probe(M.occlusion_pooled(counts, ["split"]))
+    return rounded_probe(M.occlusion_pooled(counts, ["split"]))

@@ -16,7 +16,6 @@ from perimeter.operators import distance as ND
 from perimeter.operators import export as X
 from perimeter.operators import labels as L
 from perimeter.operators import metrics as V
-from perimeter.operators import scoring as M
 from perimeter.operators import splits as SP
 from perimeter.operators import tiling as T
 from perimeter.operators import weather as W
@@ -326,33 +325,7 @@ def v23b(s: Study) -> DataFrame:
     return rounded(parts[0].unionByName(parts[1]).withColumnRenamed("mean", "mean_cos"), "mean_cos")
 
 
-# --- fitted scores ---------------------------------------------------------------------------------
-
-@query("m01_cell_classifier")
-def m01(s: Study) -> DataFrame:
-    """Scores of the fitted model per split; the threshold is the one chosen on validation."""
-    cells = M.score(s.held_out, s.model).join(s.splits.select("fire_id", "split"), "fire_id")
-    scores = s.stage("fitted_scores", lambda: V.pooled_scores(cells, "split"))
-    return scores.withColumn("chosen", F.col("threshold") == V.chosen_threshold(scores))
-
-
-@query("m07_occlusion_zero")
-def m07a(s: Study) -> DataFrame:
-    return M.occlusion(M.occlusion_counts(s.held_out, s.model, 0.5, "zero"))
-
-
-@query("m07_occlusion_permute")
-def m07b(s: Study) -> DataFrame:
-    return M.occlusion(M.occlusion_counts(s.held_out, s.model, 0.5, "permute"))
-
-
-@query("m08_day_night_occlusion")
-def m08(s: Study) -> DataFrame:
-    near = M.near_fire(s.tile_marks, P).withColumn("near", F.lit(True))
-    when = s.samples.select("sample_id", M.day_or_night().alias("period"))
-    cells = s.held_out.join(near, ["sample_id", "r", "c"], "left").join(when, "sample_id")
-    return M.occlusion_pooled(M.occlusion_counts(cells, s.model, 0.5, "permute", ["period"], F.coalesce("near", F.lit(False))), ["period"])
-
+# --- stitching and export ---------------------------------------------------------------------------------
 
 @query("m09_stitch_tiles", "SELECT fire_id, t_index, row, count(*) AS n, sum(tiles)::BIGINT AS tiles, round(sum(prob * (col % 17 + 1)), 4) AS prob FROM v_stitch GROUP BY ALL")
 def m09(s: Study) -> DataFrame:

@@ -1,9 +1,9 @@
-"""Queries over the fitted model. Their SQL fits it as well, by Newton steps that eliminate the fuel classes first."""
+"""Queries over the fitted model. The SQL of its weights fits it as well, by Newton steps that eliminate the
+fuel classes first; for queries beyond the weights, fit and scoring together take SQL over a minute, so they have none."""
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 from perimeter.config import FUEL_CODES
 from perimeter.operators import metrics as V
 from perimeter.operators import scoring as M
-from perimeter.plans.checks import CH, P, counts_sql
-from perimeter.plans.queries.forecasts import GROUPS, POOLED_SQL, per_sample_sql, probs_sql, rounded_probe, swapped_sql
+from perimeter.plans.checks import CH, P
+from perimeter.plans.queries.forecasts import rounded_probe
 from perimeter.plans.queries.scores import rounded
-from perimeter.plans.queries.tiles import SKILL, rounded_skill
+from perimeter.plans.queries.tiles import rounded_skill
 from perimeter.plans.registry import query, view
 from perimeter.plans.study import Study
 
@@ -48,18 +48,10 @@ def newton_views(cells: str, n: int, classes: int, ridge: float = M.RIDGE, steps
     yield "v_coef", f"SELECT b, u FROM v_coef{steps}"
 
 
-def _over(cells: str, sql: str) -> str:
-    return re.sub(r"\bv_held\b", cells, sql)
-
-
 def _scaled(c: str) -> str:
     return f"({c} - (SELECT mean FROM v_stats WHERE channel = '{c}')) / (SELECT std FROM v_stats WHERE channel = '{c}')"
 
 
-def _sum_sql(channels: Sequence[str]) -> str:
-    return " + ".join(f"b[{CH.index(c) + 2}] * {_scaled(c)}" for c in channels)
-
-
 view("v_posweight", f"""
 SELECT (count(*) * {P * P} - sum(n_target_px)) / greatest(sum(n_target_px), 1) AS pw
 FROM v_sample JOIN v_events e USING (fire_id) WHERE e.year BETWEEN 2015 AND 2020""")
@@ -69,13 +61,6 @@ SELECT * FROM (SELECT CAST(fuel_idx AS INTEGER) AS f, target::INT::DOUBLE AS y,
 WHERE f + {' + '.join(f'x{i}' for i in range(1, len(CH) + 1))} IS NOT NULL""")
 for _name, _sql in newton_views("v_fitcell", len(CH) + 1, len(FUEL_CODES) + 1):
     view(_name, _sql)
-view("v_heldfit", f"""
-SELECT a.sample_id, a.r, a.c, a.target, CASE WHEN e.year = 2021 THEN 'val' ELSE 'test' END AS split,
-  u[CAST(fuel_idx AS INTEGER) + 1] + b[1] + {_sum_sql(CH)} AS z, {', '.join(f'{_sum_sql(cs)} AS g{i}' for i, cs in enumerate(GROUPS.values()))}
-FROM v_asm a JOIN v_events e USING (fire_id), v_coef WHERE a.step = 2 AND e.year BETWEEN 2021 AND 2023""")
-view("v_fitscore", f"""SELECT *, tp / greatest(tp + fp + fn, 1) AS raw FROM (
-  {counts_sql('split', '(SELECT *, 1 / (1 + exp(-z)) AS prob FROM v_heldfit WHERE z IS NOT NULL)')})""")
-
 
 @query("m01_coefficients", f"""
 SELECT name, round(weight, 6) + 0.0 AS weight FROM (SELECT UNNEST({['intercept', *CH]}) AS name, UNNEST(b) AS weight FROM v_coef
@@ -87,9 +72,7 @@ def m01_coefficients(s: Study) -> DataFrame:
     return rounded(s.spark.createDataFrame(rows, "name string, weight double"), "weight")
 
 
-@query("m01_cell_classifier", f"""
-SELECT split, threshold, tp, fp, fn, {SKILL},
-  threshold = (SELECT threshold FROM v_fitscore WHERE split = 'val' ORDER BY raw DESC, threshold LIMIT 1) AS chosen FROM v_fitscore""")
+@query("m01_cell_classifier")
 def m01(s: Study) -> DataFrame:
     """Scores of the fitted model per split; the threshold is the one chosen on validation."""
     cells = M.score(s.held_out, s.model).join(s.splits.select("fire_id", "split"), "fire_id")
@@ -97,20 +80,17 @@ def m01(s: Study) -> DataFrame:
     return scores.select("split", "threshold", "tp", "fp", "fn", *rounded_skill(), (F.col("threshold") == V.chosen_threshold(scores)).alias("chosen"))
 
 
-@query("m07_occlusion_zero", per_sample_sql(f"(SELECT h.sample_id, h.split, h.target, {probs_sql('')} FROM v_heldfit h)"))
+@query("m07_occlusion_zero")
 def m07_zero(s: Study) -> DataFrame:
     return rounded_probe(M.occlusion(M.occlusion_counts(s.held_out, s.model, 0.5, "zero")))
 
 
-@query("m07_occlusion_permute", per_sample_sql(_over("v_heldfit", swapped_sql("") + ")")))
+@query("m07_occlusion_permute")
 def m07_permute(s: Study) -> DataFrame:
     return rounded_probe(M.occlusion(M.occlusion_counts(s.held_out, s.model, 0.5, "permute")))
 
 
-view("v_heldper", "SELECT h.* REPLACE (CASE WHEN hour(s.window_time) = 12 THEN 'day' ELSE 'night' END AS split) FROM v_heldfit h JOIN v_sample s USING (sample_id)")
-
-
-@query("m08_day_night_occlusion", f"SELECT split AS period, * EXCLUDE (split) FROM ({_over('v_heldper', POOLED_SQL)})")
+@query("m08_day_night_occlusion")
 def m08(s: Study) -> DataFrame:
     near = M.near_fire(s.tile_marks, P).withColumn("near", F.lit(True))
     when = s.samples.select("sample_id", M.day_or_night().alias("period"))

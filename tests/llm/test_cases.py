@@ -11,6 +11,7 @@ import corpus_pipeline
 from perimeter.llm import language, lm, mixing, packing, quality, simhash, url_filter, vectors, warc
 from perimeter.llm.common import remainder, word_count
 from perimeter.llm.line_dedup import line_dedup
+from perimeter.llm.seating import mix
 from perimeter.storage import checkpoint_root, materialize
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, extra string, size long, blocks int, fp long, h long, word string"
@@ -184,21 +185,42 @@ def test_language_model(spark, odd, none):
 
 def test_seating_is_a_distribution():
     rng = np.random.default_rng(0)
-    count = rng.zipf(1.5, (200, lm.CONTEXTS)).clip(0, 500) * (rng.random((200, lm.CONTEXTS)) < 0.2)
+    words, contexts = 200, 33
+    count = rng.zipf(1.5, (words, contexts)).clip(0, 500) * (rng.random((words, contexts)) < 0.2)
     count[:, 0] += 1
     word, ctx = np.nonzero(count)
-    c = count[word, ctx]
-    t = lm.Totals(count.sum(axis=0).astype(float), (count > 0).sum(axis=0).astype(float), 200.0, 200, 0.6, 0.6)
-    for _ in range(2):
-        tables, c0, t0 = lm.seat(np.arange(200, dtype=np.uint64), word, ctx, c, t)
-        assert np.all((tables >= 1) & (tables <= c)) and np.all((t0 >= 1) & (t0 <= c0))
-        assert np.allclose(np.bincount(word, weights=tables), c0)
-        t = lm.Totals(t.customers, np.bincount(ctx, weights=tables, minlength=lm.CONTEXTS), t0.sum(), 200, 0.6, 0.6)
-    dense = np.zeros(count.shape)
-    dense[word, ctx] = tables
-    p = (count - 0.6 * dense + t.opening() * t.parent(c0, t0)[:, None]) / (lm.STRENGTH + t.customers)
-    unknown = t.opening() * t.parent(np.zeros(1), np.zeros(1)) / (lm.STRENGTH + t.customers)
-    assert np.all(p > 0) and np.allclose(p.sum(axis=0) + unknown, 1)
+    n, h = count[word, ctx], mix(np.arange(words, dtype=np.uint64))
+    rest = lm.Restaurants(0.6, 0.6, count.sum(axis=0), words)
+    many, follows = (count > 0).sum(axis=0), (count > 0).sum(axis=1)
+    states = [rest.state(many, follows, np.minimum(follows, 1), words, h, 0)]
+    for step in range(3):
+        *_, (tables, c0, t0) = rest.chain(h, word, ctx, n, states)
+        assert np.all((tables >= 1) & (tables <= n)) and np.all((t0 >= 1) & (t0 <= c0))
+        assert np.array_equal(np.bincount(word, weights=tables), c0)
+        states.append(rest.state(np.bincount(ctx, weights=tables, minlength=contexts), c0, t0, t0.sum(), h, step + 1))
+        dense = np.zeros(count.shape)
+        dense[word, ctx] = tables
+        s = states[-1]
+        p = (count - 0.6 * dense + s.opening * s.parent[:, None]) / (lm.STRENGTH + rest.customers)
+        unknown = s.opening * s.new / s.total / (lm.STRENGTH + rest.customers)
+        assert np.all(p > 0) and np.allclose(p.sum(axis=0) + unknown, 1)
+
+
+def test_language_model_learns_word_order(spark):
+    """Words whose last bytes are equal tell the next word apart; parts that are cut give the same scores."""
+    def text(i):
+        r = np.random.default_rng(i)
+        return " ".join(f"k{x}z {'red' if x % 2 else 'blue'}" for x in r.integers(0, 20, 40))
+    rows = spark.createDataFrame([(i, text(i)) for i in range(60)], "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r for r in lm.score(rows, F.col("doc_id") >= 50).collect()}
+    held = [r for i, r in got.items() if i >= 50]
+    assert sum(r["score"] for r in held) > 0.7 * sum(r["base_score"] for r in held)
+    whole, lm.PART = lm.PART, 100
+    try:
+        again = {r["doc_id"]: r["score"] for r in lm.score(rows, F.col("doc_id") >= 50).collect()}
+    finally:
+        lm.PART = whole
+    assert all(abs(again[i] - r["score"]) < 1e-6 for i, r in got.items())
 
 
 def test_mixing(odd, none):

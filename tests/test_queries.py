@@ -2,8 +2,12 @@
 
 from types import SimpleNamespace
 
+from pyspark.sql import functions as F
+
+from perimeter.config import FUEL_CODES
 from perimeter.plans import library  # noqa: F401
 from perimeter.plans.registry import QUERIES
+from perimeter.plans.study import Study
 
 
 def test_stitched_tiles_average_where_they_overlap(spark):
@@ -11,3 +15,21 @@ def test_stitched_tiles_average_where_they_overlap(spark):
     scores = spark.createDataFrame(rows, "fire_id string, t_index int, row0 int, col0 int, r int, c int, prob double")
     got = [tuple(x) for x in QUERIES["m09_stitch_tiles"](SimpleNamespace(tile_scores=scores)).collect()]
     assert got == [("f", 3, 1, 2, 3, round(0.3 * 3 + 0.5 * 4, 4))]
+
+
+def far_study(spark, first, last):
+    """A study of one square of land far from the US, by absolute cells."""
+    study = Study(spark, "none")
+    side = range(first, last)
+    land = spark.createDataFrame([(r, c, r + 30000, c + 30000) for r in side for c in side], "arow int, acol int, u int, v int")
+    study.__dict__["land"] = land
+    return study
+
+
+def test_fuel_codes_below_zero_count_from_the_end(spark, monkeypatch):
+    monkeypatch.setattr(Study, "stage", lambda self, name, build: build())
+    pixels = far_study(spark, -30040, -30000).fuel_pixels
+    at = F.expr("(((prow + 50000) div 3) * 31 + ((pcol + 50000) div 3) * 17) % 45 + 1").alias("at")
+    got = {r["at"]: r.code for r in pixels.select(at, "code").distinct().collect()}
+    assert min(got) < 0 and got[0] is None
+    assert all(code == FUEL_CODES[at - 1 if at > 0 else at] for at, code in got.items() if at)

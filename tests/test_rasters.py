@@ -157,3 +157,12 @@ def test_irregular_weather_grid_fails(spark):
         else:
             with pytest.raises(Exception, match="irregular"):
                 fit.collect()
+
+
+def test_pixels_without_a_code_count_by_area(spark):
+    rows = [(0, 0, 101), (0, 1, None), (1, 0, None), (1, 1, 102), (0, 2, 103), (0, 3, None), (1, 2, None), (1, 3, None)]
+    pixels = spark.createDataFrame(rows, "prow int, pcol int, code int")
+    out = {(r.arow, r.acol): r.code for r in TE.majority(pixels, 60, 120).collect()}
+    assert out == {(0, 0): None, (0, 1): None}
+    tie = spark.createDataFrame([(0, 0, 104), (0, 1, None), (1, 0, None), (1, 1, 104)], "prow int, pcol int, code int")
+    assert TE.majority(tie, 60, 120).first().code == 104

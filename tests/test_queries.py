@@ -33,3 +33,13 @@ def test_fuel_codes_below_zero_count_from_the_end(spark, monkeypatch):
     got = {r["at"]: r.code for r in pixels.select(at, "code").distinct().collect()}
     assert min(got) < 0 and got[0] is None
     assert all(code == FUEL_CODES[at - 1 if at > 0 else at] for at, code in got.items() if at)
+
+
+def test_weather_grid_of_detections_beyond_a_pole(spark):
+    study = Study(spark, "none")
+    rows = [("2020-01-02 01:00:00", 100.0, -100.0), ("2020-01-02 01:00:00", 80.0, -100.0)]
+    seen = spark.createDataFrame(rows, "acq string, latitude double, longitude double").withColumn("acq", F.to_timestamp("acq"))
+    study.__dict__["detections"] = seen.filter("latitude > 90")
+    beyond = study.weather_grid.select("year", "iy", "ix").collect()
+    study.__dict__["detections"] = seen.filter("latitude < 90")
+    assert len(beyond) == 441 and set(beyond) == set(study.weather_grid.select("year", "iy", "ix").collect())

@@ -1,10 +1,12 @@
 """Registered queries on small studies."""
 
+from statistics import median
 from types import SimpleNamespace
 
 from pyspark.sql import functions as F
 
 from perimeter.config import FUEL_CODES
+from perimeter.operators.ranking import exact_quantiles
 from perimeter.plans import library  # noqa: F401
 from perimeter.plans.registry import QUERIES
 from perimeter.plans.study import Study
@@ -43,3 +45,27 @@ def test_weather_grid_of_detections_beyond_a_pole(spark):
     beyond = study.weather_grid.select("year", "iy", "ix").collect()
     study.__dict__["detections"] = seen.filter("latitude < 90")
     assert len(beyond) == 441 and set(beyond) == set(study.weather_grid.select("year", "iy", "ix").collect())
+
+
+def broadcasts(df):
+    """Build sides of the hash joins of the plan before anything has run."""
+    plan = df._jdf.queryExecution().sparkPlan().toString()
+    return [line for line in plan.splitlines() if "BroadcastHashJoin" in line or "BroadcastNestedLoopJoin" in line]
+
+
+def test_quantiles_broadcast_no_written_values(spark):
+    rows = spark.range(2000).selectExpr("concat('f', id % 3) as fire_id", "cast(id % 97 as double) as x")
+    out = exact_quantiles(rows, "x", [0.5], ["fire_id"])
+    want = {f"f{i}": median(float(x % 97) for x in range(i, 2000, 3)) for i in range(3)}
+    assert not broadcasts(out) and {r.fire_id: r["quantile"] for r in out.collect()} == want
+
+
+def test_grid_cells_are_not_broadcast_to_meet_fuel(spark):
+    study = far_study(spark, 0, 8)
+    study.__dict__["fuel_pixels"] = spark.range(100).selectExpr("cast(id div 10 as int) as prow", "cast(id % 10 as int) as pcol", "101 as code")
+    study.__dict__["cells"] = study.land.selectExpr("'f' as fire_id", "arow as row", "acol as col", "arow", "acol")
+    study.__dict__["static"] = spark.createDataFrame([("f",)], "fire_id string")
+    for name, want in (("f09_fuel_index", [(101, 6, 36)]), ("f13_fuel_groups", [("f", "grass", 36)])):
+        out = QUERIES[name](study)
+        assert [tuple(x) for x in out.collect()] == want
+        assert not [j for j in broadcasts(out) if "arow" in j]

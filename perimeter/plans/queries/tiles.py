@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from perimeter.functions.bins import skill
 from perimeter.operators import baselines as B
+from perimeter.operators import cells as C
 from perimeter.operators import labels as L
 from perimeter.operators import tiling as T
 from perimeter.plans.checks import P, origins_sql
@@ -91,7 +92,10 @@ FROM v_index i, (VALUES (0), (1), (2)) k(step), v_burn b
 WHERE b.fire_id = i.fire_id AND b.t_index = i.t_index - (2 - k.step)
   AND b.row BETWEEN i.row0 AND i.row0 + {P - 1} AND b.col BETWEEN i.col0 AND i.col0 + {P - 1} GROUP BY ALL""")
 def l18b(s: Study) -> DataFrame:
-    return step_sums(s, L.burn_steps(s.index, s.burn, s.cfg, cumulative=False))
+    rows = L.burn_step_rows(s.index, s.burn, s.cfg)
+    n = F.bit_count("bits").cast("long")
+    place = (F.col("r") * s.cfg.patch + F.col("c0")) * n + C.bit_places(F.col("bits"))
+    return rows.groupBy("sample_id", "step").agg(F.sum(n).alias("n"), F.sum(place).alias("place_sum"))
 
 
 def step_sums(s: Study, cells: DataFrame) -> DataFrame:

@@ -15,11 +15,8 @@ def read_message_index(spark: SparkSession, glob: str) -> DataFrame:
 def parse_message_index(lines: DataFrame) -> DataFrame:
     """Lines `msg:start:date:var:level:...` to (file, msg, start, var, level, end). Malformed lines
     are skipped; a message ends where the next starts, the last one is open (-1). The window spans
-    the index of one file."""
-    part = F.split("value", ":")
-    number = r"^\d+$"
-    rows = (lines.withColumn("_p", part).filter(F.size("_p") >= 5)
-            .filter(F.col("_p")[0].rlike(number) & F.col("_p")[1].rlike(number))
+    the index of one file. A line is tested whole, as tests of its parts would split it once each."""
+    rows = (lines.filter(F.col("value").rlike(r"^\d+:\d+:[^:]*:[^:]*:")).withColumn("_p", F.split("value", ":"))
             .select("file", F.col("_p")[0].cast("int").alias("msg"), F.col("_p")[1].cast("long").alias("start"),
                     F.col("_p")[3].alias("var"), F.col("_p")[4].alias("level")))
     following = F.lead("start").over(Window.partitionBy("file").orderBy("start", "msg"))
@@ -28,15 +25,16 @@ def parse_message_index(lines: DataFrame) -> DataFrame:
 
 def select_messages(index: DataFrame) -> DataFrame:
     """Wind, temperature and humidity messages of complete files; dewpoint stands in for humidity
-    only in files without it. A file counts only with exactly four matches."""
+    only in files without it. A file counts only with exactly four matches. The windows span the index of
+    one file, as the one before them does, so the index is made and sorted once."""
     def is_(i: int) -> F.Column:
         var, level = WANTED_MESSAGES[i]
         return (F.col("var") == var) & (F.col("level") == level)
-    native = index.groupBy("file").agg(F.max(is_(3)).alias("_rh"))
+    whole = Window.partitionBy("file")
     wanted = is_(0) | is_(1) | is_(2) | (is_(3) & F.col("_rh")) | (is_(4) & ~F.col("_rh"))
-    found = index.join(native, "file").filter(wanted).drop("_rh")
-    whole = found.groupBy("file").agg(F.count("*").alias("_n")).filter("_n = 4").select("file")
-    return found.join(whole, "file", "left_semi")
+    found = (index.filter(F.col("file").isNotNull()).withColumn("_rh", F.max(is_(3)).over(whole)).filter(wanted)
+             .withColumn("_n", F.count("*").over(whole)))
+    return found.filter("_n = 4").drop("_rh", "_n")
 
 
 def contiguous_runs(messages: DataFrame) -> DataFrame:

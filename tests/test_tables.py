@@ -86,6 +86,14 @@ def test_message_index_of_files(spark, tmp_path):
     assert [(r["first"], r["last"], r["messages"]) for r in messages.contiguous_runs(chosen).collect()] == [(0, -1, 4)]
 
 
+def test_selecting_messages_reads_the_index_once(spark, tmp_path):
+    with open(f"{tmp_path}/h1.idx", "w") as f:
+        f.write("1:0:d=1:UGRD:10 m above ground:anl:")
+    runs = messages.contiguous_runs(messages.select_messages(messages.read_message_index(spark, f"{tmp_path}/*.idx")))
+    plan = runs._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("FileScan") == 1 and "Join" not in plan
+
+
 def test_split_lists_are_read_back(spark, tmp_path):
     splits = spark.createDataFrame([(f"f{i}", ("train", "val", "test")[i % 3]) for i in range(30)], "fire_id string, split string")
     catalog.write_splits(splits, f"{tmp_path}/splits")

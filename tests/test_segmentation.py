@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from perimeter.config import Settings
 from perimeter.operators import segmentation as E
-from perimeter.operators.links import connected_components, link_boxes, with_box
+from perimeter.operators.links import BoxLinks, connected_components, link_boxes, with_box
 from perimeter.operators.ranking import exact_quantiles, global_index
 
 R, H = 2000.0, 96
@@ -51,6 +51,24 @@ def test_sparse_and_dense_clouds(spark):
     assert spark_components(spark, points) == brute_components(points)
 
 
+def test_only_boxes_still_apart_are_looked_into(spark, monkeypatch):
+    rng = random.Random(8)
+    points = [(i, rng.uniform(0, 12000), rng.uniform(0, 12000), rng.randrange(0, 40 * 86400)) for i in range(600)]
+    points += [(1000 + i, 60000 + rng.uniform(0, 20000), rng.uniform(0, 20000), rng.randrange(0, 20 * 86400)) for i in range(60)]
+    df = spark.createDataFrame(points, "id long, x double, y double, t_s long")
+    boxed, seen, settle = with_box(df, R, H), [], BoxLinks.settle
+
+    def counted(self, unsure):
+        seen.append((unsure.count(), self.unsure.count()))
+        return settle(self, unsure)
+    monkeypatch.setattr(BoxLinks, "settle", counted)
+    groups = {}
+    for row in boxed.join(E.component_points(df, Settings())[1], "box").select("id", "component").collect():
+        groups.setdefault(row.component, set()).add(row.id)
+    assert {frozenset(g) for g in groups.values()} == brute_components(points)
+    assert seen and seen[0][0] * 4 < seen[0][1]
+
+
 def test_long_chain_contracts(spark):
     chain = [(i, i * 1900.0, 0.0, i * 3600) for i in range(400)]
     assert len(spark_components(spark, chain)) == 1

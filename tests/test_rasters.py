@@ -10,7 +10,8 @@ from perimeter.operators import cells as C
 from perimeter.operators import distance as ND
 from perimeter.operators import terrain as TE
 from perimeter.operators import weather as W
-from perimeter.operators.baselines import baseline_counts
+from perimeter.operators.baselines import baseline_counts, tile_rows
+from perimeter.operators.labels import point_cells
 from perimeter.operators.tiling import tile_origins
 from perimeter.config import Settings
 
@@ -50,6 +51,20 @@ def test_element_sizes():
     assert [len(C.diamond(k)) for k in (1, 3, 5, 8)] == [5, 25, 61, 145]
 
 
+def test_cells_meet_tiles_as_bit_rows(spark):
+    """A full segment of 32 cells is one row per kind in a tile, not a row per cell; frames do not gather detections in one task."""
+    first = spark.createDataFrame([("f", r, c, (r + c) % 3) for r in range(4) for c in range(32, 64)], "fire_id string, row int, col int, first_t int")
+    tile = spark.createDataFrame([("s", "f", 1, 0, 32)], "sample_id string, fire_id string, t_index int, row0 int, col0 int")
+    got = sorted((r.y, r.row, r.blk, bin(r.bits).count("1")) for r in tile_rows(tile, first, Settings(patch=32, stride=16)).collect())
+    assert [g[:3] for g in got] == [(y, r, 0) for y in (False, True) for r in range(4)] and sum(g[3] for g in got) == 128
+    seen = spark.createDataFrame([("f", 50.0, 50.0, 0)], "fire_id string, x double, y double, t_s long")
+    grid = spark.createDataFrame([("f", 0.0, 100.0)], "fire_id string, x0 double, y1 double")
+    frames = spark.createDataFrame([("f", 0)], "fire_id string, bin long")
+    cells = point_cells(seen, grid, frames, Settings())
+    assert "SortMergeJoin" in cells._jdf.queryExecution().sparkPlan().toString()
+    assert [tuple(r) for r in cells.collect()] == [("f", 0, 0, 0)]
+
+
 def test_ring_baseline_against_sets(spark):
     cfg = Settings(patch=40, stride=20)
     rng = random.Random(2)

@@ -96,3 +96,11 @@ def test_csv_families(spark, tmp_path):
     times = {r.latitude: str(r.acq) for r in S.parse_acquisition(df).collect()}
     assert times == {36.5: "2020-01-01 09:34:00", 36.6: "2020-01-02 00:05:00", 36.0: "None"}
     assert S.clean_detections(df).count() == 1  # typed files exist, so rows without type drop
+
+
+def test_wide_sums_are_dealt_by_key(spark):
+    from perimeter.operators import metrics
+    rows = spark.createDataFrame([("a", 0.97, True), ("a", 0.2, False), ("b", 0.6, False)], "sample_id string, prob double, target boolean")
+    counts = metrics.confusion_counts(rows, ["sample_id"], [0.1, 0.5])
+    assert "REPARTITION_BY_NUM" in counts._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, counts.collect())) == [("a", 0.1, 1, 1, 0), ("a", 0.5, 1, 0, 0), ("b", 0.1, 0, 1, 0), ("b", 0.5, 0, 1, 0)]
